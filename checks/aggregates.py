@@ -103,24 +103,24 @@ _NO_COMMAS = "replace(trim(balance_text), ',', '')"
 
 
 def _quality_sql(cap: str) -> str:
-    miss = " + ".join(
-        f"CAST({missing_sql(c) if t == 'string' else f'{c} IS NULL'} AS INTEGER)" for c, t in _COLUMNS
-    )
+    miss = " + ".join(f"CAST({missing_sql(c)} AS INTEGER)" for c in _SCORED)
     bad_number = f"NOT {missing_sql('balance_text')} AND ({number_sql(_NO_COMMAS)}) IS NULL"
     bad_segment = f"NOT {missing_sql('segment')} AND ({number_sql('segment')}) IS NULL"
     return f"""SELECT CAST(floor(greatest(0.0, 1.0 - m * 0.4 - d * 0.25 - i * 0.2 - t * 0.15) * 100 + 0.5) AS BIGINT) AS score,
       round(m, 9) AS missing_pct, round(d, 9) AS duplicate_pct, round(i, 9) AS invalid_pct, round(t, 9) AS type_issue_pct FROM (
-      SELECT sum({miss}) / (count(*) * 11) AS m, 0.0 AS d,
-        {cap.format(f"count(*) FILTER (WHERE {bad_number})")} / (count(*) * 11) AS i,
-        {cap.format(f"count(*) FILTER (WHERE {bad_segment})")} / (count(*) * 11) AS t FROM messy_customer)"""
+      SELECT sum({miss}) / (count(*) * 4) AS m,
+        1 - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(_SCORED)} FROM messy_customer)) / count(*) AS d,
+        {cap.format(f"count(*) FILTER (WHERE {bad_number})")} / (count(*) * 4) AS i,
+        {cap.format(f"count(*) FILTER (WHERE {bad_segment})")} / (count(*) * 4) AS t FROM messy_customer)"""
 
 
+_SCORED = ["segment", "balance_text", "active", "const_col"]
 _TYPES = {"balance_text": ("decimal", False), "segment": ("integer", True), "active": ("boolean", False)}
 for _name, _cap, _limit in (("quality_score", "least(20, {})", 20), ("quality_score_uncapped", "{}", None)):
 
     @check(_name, "messy_customer", _quality_sql(_cap))
     def _(df, limit=_limit):
-        score = mr.quality_score(df, _TYPES, cap=limit)
+        score = mr.quality_score(df.select(*_SCORED), _TYPES, cap=limit)
         return score.select("score", *[F.round(c, 9).alias(c) for c in score.columns if c != "score"])
 
 

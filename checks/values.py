@@ -107,7 +107,7 @@ _TITLE = rf"""array_to_string(list_transform(regexp_extract_all(text, '\W*\w{_NO
 _TEXT_OPS = {
     "trim": ("trim", rf"regexp_replace(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+', ' ', 'g')"),
     "lower": ("lowercase", "lower(text)"),
-    "upper": ("uppercase", "upper(text)"),
+    "upper": ("uppercase", "upper(replace(text, 'ß', 'SS'))"),
     "title": ("titlecase", _TITLE),
     "punct": ("remove_punctuation", r"""regexp_replace(text, '[!-\[\]-/:-@^-`{-~]', '', 'g')""".replace(
         r"[!-\[\]-/:-@^-`{-~]", r"[!-/:-@\[\]^_`{-~]")),

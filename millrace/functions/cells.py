@@ -32,8 +32,8 @@ _MISSING_PATTERN = (
     rf"(?iu)\A{_WS}(?:" + "|".join(t.replace("#", r"\#") for t in MISSING_TOKENS if t) + rf")?{_WS}\z"
 )
 NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?{_WS}\z"
-ISO_DATE_PATTERN = r"\A\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?\z"
-MONTH_FIRST_PATTERN = r"\A\d{1,2}([/-])\d{1,2}\1\d{2,4}\z"
+ISO_DATE_PATTERN = rf"\A{_WS}\d{{4}}-\d{{2}}-\d{{2}}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?{_WS}\z"
+MONTH_FIRST_PATTERN = rf"\A{_WS}(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{2,4}}){_WS}\z"
 
 ROW_ID = "_row_id"
 RESCUED = "_rescued"
@@ -142,16 +142,17 @@ def to_str(c: Column, dtype: T.DataType) -> Column:
 
 
 def text_to_timestamp(c: Column) -> Column:
-    """ISO dates (optionally with a time) and month-first ``m/d/y`` or ``m-d-y``; anything else to null."""
-    t = ws_trim(c)
-    parts = F.split(t, "[/-]")
-    month, day, year = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
-    century = F.when(F.length(year) > 2, F.lpad(year, 4, "0")).otherwise(
-        F.concat(F.when(year < "50", F.lit("20")).otherwise(F.lit("19")), year)
+    """ISO dates (optionally with a time) and month-first ``m/d/y`` or ``m-d-y``; anything else to null.
+
+    Two-digit years up to 49 lie in the 2000s, later ones in the 1900s.
+    """
+    year_first = F.regexp_replace(c, MONTH_FIRST_PATTERN, "$4-$1-$3")
+    four_digits = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(year_first, r"\A(?=[0-4]\d-)", "20"), r"\A(?=[5-9]\d-)", "19"), r"\A(?=\d{3}-)", "0"
     )
-    month_first = F.concat_ws("-", century, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(t.rlike(ISO_DATE_PATTERN), t.try_cast("timestamp_ntz")).when(
-        t.rlike(MONTH_FIRST_PATTERN), month_first.try_cast("timestamp_ntz")
+    return F.when(c.rlike(ISO_DATE_PATTERN), ws_trim(c).try_cast("timestamp_ntz")).when(
+        c.rlike(MONTH_FIRST_PATTERN),
+        F.when(year_first.rlike(r"\A\d{4}-"), year_first).otherwise(four_digits).try_cast("timestamp_ntz"),
     )
 
 
@@ -177,6 +178,10 @@ class Cell:
         self.dtype = field_type(df, name)
         self.raw = col(name)
 
+    @property
+    def is_text(self) -> bool:
+        return is_string(self.dtype)
+
     @property
     def missing(self) -> Column:
         return is_missing(self.raw, self.dtype)

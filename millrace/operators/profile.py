@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, data_columns, to_str
+from millrace.functions.cells import Cell, data_columns, text_to_num, to_str
 from millrace.operators.dedup import duplicate_groups
 from millrace.operators.types import converted, is_inferred, logical_type
 from millrace.plans.buckets import as_keys
+from millrace.plans.long import cells_long
 
 # Weights of the quality figures, the preview cap inside the score, and the suggestion texts.
 MISSING_PENALTY = 0.8
@@ -25,18 +26,13 @@ EXAMPLES = 3
 
 
 def _long(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """One row per cell: ``column``, ``value`` (text, null when missing) and ``num`` for numeric columns."""
-    cells = []
-    for name in data_columns(df):
-        cell = Cell(df, name)
-        numeric = logical_type(df, name) in ("integer", "decimal")
-        number = F.when(cell.present, cell.num) if numeric else F.lit(None).cast("double")
-        cells.append(
-            F.struct(
-                F.lit(name).alias("column"), F.when(cell.present, cell.text).alias("value"), number.alias("num")
-            )
-        )
-    return df.select(*(extra or []), F.inline(F.array(*cells)))
+    """One row per cell; ``num`` also holds the numbers of text columns that are labelled as numeric."""
+    names = data_columns(df)
+    labelled = [c for c in names if logical_type(df, c) in ("integer", "decimal") and Cell(df, c).is_text]
+    long = cells_long(df, names, extra)
+    if not labelled:
+        return long
+    return long.withColumn("num", F.when(F.col("column").isin(labelled), text_to_num(F.col("value"))).otherwise(F.col("num")))
 
 
 def _column_stats(df: DataFrame, approx: bool) -> DataFrame:

@@ -12,6 +12,7 @@ from millrace.functions.cells import (
     FALSE_WORDS,
     NUMBER_PATTERN,
     TRUE_WORDS,
+    WHITESPACE_CLASS,
     Cell,
     col,
     data_columns,
@@ -24,11 +25,14 @@ from millrace.functions.cells import (
 )
 from millrace.operators.conversion import apply_conversion
 from millrace.plans.buckets import as_keys
+from millrace.plans.long import IS_TEXT, NUM, VALUE, cells_long
 
 # The logical types, the cell grammars of the vote and the shares that decide it.
 LOGICAL_TYPES = ("string", "integer", "decimal", "boolean", "date", "category")
-INTEGER_CELL = r"\A-?\d+\z"
-DECIMAL_CELL = r"\A-?\d*\.\d+\z"
+_WS = f"[{WHITESPACE_CLASS}]*"
+BOOLEAN_CELL = rf"(?i)\A{_WS}(?:{'|'.join((*TRUE_WORDS, *FALSE_WORDS))}){_WS}\z"
+INTEGER_CELL = rf"\A{_WS}-?\d+{_WS}\z"
+DECIMAL_CELL = rf"\A{_WS}-?\d*\.\d+{_WS}\z"
 MAJORITY = 0.9
 CATEGORY_SHARE = 0.05
 CATEGORY_MINIMUM = 10
@@ -61,35 +65,47 @@ def set_logical_type(df: DataFrame, name: str, type: str, inferred: bool) -> Dat
     return df.withMetadata(name, metadata)
 
 
-def cell_vote(cell: Cell, cells: str = "text") -> Column:
-    """Which type a present cell speaks for. Typed columns vote by type, text cells by their form.
+def _typed_vote(df: DataFrame, name: str) -> str | None:
+    """The vote of every cell of a column whose Spark type already says it; decimals vote cell by cell."""
+    return {"boolean": "boolean", "integer": "integer"}.get(logical_type(df.select(col(name).alias(name, metadata={})), name))
+
+
+def text_vote(value: Column, cells: str = "text") -> Column:
+    """Which type a present text cell speaks for.
 
     ``cells='typed'`` reads text the way a delimited file's cells are typed on load: a number is a number, so ``0`` and
     ``1`` are integers rather than booleans.
     """
-    if isinstance(cell.dtype, T.BooleanType):
-        return F.lit("boolean")
-    if is_integral(cell.dtype):
-        return F.lit("integer")
-    if not is_string(cell.dtype) and (is_floating(cell.dtype) or isinstance(cell.dtype, T.DecimalType)):
-        return F.when(cell.raw == F.floor(cell.raw), F.lit("integer")).otherwise(F.lit("decimal"))
-    t = ws_trim(cell.text)
     vote = (
-        F.when(F.lower(t).isin(*TRUE_WORDS, *FALSE_WORDS), F.lit("boolean"))
-        .when(t.rlike(INTEGER_CELL), F.lit("integer"))
-        .when(t.rlike(DECIMAL_CELL), F.lit("decimal"))
-        .when(text_to_timestamp(t).isNotNull(), F.lit("date"))
+        F.when(value.rlike(BOOLEAN_CELL), F.lit("boolean"))
+        .when(value.rlike(INTEGER_CELL), F.lit("integer"))
+        .when(value.rlike(DECIMAL_CELL), F.lit("decimal"))
+        .when(text_to_timestamp(value).isNotNull(), F.lit("date"))
         .otherwise(F.lit("string"))
     )
     if cells == "typed":
-        number = text_to_num(t)
+        number = text_to_num(value)
         whole = F.when(number == F.floor(number), F.lit("integer")).otherwise(F.lit("decimal"))
-        vote = F.when(t.rlike(NUMBER_PATTERN), whole).otherwise(vote)
+        vote = F.when(value.rlike(NUMBER_PATTERN), whole).otherwise(vote)
     return vote
 
 
-def _normal_text(cell: Cell) -> Column:
-    return F.when(cell.present, F.lower(ws_trim(cell.text)))
+def _votes(df: DataFrame, columns: list[str], cells: str) -> DataFrame:
+    """One row per present cell: ``column``, ``vote`` and the folded text ``value``."""
+    long = cells_long(df, columns).filter(F.col(VALUE).isNotNull())
+    typed = {c: v for c in columns if not Cell(df, c).is_text and (v := _typed_vote(df, c))}
+    by_type = F.lit(None).cast("string")
+    for kind in ("boolean", "integer"):
+        names = [c for c, v in typed.items() if v == kind]
+        if names:
+            by_type = F.coalesce(by_type, F.when(F.col("column").isin(names), F.lit(kind)))
+    number = F.when(F.col(NUM) == F.floor(F.col(NUM)), F.lit("integer")).otherwise(F.lit("decimal"))
+    by_number = F.when(~F.col(IS_TEXT) & F.col(NUM).isNotNull(), number)
+    return long.select(
+        "column",
+        F.coalesce(by_type, by_number, text_vote(F.col(VALUE), cells)).alias("vote"),
+        F.lower(ws_trim(F.col(VALUE))).alias(VALUE),
+    )
 
 
 def _majority(votes: Row) -> str | None:
@@ -113,39 +129,32 @@ def infer_types(
 ) -> dict[str, str]:
     """Infer a logical type per column by majority vote over its present cells.
 
-    The votes of all columns and a distinct-count sketch are one aggregation without a data shuffle. Only columns whose
+    The votes of all columns and a distinct-count sketch are one aggregation with a row per column and task to shuffle. Only columns whose
     vote is open and whose sketch does not already rule a category out are then counted exactly, so the shuffle carries
     few distinct texts. ``sample`` looks at the first that many present cells per column in ``order_by`` order.
     """
     columns = columns or data_columns(df)
     if sample is not None:
         return {c: _infer_sampled(df, c, cells, sample, order_by) for c in columns}
-    tallies = [
-        F.struct(
-            *[F.count_if(seen.present & (cell_vote(seen, cells) == v)).alias(v) for v in VOTES],
-            F.approx_count_distinct(_normal_text(seen)).alias("sketch"),
-        ).alias(f"c{i}")
-        for i, seen in enumerate(Cell(df, c) for c in columns)
-    ]
-    if not tallies:
+    if not columns:
         return {}
-    tally = df.agg(*tallies).head()
+    tallies = _votes(df, columns, cells).groupBy("column").agg(
+        *[F.count_if(F.col("vote") == v).alias(v) for v in VOTES], F.approx_count_distinct(VALUE).alias("sketch")
+    )
+    tally = {r["column"]: r for r in tallies.collect()}
     out: dict[str, str] = {}
     open_columns: list[tuple[str, int]] = []
-    for i, c in enumerate(columns):
-        votes = tally[i]
-        total = sum(votes[v] for v in VOTES)
-        label = "string" if total == 0 else _majority(votes)
+    for c in columns:
+        votes = tally.get(c)
+        total = sum(votes[v] for v in VOTES) if votes else 0
+        label = _majority(votes) if votes else "string"
         if label is None and votes["sketch"] > 2 * max(CATEGORY_MINIMUM, CATEGORY_SHARE * total):
             label = "string"  # twice the limit is many standard errors of the sketch away
         if label is None:
             open_columns.append((c, total))
         out[c] = label or "string"
     if open_columns:
-        texts = F.array(
-            *[F.struct(F.lit(c).alias("column"), _normal_text(Cell(df, c)).alias("value")) for c, _ in open_columns]
-        )
-        pairs = df.select(F.inline(texts)).filter(F.col("value").isNotNull()).distinct()
+        pairs = _votes(df, [c for c, _ in open_columns], cells).select("column", VALUE).distinct()
         found = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         for c, total in open_columns:
             few = found[c] <= max(CATEGORY_MINIMUM, CATEGORY_SHARE * total) and found[c] < total

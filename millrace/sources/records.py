@@ -12,18 +12,17 @@ from millrace.functions.cells import Cell, col, data_columns
 
 
 def _layout(spark: SparkSession, path: str) -> str:
-    """``lines`` (one object per line), ``array`` or ``rows``, judged by the first lines."""
-    head = [r[0].strip() for r in spark.read.text(path).filter(F.trim("value") != "").limit(2).collect()]
-    if not head:
+    """``array``, ``lines`` (one whole object per line) or ``document`` (an object over several lines)."""
+    head = spark.read.text(path).filter(F.trim("value") != "").head()
+    if head is None:
         raise ValueError(f"{path} is empty")
-    if head[0].startswith("["):
+    if head[0].strip().startswith("["):
         return "array"
     try:
-        first = json.loads(head[0])
+        json.loads(head[0])
+        return "lines"
     except ValueError:
-        return "rows"
-    wrapped = isinstance(first, dict) and isinstance(first.get("rows"), list)
-    return "rows" if wrapped and len(head) == 1 else "lines"
+        return "document"
 
 
 def record_keys(records: DataFrame, value: str, order: list[str]) -> list[str]:
@@ -40,17 +39,18 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     """
     layout = _layout(spark, path)
     table = spark.read.json(path, multiLine=layout != "lines")
-    if layout == "rows":
-        if not isinstance(table.schema["rows"].dataType if "rows" in table.columns else None, T.ArrayType):
+    wrapped = layout == "document" or (layout == "lines" and table.columns == ["rows"])
+    if wrapped:
+        inner = table.schema["rows"].dataType if "rows" in table.columns else None
+        if not isinstance(inner, T.ArrayType) or not isinstance(inner.elementType, T.StructType):
             raise ValueError(f"{path} holds neither an array of objects nor a rows array")
         table = table.select(F.inline("rows"))
-    text = spark.read.text(path, wholetext=layout != "lines")
-    if layout == "lines":
-        records = text.select(F.monotonically_increasing_id().alias("_file"), F.lit(0).alias("_n"), "value")
+    text = spark.read.text(path, wholetext=layout != "lines").withColumn("_file", F.monotonically_increasing_id())
+    if layout == "lines" and not wrapped:
+        records = text.withColumn("_n", F.lit(0))
     else:
-        items = F.col("value") if layout == "array" else F.get_json_object("value", "$.rows")
-        parsed = F.from_json(items, "array<string>")
-        records = text.select(F.monotonically_increasing_id().alias("_file"), F.posexplode(parsed).alias("_n", "value"))
+        items = F.get_json_object("value", "$.rows") if wrapped else F.col("value")
+        records = text.select("_file", F.posexplode(F.from_json(items, "array<string>")).alias("_n", "value"))
     order = [k for k in record_keys(records, "value", ["_file", "_n"]) if k in table.columns]
     if not order:
         raise ValueError(f"{path} holds no records")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import Cell, data_columns
+from millrace.functions.cells import Cell, col, data_columns
 from millrace.functions.predicates import predicate
 
 
@@ -47,10 +47,12 @@ def remove_rows_by_key(df: DataFrame, keys: DataFrame | Iterable, key: str | lis
     """
     names = [key] if isinstance(key, str) else list(key)
     if not isinstance(keys, DataFrame):
-        schema = df.select(*names).schema
+        schema = df.select(*[col(n) for n in names]).schema
         rows = [k if isinstance(k, (tuple, list)) else (k,) for k in keys]
         keys = df.sparkSession.createDataFrame(rows, schema)
-    return df.join(keys.select(*names).distinct(), names, "left_anti").select(*df.columns)
+    listed = keys.select(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).distinct()
+    match = [col(n) == F.col(f"_k{i}") for i, n in enumerate(names)]
+    return df.join(listed, match, "left_anti")
 
 
 def search_rows(df: DataFrame, text: str, columns: list[str] | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def is_inferred(df: DataFrame, name: str) -> bool:
 
 def set_logical_type(df: DataFrame, name: str, type: str, inferred: bool) -> DataFrame:
     metadata = {**df.schema[name].metadata, "logical_type": type, "inferred": inferred}
-    return df.withMetadata(name, metadata)
+    return df.select(*[col(c).alias(c, metadata=metadata) if c == name else col(c) for c in df.columns])
 
 
 def _typed_vote(df: DataFrame, name: str) -> str | None:

@@ -31,6 +31,7 @@ _WS = f"[{WHITESPACE_CLASS}]*"
 _MISSING_PATTERN = (
     rf"(?iu)\A{_WS}(?:" + "|".join(t.replace("#", r"\#") for t in MISSING_TOKENS if t) + rf")?{_WS}\z"
 )
+_MISSING_STARTS = "".join(sorted({t[0] for t in MISSING_TOKENS if t} | {t[0].upper() for t in MISSING_TOKENS if t}))
 NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?{_WS}\z"
 ISO_DATE_PATTERN = rf"\A{_WS}\d{{4}}-\d{{2}}-\d{{2}}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?{_WS}\z"
 MONTH_FIRST_PATTERN = rf"\A{_WS}(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{2,4}}){_WS}\z"
@@ -73,15 +74,25 @@ def is_numeric(dtype: T.DataType) -> bool:
     return is_integral(dtype) or is_floating(dtype) or isinstance(dtype, T.DecimalType)
 
 
+def starts_like(c: Column, characters: str) -> Column:
+    """Whether the first character is one of these, a space or control, or outside ASCII.
+
+    A cheap test in front of a pattern: most cells are decided by their first byte and never decoded for the pattern.
+    """
+    code = F.ascii(c)
+    return (code <= 32) | (code > 126) | code.isin([ord(x) for x in characters])
+
+
 def ws_trim(c: Column) -> Column:
     """Trim every kind of white space from both ends (plain ``trim`` removes U+0020 only)."""
-    return F.trim(c, F.lit(WHITESPACE_CHARS))
+    edges = starts_like(c, "") | starts_like(F.substring(c, -1, 1), "")
+    return F.when(edges, F.trim(c, F.lit(WHITESPACE_CHARS))).otherwise(c)
 
 
 def is_missing(c: Column, dtype: T.DataType) -> Column:
     """Null, NaN, or one of the missing-value texts. Never null itself."""
     if is_string(dtype):
-        return c.isNull() | c.rlike(_MISSING_PATTERN)
+        return c.isNull() | (starts_like(c, _MISSING_STARTS) & c.rlike(_MISSING_PATTERN))
     if is_floating(dtype):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -89,7 +100,7 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
 
 def text_to_num(c: Column) -> Column:
     """Decimal number text to double; everything else, overflow included, to null."""
-    n = F.when(c.rlike(NUMBER_PATTERN), ws_trim(c).try_cast("double"))
+    n = F.when(starts_like(c, "+-.0123456789") & c.rlike(NUMBER_PATTERN), ws_trim(c).try_cast("double"))
     return F.nullif(F.nullif(n, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
@@ -150,10 +161,11 @@ def text_to_timestamp(c: Column) -> Column:
     four_digits = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(year_first, r"\A(?=[0-4]\d-)", "20"), r"\A(?=[5-9]\d-)", "19"), r"\A(?=\d{3}-)", "0"
     )
-    return F.when(c.rlike(ISO_DATE_PATTERN), ws_trim(c).try_cast("timestamp_ntz")).when(
+    dated = F.when(c.rlike(ISO_DATE_PATTERN), ws_trim(c).try_cast("timestamp_ntz")).when(
         c.rlike(MONTH_FIRST_PATTERN),
         F.when(year_first.rlike(r"\A\d{4}-"), year_first).otherwise(four_digits).try_cast("timestamp_ntz"),
     )
+    return F.when(starts_like(c, "0123456789"), dated)
 
 
 def to_timestamp(c: Column, dtype: T.DataType) -> Column:

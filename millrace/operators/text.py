@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,34 +14,55 @@ from millrace.functions.patterns import is_valid_pattern, replacement_for_spark
 # Fixed value: the ASCII punctuation marks that are removed (every one except the backslash).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
-_NOT_SPACE = f"[^{WHITESPACE_CLASS}]"
 _MAP_LITERAL_LIMIT = 64  # looking a key up in a map is a linear scan, so longer mappings are joined
+_WIDE_SPACES = WHITESPACE_CLASS.removeprefix(r"\s")
+
+
+def _by_spaces(text: Column, build: Callable[[str], Column]) -> Column:
+    """The expression for the full white-space class where a text needs it, for the ASCII class elsewhere.
+
+    Patterns with the full class run several times slower, and one quick scan tells which texts hold wide spaces.
+    """
+    has_wide = text.rlike(rf"(?![\x00-\x9f])[{_WIDE_SPACES}]")
+    return F.when(has_wide, build(WHITESPACE_CLASS)).otherwise(build(r"\s"))
+
+
+def _squeeze(text: Column) -> Column:
+    """Each white-space run that is not already a single space becomes one."""
+    return _by_spaces(text, lambda ws: F.regexp_replace(text, f"[{ws}&&[^ ]][{ws}]*| [{ws}]+", " "))
 
 
 def _title(text: Column, unicode: bool) -> Column:
+    """Upper-case the first word character of every run of non-spaces and lower-case what follows it.
+
+    A regex replacement cannot change case, so the text is taken apart into words and what lies between them.
+    """
     flag = "(?U)" if unicode else ""
-    pieces = F.regexp_extract_all(text, F.lit(rf"{flag}\W*\w{_NOT_SPACE}*|\W+"), F.lit(0))
 
     def capitalise(piece: Column) -> Column:
-        lead = F.length(F.regexp_extract(piece, rf"{flag}\A\W*", 0))
-        return F.concat(
-            F.substring(piece, F.lit(1), lead),
-            F.upper(F.substring(piece, lead + 1, F.lit(1))),
-            F.lower(F.substring(piece, lead + 2, F.length(piece))),
-        )
+        code = F.ascii(piece)
+        word = code.between(97, 122) | code.between(65, 90) | code.between(48, 57) | (code == 95)
+        if unicode:
+            word = piece.rlike(r"(?U)\A\w")
+        raised = F.concat(F.upper(F.substring(piece, 1, 1)), F.lower(F.substring(piece, F.lit(2), F.length(piece))))
+        return F.when(word, raised).otherwise(piece)
+
+    def rebuilt(ws: str) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(rf"{flag}\w[^{ws}]*|\W+"), F.lit(0))
+        return F.array_join(F.transform(pieces, capitalise), "")
 
-    return F.array_join(F.transform(pieces, capitalise), "")
+    return _by_spaces(text, rebuilt)
 
 
 def _operation(op: str, unicode: bool):
     flag = "(?U)" if unicode else ""
     return {
-        "trim": lambda t: F.regexp_replace(ws_trim(t), f"[{WHITESPACE_CLASS}]+", " "),
+        "trim": lambda t: _squeeze(ws_trim(t)),
         "lowercase": F.lower,
         "uppercase": F.upper,
         "titlecase": lambda t: _title(t, unicode),
-        "remove_punctuation": lambda t: F.translate(t, PUNCTUATION, ""),
-        "remove_special": lambda t: F.regexp_replace(t, rf"{flag}[^\w{WHITESPACE_CLASS}]", ""),
+        "remove_punctuation": lambda t: F.regexp_replace(t, "[" + re.escape(PUNCTUATION) + "]", ""),
+        "remove_special": lambda t: _by_spaces(t, lambda ws: F.regexp_replace(t, rf"{flag}[^\w{ws}]", "")),
     }[op]
 
 

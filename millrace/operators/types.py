@@ -19,6 +19,7 @@ from millrace.functions.cells import (
     is_floating,
     is_integral,
     is_string,
+    starts_like,
     text_to_num,
     text_to_timestamp,
     ws_trim,
@@ -31,6 +32,7 @@ from millrace.plans.long import IS_TEXT, NUM, VALUE, cells_long
 LOGICAL_TYPES = ("string", "integer", "decimal", "boolean", "date", "category")
 _WS = f"[{WHITESPACE_CLASS}]*"
 BOOLEAN_CELL = rf"(?i)\A{_WS}(?:{'|'.join((*TRUE_WORDS, *FALSE_WORDS))}){_WS}\z"
+_BOOLEAN_STARTS = "".join(sorted({w[0] for w in (*TRUE_WORDS, *FALSE_WORDS)} | {w[0].upper() for w in (*TRUE_WORDS, *FALSE_WORDS)}))
 INTEGER_CELL = rf"\A{_WS}-?\d+{_WS}\z"
 DECIMAL_CELL = rf"\A{_WS}-?\d*\.\d+{_WS}\z"
 MAJORITY = 0.9
@@ -77,7 +79,8 @@ def text_vote(value: Column, cells: str = "text") -> Column:
     ``1`` are integers rather than booleans.
     """
     vote = (
-        F.when(value.rlike(BOOLEAN_CELL), F.lit("boolean"))
+        F.when(starts_like(value, _BOOLEAN_STARTS) & value.rlike(BOOLEAN_CELL), F.lit("boolean"))
+        .when(~starts_like(value, "-.0123456789"), F.lit("string"))
         .when(value.rlike(INTEGER_CELL), F.lit("integer"))
         .when(value.rlike(DECIMAL_CELL), F.lit("decimal"))
         .when(text_to_timestamp(value).isNotNull(), F.lit("date"))
@@ -91,8 +94,8 @@ def text_vote(value: Column, cells: str = "text") -> Column:
 
 
 def _votes(df: DataFrame, columns: list[str], cells: str) -> DataFrame:
-    """One row per present cell: ``column``, ``vote`` and the folded text ``value``."""
-    long = cells_long(df, columns).filter(F.col(VALUE).isNotNull())
+    """One row per cell: ``column``, ``vote`` and the folded text ``value``, both null when the cell is missing."""
+    long = cells_long(df, columns)
     typed = {c: v for c in columns if not Cell(df, c).is_text and (v := _typed_vote(df, c))}
     by_type = F.lit(None).cast("string")
     for kind in ("boolean", "integer"):
@@ -101,9 +104,10 @@ def _votes(df: DataFrame, columns: list[str], cells: str) -> DataFrame:
             by_type = F.coalesce(by_type, F.when(F.col("column").isin(names), F.lit(kind)))
     number = F.when(F.col(NUM) == F.floor(F.col(NUM)), F.lit("integer")).otherwise(F.lit("decimal"))
     by_number = F.when(~F.col(IS_TEXT) & F.col(NUM).isNotNull(), number)
+    vote = F.coalesce(by_type, by_number, text_vote(F.col(VALUE), cells))
     return long.select(
         "column",
-        F.coalesce(by_type, by_number, text_vote(F.col(VALUE), cells)).alias("vote"),
+        F.when(F.col(VALUE).isNotNull(), vote).alias("vote"),
         F.lower(ws_trim(F.col(VALUE))).alias(VALUE),
     )
 
@@ -147,7 +151,7 @@ def infer_types(
     for c in columns:
         votes = tally.get(c)
         total = sum(votes[v] for v in VOTES) if votes else 0
-        label = _majority(votes) if votes else "string"
+        label = _majority(votes) if total else "string"
         if label is None and votes["sketch"] > 2 * max(CATEGORY_MINIMUM, CATEGORY_SHARE * total):
             label = "string"  # twice the limit is many standard errors of the sketch away
         if label is None:
@@ -155,7 +159,7 @@ def infer_types(
         out[c] = label or "string"
     if open_columns:
         pairs = _votes(df, [c for c, _ in open_columns], cells).select("column", VALUE).distinct()
-        found = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        found = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(VALUE).alias("n")).collect()}
         for c, total in open_columns:
             few = found[c] <= max(CATEGORY_MINIMUM, CATEGORY_SHARE * total) and found[c] < total
             out[c] = "category" if few else "string"

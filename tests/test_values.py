@@ -24,6 +24,12 @@ def test_text_operations(spark):
     assert text(spark, ["éclair_1! x"], "remove_special", unicode=True) == ["éclair_1 x"]
 
 
+def test_wide_spaces(spark):
+    assert text(spark, ["a\u2003 \u00a0b\ufeff", "a\nb", "a \t c"], "trim") == ["a b", "a b", "a c"]
+    assert text(spark, ["aB\u00a0cD eF"], "titlecase") == ["Ab\u00a0Cd Ef"]
+    assert text(spark, ["a\u3000-b\u200b"], "remove_special") == ["a\u3000b"]
+
+
 def test_text_operations_on_numbers(spark):
     df = spark.createDataFrame([(15.0,), (None,)], "v double")
     assert values(mr.clean_text(df, "v", "trim")) == [("15",), (None,)]

@@ -35,6 +35,8 @@ _MISSING_STARTS = "".join(sorted({t[0] for t in MISSING_TOKENS if t} | {t[0].upp
 NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?{_WS}\z"
 ISO_DATE_PATTERN = rf"\A{_WS}\d{{4}}-\d{{2}}-\d{{2}}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?{_WS}\z"
 MONTH_FIRST_PATTERN = rf"\A{_WS}(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{2,4}}){_WS}\z"
+DATE_PATTERN = rf"{ISO_DATE_PATTERN}|{MONTH_FIRST_PATTERN}"
+DIGITS = "0123456789"
 
 ROW_ID = "_row_id"
 RESCUED = "_rescued"
@@ -75,18 +77,25 @@ def is_numeric(dtype: T.DataType) -> bool:
 
 
 def starts_like(c: Column, characters: str) -> Column:
-    """Whether the first character is one of these, a space or control, or outside ASCII.
+    """Whether the text is empty or starts with white space or one of the characters.
 
-    A cheap test in front of a pattern: most cells are decided by their first byte and never decoded for the pattern.
+    A cheap test in front of a pattern: most cells are decided by their first character and never reach the pattern.
     """
-    code = F.ascii(c)
-    return (code <= 32) | (code > 126) | code.isin([ord(x) for x in characters])
+    return F.instr(F.lit(WHITESPACE_CHARS + characters), F.substring(c, 1, 1)) > 0
 
 
 def ws_trim(c: Column) -> Column:
     """Trim every kind of white space from both ends (plain ``trim`` removes U+0020 only)."""
-    edges = starts_like(c, "") | starts_like(F.substring(c, -1, 1), "")
-    return F.when(edges, F.trim(c, F.lit(WHITESPACE_CHARS))).otherwise(c)
+    return F.trim(c, F.lit(WHITESPACE_CHARS))
+
+
+def bind(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Compute helper columns in a projection of their own.
+
+    A rule mentions its input several times. If that input is an expression, Spark would evaluate it at each mention;
+    as a column it is computed once, because the optimizer keeps projections apart whose results are used repeatedly.
+    """
+    return df.withColumns({f"_{name}": e for name, e in exprs.items()})
 
 
 def is_missing(c: Column, dtype: T.DataType) -> Column:
@@ -100,7 +109,7 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
 
 def text_to_num(c: Column) -> Column:
     """Decimal number text to double; everything else, overflow included, to null."""
-    n = F.when(starts_like(c, "+-.0123456789") & c.rlike(NUMBER_PATTERN), ws_trim(c).try_cast("double"))
+    n = F.when(starts_like(c, "+-." + DIGITS) & c.rlike(NUMBER_PATTERN), ws_trim(c).try_cast("double"))
     return F.nullif(F.nullif(n, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
@@ -157,15 +166,10 @@ def text_to_timestamp(c: Column) -> Column:
 
     Two-digit years up to 49 lie in the 2000s, later ones in the 1900s.
     """
-    year_first = F.regexp_replace(c, MONTH_FIRST_PATTERN, "$4-$1-$3")
-    four_digits = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(year_first, r"\A(?=[0-4]\d-)", "20"), r"\A(?=[5-9]\d-)", "19"), r"\A(?=\d{3}-)", "0"
-    )
-    dated = F.when(c.rlike(ISO_DATE_PATTERN), ws_trim(c).try_cast("timestamp_ntz")).when(
-        c.rlike(MONTH_FIRST_PATTERN),
-        F.when(year_first.rlike(r"\A\d{4}-"), year_first).otherwise(four_digits).try_cast("timestamp_ntz"),
-    )
-    return F.when(starts_like(c, "0123456789"), dated)
+    text = F.regexp_replace(c, MONTH_FIRST_PATTERN, "$4-$1-$3")
+    for short_year, century in ((r"[0-4]\d", "20"), (r"[5-9]\d", "19"), (r"\d{3}", "0")):
+        text = F.regexp_replace(text, rf"\A(?={short_year}-)", century)
+    return F.when(starts_like(c, DIGITS) & c.rlike(DATE_PATTERN), ws_trim(text).try_cast("timestamp_ntz"))
 
 
 def to_timestamp(c: Column, dtype: T.DataType) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, text_to_num, ws_trim
+from millrace.functions.cells import Cell, bind, text_to_num, ws_trim
 from millrace.operators.conversion import apply_conversion
 
 # Fixed value: what stays when currency symbols are removed.
@@ -29,12 +29,13 @@ def clean_numbers(
     not divided by 100. ``round`` rounds half away from zero.
     """
     cell = Cell(df, column)
-    number = _number(cell, commas, currency, percent, empty_as)
+    bound = bind(df, text=_stripped(cell, commas, currency, percent))
+    number = _number(F.col("_text"), empty_as)
     if round is not None:
         number = F.round(number, round)
-    value = F.when(cell.present, number)
-    failed = cell.present & number.isNull()
-    return apply_conversion(df, cell, value, T.DoubleType(), failed, on_invalid)
+    bound = bind(bound, number=F.when(cell.present, number)).drop("_text")
+    value = F.col("_number")
+    return apply_conversion(bound, cell, value, T.DoubleType(), cell.present & value.isNull(), on_invalid).drop("_number")
 
 
 def not_a_number(
@@ -48,10 +49,10 @@ def not_a_number(
 ) -> Column:
     """Present cells that ``clean_numbers`` with the same options cannot read."""
     cell = Cell(df, column)
-    return cell.present & _number(cell, commas, currency, percent, empty_as).isNull()
+    return cell.present & _number(_stripped(cell, commas, currency, percent), empty_as).isNull()
 
 
-def _number(cell: Cell, commas: bool, currency: bool, percent: bool, empty_as: str) -> Column:
+def _stripped(cell: Cell, commas: bool, currency: bool, percent: bool) -> Column:
     text = ws_trim(cell.text)
     if currency:
         text = F.regexp_replace(text, CURRENCY_NOISE, "")
@@ -59,7 +60,9 @@ def _number(cell: Cell, commas: bool, currency: bool, percent: bool, empty_as: s
         text = F.replace(text, F.lit(","), F.lit(""))
     if percent:
         text = F.replace(text, F.lit("%"), F.lit(""))
+    return text
+
+
+def _number(text: Column, empty_as: str) -> Column:
     number = text_to_num(text)
-    if empty_as == "zero":
-        number = F.when(ws_trim(text) == "", F.lit(0.0)).otherwise(number)
-    return number
+    return F.when(ws_trim(text) == "", F.lit(0.0)).otherwise(number) if empty_as == "zero" else number

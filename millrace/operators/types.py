@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.cells import (
+    DIGITS,
     FALSE_WORDS,
     NUMBER_PATTERN,
     TRUE_WORDS,
     WHITESPACE_CLASS,
     Cell,
+    bind,
     col,
     data_columns,
     is_floating,
@@ -80,7 +82,7 @@ def text_vote(value: Column, cells: str = "text") -> Column:
     """
     vote = (
         F.when(starts_like(value, _BOOLEAN_STARTS) & value.rlike(BOOLEAN_CELL), F.lit("boolean"))
-        .when(~starts_like(value, "-.0123456789"), F.lit("string"))
+        .when(~starts_like(value, "-." + DIGITS), F.lit("string"))
         .when(value.rlike(INTEGER_CELL), F.lit("integer"))
         .when(value.rlike(DECIMAL_CELL), F.lit("decimal"))
         .when(text_to_timestamp(value).isNotNull(), F.lit("date"))
@@ -179,42 +181,54 @@ def with_inferred_types(df: DataFrame, cells: str = "text") -> DataFrame:
     return reduce(lambda d, kv: set_logical_type(d, *kv, True), infer_types(df, cells=cells).items(), df)
 
 
-def converted(cell: Cell, type: str) -> tuple[Column, T.DataType]:
-    """The cell read as a logical type (null where that fails) and the Spark type of the result."""
-    text = ws_trim(cell.text)
-    no_commas = F.replace(text, F.lit(","), F.lit(""))
+def converted(cell: Cell, type: str, text: Column | None = None) -> tuple[Column, T.DataType]:
+    """The cell read as a logical type (null where that fails) and the Spark type of the result.
+
+    ``text`` is the trimmed text of the cell, for numbers without commas, if the caller has bound it to a column.
+    """
     if type in ("integer", "decimal"):
         if isinstance(cell.dtype, T.BooleanType):
             number = F.lit(None).cast("double")
         elif is_string(cell.dtype):
-            number = text_to_num(no_commas)
+            text = _prepared(cell, type) if text is None else text
+            number = text_to_num(text)
         else:
             number = cell.num
         if type == "decimal":
             return number, T.DoubleType()
         if is_integral(cell.dtype):
             return cell.raw.cast("bigint"), T.LongType()
-        exact = F.when(no_commas.rlike(r"\A[+-]?\d+\z"), no_commas.try_cast("bigint"))
-        return F.coalesce(exact, number.try_cast("bigint")), T.LongType()
+        if is_string(cell.dtype):
+            whole = F.when(text.rlike(r"\A[+-]?\d+\z"), text.try_cast("bigint"))  # exact beyond 2**53
+            return F.coalesce(whole, number.try_cast("bigint")), T.LongType()
+        return number.try_cast("bigint"), T.LongType()
+    text = _prepared(cell, type) if text is None else text
     if type == "boolean":
         if isinstance(cell.dtype, T.BooleanType):
             return cell.raw, T.BooleanType()
         word = F.lower(text)
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False), T.BooleanType()
     if type == "date":
-        return cell.date, T.DateType()
+        return (text_to_timestamp(text).cast("date") if cell.is_text else cell.date), T.DateType()
     if type in ("string", "category"):
         return text, T.StringType()
     raise ValueError(f"type is one of {LOGICAL_TYPES}")
 
 
+def _prepared(cell: Cell, type: str) -> Column:
+    text = ws_trim(cell.text)
+    return F.replace(text, F.lit(","), F.lit("")) if type in ("integer", "decimal") else text
+
+
 def convert_type(df: DataFrame, column: str, type: str, on_invalid: str = "rescue") -> DataFrame:
     """Convert a column; missing cells become null and cells that do not convert follow ``on_invalid``."""
     cell = Cell(df, column)
-    value, dtype = converted(cell, type)
-    failed = cell.present & value.isNull()
-    df = apply_conversion(df, cell, F.when(cell.present, value), dtype, failed, on_invalid)
-    return set_logical_type(df, column, type, inferred=False)
+    bound = bind(df, text=_prepared(cell, type))
+    value, dtype = converted(cell, type, F.col("_text"))
+    bound = bind(bound, value=F.when(cell.present, value)).drop("_text")
+    failed = cell.present & F.col("_value").isNull()
+    out = apply_conversion(bound, cell, F.col("_value"), dtype, failed, on_invalid).drop("_value")
+    return set_logical_type(out, column, type, inferred=False)
 
 
 def not_convertible(df: DataFrame, column: str, type: str, **_) -> Column:

@@ -33,6 +33,8 @@ _MISSING_PATTERN = (
 )
 _MISSING_STARTS = "".join(sorted({t[0] for t in MISSING_TOKENS if t} | {t[0].upper() for t in MISSING_TOKENS if t}))
 NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?{_WS}\z"
+# The numbers among these that cannot overflow a double, which is nearly all of them.
+SHORT_NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d{{1,99}}\.?\d{{0,99}}|\.\d{{1,99}})(?:[eE][+-]?\d\d?)?{_WS}\z"
 ISO_DATE_PATTERN = rf"\A{_WS}\d{{4}}-\d{{2}}-\d{{2}}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?{_WS}\z"
 MONTH_FIRST_PATTERN = rf"\A{_WS}(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{2,4}}){_WS}\z"
 DATE_PATTERN = rf"{ISO_DATE_PATTERN}|{MONTH_FIRST_PATTERN}"
@@ -109,8 +111,12 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
 
 def text_to_num(c: Column) -> Column:
     """Decimal number text to double; everything else, overflow included, to null."""
-    n = F.when(starts_like(c, "+-." + DIGITS) & c.rlike(NUMBER_PATTERN), ws_trim(c).try_cast("double"))
-    return F.nullif(F.nullif(n, F.lit(float("inf"))), F.lit(float("-inf")))
+    number = ws_trim(c).try_cast("double")
+    finite = F.get(F.filter(F.array(number), lambda x: F.abs(x) < F.lit(float("inf"))), 0)
+    return F.when(
+        starts_like(c, "+-." + DIGITS),
+        F.when(c.rlike(SHORT_NUMBER_PATTERN), number).when(c.rlike(NUMBER_PATTERN), finite),
+    )
 
 
 def to_num(c: Column, dtype: T.DataType) -> Column:

@@ -26,8 +26,8 @@ def remove_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c not in set(names)])
 
 
-def _column_facts(df: DataFrame) -> tuple[int, dict[str, Row]]:
-    """Row count and, per column, missing count and whether one value is shared by all present cells.
+def column_facts(df: DataFrame) -> DataFrame:
+    """``column, rows, missing, constant``: whether all present cells share one value.
 
     One aggregation with only mergeable states (counts, min, max), so nothing is shuffled but one row per map task.
     Comparing the smallest with the largest text tells a constant column apart without counting distinct values.
@@ -36,14 +36,25 @@ def _column_facts(df: DataFrame) -> tuple[int, dict[str, Row]]:
     stats = [F.count(F.lit(1)).alias("rows")]
     for i, cell in enumerate(cells):
         present = F.when(cell.present, cell.text)
-        stats.append(
-            F.struct(
-                F.count_if(cell.missing).alias("missing"),
-                F.min(present).eqNullSafe(F.max(present)).alias("constant"),
-            ).alias(f"c{i}")
+        stats += [
+            F.count_if(cell.missing).alias(f"missing{i}"),
+            (F.min(present) == F.max(present)).alias(f"constant{i}"),
+        ]
+    listed = [
+        F.struct(
+            F.lit(cell.name).alias("column"),
+            "rows",
+            F.col(f"missing{i}").alias("missing"),
+            F.coalesce(F.col(f"constant{i}"), F.lit(False)).alias("constant"),
         )
-    facts = df.agg(*stats).head()
-    return facts["rows"], {cell.name: facts[f"c{i}"] for i, cell in enumerate(cells)}
+        for i, cell in enumerate(cells)
+    ]
+    return df.agg(*stats).select(F.inline(F.array(*listed)))
+
+
+def _column_facts(df: DataFrame) -> tuple[int, dict[str, Row]]:
+    facts = {r["column"]: r for r in column_facts(df).collect()}
+    return next(iter(facts.values()))["rows"] if facts else 0, facts
 
 
 def remove_empty_columns(df: DataFrame) -> DataFrame:

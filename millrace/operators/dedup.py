@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, col, data_columns, is_floating
+from millrace.functions.cells import Cell, col, data_columns, is_floating, is_numeric
 
 
 def _as_list(order_by: str | list[str] | None) -> list[str]:
@@ -48,17 +49,31 @@ def drop_duplicates(
     if not order:
         raise ValueError("keep='first' and keep='last' need order_by: rows of a DataFrame have no order of their own")
     keys = keys or [c for c in data_columns(df) if c not in order]
-    exact = [k for k in keys if not is_floating(df.schema[k].dataType)]
-    carried = [c for c in df.columns if c not in exact]  # NaN and null share a group, so float keys travel along
-    grouped = df.groupBy(*[Cell(df, k).identity.alias(f"_key{i}") for i, k in enumerate(keys)])
+    pick = F.min_by if keep == "first" else F.max_by
     position = col(order[0]) if len(order) == 1 else F.struct(*[col(c) for c in order])
-    if carried == order and len(order) == 1:
-        pick = F.min if keep == "first" else F.max
-        chosen = grouped.agg(pick(position).alias("_first"))
-        source = {order[0]: F.col("_first")}
-    else:
-        pick = F.min_by if keep == "first" else F.max_by
-        chosen = grouped.agg(pick(F.struct(*[col(c) for c in carried]), position).alias("_row"))
-        source = {c: F.col("_row").getField(c) for c in carried}
-    source |= {k: F.col(f"_key{i}") for i, k in enumerate(keys) if k in exact}
+    carried = [c for c in df.columns if c not in keys]
+    fixed = len(order) == 1 and all(_fixed_width(df.schema[c].dataType) for c in carried)
+    source, aggregates = {}, []
+    for i, k in enumerate(keys):
+        source[k] = F.col(f"_key{i}")
+        if is_floating(df.schema[k].dataType):  # null and NaN share a group; the kept row says which one it had
+            aggregates.append(pick(F.isnan(col(k)), position).alias(f"_nan{i}"))
+            source[k] = F.when(F.col(f"_nan{i}"), F.lit(float("nan"))).otherwise(F.col(f"_key{i}"))
+    if fixed:  # numbers, dates and flags only: Spark hashes such states instead of sorting rows
+        for i, c in enumerate(carried):
+            aggregates.append((pick(col(c), position) if c != order[0] else _edge(keep)(col(c))).alias(f"_carried{i}"))
+            source[c] = F.col(f"_carried{i}")
+    elif carried:
+        aggregates.append(pick(F.struct(*[col(c) for c in carried]), position).alias("_row"))
+        source |= {c: F.col("_row").getField(c) for c in carried}
+    grouped = df.groupBy(*[Cell(df, k).identity.alias(f"_key{i}") for i, k in enumerate(keys)])
+    chosen = grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)))
     return chosen.select(*[source[c].alias(c, metadata=df.schema[c].metadata) for c in df.columns])
+
+
+def _edge(keep: str):
+    return F.min if keep == "first" else F.max
+
+
+def _fixed_width(dtype: T.DataType) -> bool:
+    return is_numeric(dtype) or isinstance(dtype, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))

@@ -100,9 +100,14 @@ def _median(df: DataFrame, cell: Cell, approx: bool) -> Column:
     return F.lit((middle[0] + middle[1]) / 2 if n % 2 == 0 else middle[0]) if n else F.lit(None).cast("double")
 
 
+def _position(keys: list[SortKey]) -> Column:
+    """The order as one comparable value. A bare column, rather than a struct, lets aggregations hash instead of sort."""
+    return keys[0].expr if len(keys) == 1 else F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(keys)])
+
+
 def _mode(df: DataFrame, cell: Cell, order_by) -> Column:
     """Most frequent text; of equally frequent ones the one met first. Counts combine before the shuffle."""
-    first = F.min(F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(as_keys(df, order_by))]))
+    first = F.min(_position(as_keys(df, order_by)))
     counts = df.filter(cell.present).groupBy(cell.text.alias("v")).agg(F.count(F.lit(1)).alias("n"), first.alias("at"))
     return counts.orderBy(F.col("n").desc(), F.col("at")).limit(1).select("v").scalar()
 
@@ -124,7 +129,7 @@ def _carry(
     for g, name in zip(groups, partition_by):
         tagged = tagged.withColumn(g, Cell(df, name).identity)
     present = F.when(cell.present, cell.raw)
-    position = F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(keys)])
+    position = _position(keys)
     pick = F.max_by if forward else F.min_by
     edges = tagged.groupBy(*groups, BUCKET).agg(pick(present, F.when(cell.present, position)).alias("_edge"))
     ranges = SortKey(F.col(BUCKET), ascending=forward).ordered()

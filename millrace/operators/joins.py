@@ -116,7 +116,10 @@ def join_tables(
         flagged = left_in.withColumn("_in_left", F.lit(True)) if how in ("right", "full") else left_in
         joined = flagged.join(right_in, [flagged[n] == right_in[f"_r{n}"] for n in names], how)
         return project(joined, F.col("_in_left").isNull() if how in ("right", "full") else False)
-    out = project(left_in.join(right_in, match, "inner"), False)
+    # Matched keys are equal, so this never holds. It keeps the right key among the columns the inner join reads, as the
+    # anti join below does, and the two can share one shuffle of the right side.
+    keys_differ = F.col(names[0]) != F.col(f"_r{names[0]}") if how in ("right", "full") else False
+    out = project(left_in.join(right_in, match, "inner"), keys_differ)
     if how in ("left", "full"):
         known = right_in.select(*[F.col(f"_r{n}") for n in names]).distinct()
         alone = left_in.join(known, [left_in[n] == known[f"_r{n}"] for n in names], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.cells import Cell, data_columns, text_to_num, to_str
+from millrace.operators.columns import column_facts
 from millrace.operators.dedup import duplicate_groups
 from millrace.operators.types import converted, is_inferred, logical_type
 from millrace.plans.buckets import as_keys
@@ -42,28 +43,39 @@ def _column_stats(df: DataFrame, approx: bool) -> DataFrame:
     second grouping has one group per column and combines before its shuffle. Approximate: one pass with sketches.
     """
     value, num = F.col("value"), F.col("num")
+    # Extremes of text make Spark sort instead of hash, so they are left out unless a column needs them.
+    dates = [c for c in data_columns(df) if logical_type(df, c) == "date"]
+    date_text = F.when(F.col("column").isin(dates), value) if dates else None
+
+    def text_extremes() -> list[Column]:
+        if date_text is None:
+            return []
+        return [F.min(date_text).alias("min_text"), F.max(date_text).alias("max_text")]
+
     if approx:
-        return _long(df).groupBy("column").agg(
+        stats = _long(df).groupBy("column").agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(value.isNull()).alias("missing"),
             F.approx_count_distinct(value).alias("distinct"),
             F.min(num).alias("min_num"),
             F.max(num).alias("max_num"),
-            F.min(value).alias("min_text"),
-            F.max(value).alias("max_text"),
+            *text_extremes(),
         )
-    texts = _long(df).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi")
-    )
-    return texts.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-        F.count(value).alias("distinct"),
-        F.min("lo").alias("min_num"),
-        F.max("hi").alias("max_num"),
-        F.min(value).alias("min_text"),
-        F.max(value).alias("max_text"),
-    )
+    else:
+        texts = _long(df).groupBy("column", "value").agg(
+            F.count(F.lit(1)).alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi")
+        )
+        stats = texts.groupBy("column").agg(
+            F.sum("n").alias("total"),
+            F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+            F.count(value).alias("distinct"),
+            F.min("lo").alias("min_num"),
+            F.max("hi").alias("max_num"),
+            *text_extremes(),
+        )
+    if dates:
+        return stats
+    return stats.withColumns({c: F.lit(None).cast("string") for c in ("min_text", "max_text")})
 
 
 def _examples(df: DataFrame, order_by) -> DataFrame:
@@ -114,23 +126,16 @@ def profile_columns(df: DataFrame, order_by: str | list[str] | None = None, appr
 
 
 def suggest_unnecessary_columns(df: DataFrame) -> DataFrame:
-    """Columns one may want to drop, each with the first reason that applies.
-
-    A column is constant when its smallest and largest text agree, so no distinct values are shuffled: each task sends
-    on one row per column.
-    """
-    value = F.col("value")
-    stats = _long(df).groupBy("column").agg(
-        (F.count_if(value.isNull()) / F.count(F.lit(1))).alias("share"), (F.min(value) == F.max(value)).alias("same")
-    )
-    share, percent = F.col("share"), F.floor(F.col("share") * 100 + 0.5).cast("string")
+    """Columns one may want to drop, each with the first reason that applies."""
+    share = F.when(F.col("rows") > 0, F.col("missing") / F.col("rows")).otherwise(F.lit(0.0))
+    percent = F.floor(share * 100 + 0.5).cast("string")
     reason = (
         F.when(share == 1, F.lit(EMPTY_REASON))
-        .when(F.col("same"), F.lit(CONSTANT_REASON))
+        .when(F.col("constant"), F.lit(CONSTANT_REASON))
         .when(share >= SPARSE_SHARE, F.concat(percent, F.lit(SPARSE_REASON)))
         .when(F.lower("column").startswith("unnamed"), F.lit(INDEX_REASON))
     )
-    return stats.select("column", reason.alias("reason")).filter("reason IS NOT NULL")
+    return column_facts(df).select("column", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def _table_totals(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:

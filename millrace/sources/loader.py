@@ -31,14 +31,17 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported file type .{extension}: use csv, tsv, txt, json, xlsx, parquet or orc")
 
 
-def load(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+def load(spark: SparkSession, path: str, infer: bool = True, row_ids: bool = True) -> DataFrame:
     """Read a file, number its rows in ``_row_id`` and label the columns with inferred types.
 
     Row numbers depend on how the scan is cut into tasks, so the numbered table is written once to the session's shared
-    folder and read back from there: all later steps, re-run tasks included, see the same numbers.
+    folder and read back from there: all later steps, re-run tasks included, see the same numbers. Tables with a key of
+    their own do not need that copy (``row_ids=False``).
     """
-    numbered = read_any(spark, path).withColumn(ROW_ID, F.monotonically_increasing_id())
-    copy = scratch_path(spark, "load")
-    numbered.write.parquet(copy)
-    df = spark.read.schema(numbered.schema).parquet(copy)
+    df = read_any(spark, path)
+    if row_ids:
+        numbered = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        copy = scratch_path(spark, "load")
+        numbered.write.parquet(copy)
+        df = spark.read.schema(numbered.schema).parquet(copy)
     return with_inferred_types(df, cells="typed") if infer else df

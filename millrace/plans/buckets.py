@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import col
+from millrace.functions.cells import bind, col
 
 BUCKET = "_bucket"
 ROWS_PER_BUCKET = 1_000_000  # a range of this many rows is an ordinary sort for one task
@@ -113,7 +113,10 @@ def with_position(df: DataFrame, keys: list[SortKey], name: str = "pos", buckets
     Rows are numbered within their range and shifted by the sizes of the ranges before it. The table of range sizes
     has at most ``MAX_BUCKETS`` rows, which is what makes broadcasting it and the window over it safe.
     """
-    tagged = df.withColumn(BUCKET, range_bucket(df, keys, buckets))
+    # Sort expressions become columns first: the search and the sort mention them many times.
+    keyed = bind(df, **{f"sort{i}": k.expr for i, k in enumerate(keys)})
+    keys = [SortKey(F.col(f"_sort{i}"), k.ascending, k.collation) for i, k in enumerate(keys)]
+    tagged = keyed.withColumn(BUCKET, range_bucket(keyed, keys, buckets))
     earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_size"))
     offsets = offsets.select(BUCKET, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))

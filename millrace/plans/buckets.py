@@ -17,8 +17,8 @@ from millrace.functions.cells import bind, col
 
 BUCKET = "_bucket"
 ROWS_PER_BUCKET = 1_000_000  # a range of this many rows is an ordinary sort for one task
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 32
+MAX_BUCKETS = 32_768
+SAMPLES_PER_BUCKET = 16
 
 
 @dataclass(frozen=True)

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.shipping import ship_code
+from millrace.llm.bpe import encode
+from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
 from millrace.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -32,6 +37,12 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+@query("op3_best_fit_packing", "documents")
+def best_fit_packing(documents: DataFrame) -> DataFrame:
+    packed = pack(documents, BYTE_BPE)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query(
     "op4_quality_rules",
     "documents",
@@ -68,6 +79,17 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     return quality_verdicts(documents)
 
 
+@query("op5_bpe_round_trip", "documents")
+def bpe_round_trip(documents: DataFrame) -> DataFrame:
+    tokens = encode(documents, BYTE_BPE, decoded=True)
+    return tokens.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op7_url_filter",
     "pages",

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from checks.shipping import ship_code
 from millrace.llm.bpe import encode
+from millrace.llm.graph_search import nearest_vectors
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
+from millrace.llm.toxicity import toxicity_scores
 from millrace.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,13 +23,13 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register a query that turns one whole table into its result."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register a query that turns whole tables into its result."""
 
-    def register(build: Callable[[DataFrame], DataFrame]):
+    def register(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_code(spark)
-            return build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return build(*[spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables.split()])
 
         QUERIES[name] = run
         if sql is not None:
@@ -108,3 +110,16 @@ QUALIFY row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule
 def url_filter(pages: DataFrame) -> DataFrame:
     rules = pages.sparkSession.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(pages, rules)
+
+
+@query("op8_graph_search", "embeddings")
+def graph_search(embeddings: DataFrame) -> DataFrame:
+    return nearest_vectors(embeddings, F.col("vec_id") % 20 == 0)
+
+
+@query("op10_toxicity", "documents labels")
+def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scores = toxicity_scores(documents, labels.where(~held_out))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", predicted)

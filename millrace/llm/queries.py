@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks.shipping import ship_code
 from millrace.llm.bpe import encode
 from millrace.llm.graph_search import nearest_vectors
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
 from millrace.llm.toxicity import toxicity_scores
@@ -92,6 +93,11 @@ def bpe_round_trip(documents: DataFrame) -> DataFrame:
     )
 
 
+@query("op6_near_dedup", "documents")
+def near_dedup(documents: DataFrame) -> DataFrame:
+    return near_duplicates(documents, percent=85)
+
+
 @query(
     "op7_url_filter",
     "pages",

@@ -42,3 +42,14 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+#: Tables of narrow rows up to this count are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted, are at most ``limit``. Give it settled tables only."""
+    from pyspark.sql.functions import broadcast
+
+    return broadcast(df) if df.limit(limit + 1).count() <= limit else df

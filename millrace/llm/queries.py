@@ -14,6 +14,7 @@ from millrace.llm.graph_search import nearest_vectors
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
+from millrace.llm.surrogates import replace_personal_data
 from millrace.llm.toxicity import toxicity_scores
 from millrace.llm.url_filter import judge_urls
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PII_KEY = "key of the checked query"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -40,6 +42,11 @@ def query(name: str, tables: str, sql: str | None = None):
     return register
 
 
+@query("op2_pii_surrogates", "documents")
+def pii_surrogates(documents: DataFrame) -> DataFrame:
+    return replace_personal_data(documents, PII_KEY).select("doc_id", "text")
+
+
 @query("op3_best_fit_packing", "documents")
 def best_fit_packing(documents: DataFrame) -> DataFrame:
     packed = pack(documents, BYTE_BPE)

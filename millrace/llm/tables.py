@@ -53,3 +53,14 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql.functions import broadcast
 
     return broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

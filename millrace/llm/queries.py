@@ -14,6 +14,7 @@ from millrace.llm.graph_search import nearest_vectors
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
+from millrace.llm.repeats import remove_repeats
 from millrace.llm.surrogates import replace_personal_data
 from millrace.llm.toxicity import toxicity_scores
 from millrace.llm.url_filter import judge_urls
@@ -130,6 +131,18 @@ def graph_search(embeddings: DataFrame) -> DataFrame:
     return nearest_vectors(embeddings, F.col("vec_id") % 20 == 0)
 
 
+@query("op9_suffix_dedup", "documents")
+def suffix_dedup(documents: DataFrame) -> DataFrame:
+    cut = remove_repeats(documents.select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op10_toxicity", "documents labels")
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

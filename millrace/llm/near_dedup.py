@@ -79,75 +79,94 @@ def _full_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), shingles], ["k1", "k2", "shingles"])
 
 
-def _listed(nodes: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists ``(value, node, n)``, of the values of each sketch that a linked one has to share one of.
+def _listed(values: DataFrame, least: Column) -> DataFrame:
+    """Inverted lists of the values that a set has to share one of with any set linked to it.
 
-    Two linked sketches share at least ``least`` values, so they share one of the ``held - least + 1`` rarest that either
-    holds, ``held`` being its values that occur elsewhere too. Common passages are among the others.
+    ``values``: ``value``, ``node``, ``n``. Two linked sets share at least ``least`` of these values, so they share one of the
+    ``held - least + 1`` rarest that either holds, ``held`` being its values that occur elsewhere too. Common passages are
+    among the others. ``place`` counts a set's values from the rarest, those that occur nowhere else first.
     """
-    values = nodes.select("node", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(shared, "value")
     own = Window.partitionBy("node")
-    least = F.least(F.lit(least_shared(percent)), F.ceil(F.col("n") * percent / 100))
     return (
         held.withColumn("held", F.count("*").over(own))
         .where(F.col("held") >= least)
-        .withColumn("place", F.row_number().over(own.orderBy("df", "value")))
-        .where(F.col("place") <= F.col("held") - least + 1)
-        .select("value", "node", "n")
+        .withColumn("order", F.row_number().over(own.orderBy("df", "value")))
+        .where(F.col("order") <= F.col("held") - least + 1)
+        .select("value", "node", "n", (F.col("n") - F.col("held") + F.col("order")).alias("place"))
     )
 
 
 def _sizes_fit(percent: int) -> Column:
     """Sets whose sizes differ by more cannot be linked."""
-    return F.greatest("n", "n_hub") * percent <= F.least("n", "n_hub") * 100
+    return F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100
+
 
+def _sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node``, ``n`` and full ``shingles`` of some settled nodes, from the texts of the documents that name them."""
+    chosen = sized(nodes.select(F.col("id").alias("end_id")).distinct())
+    texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("end_id")), "left_semi").select("text")
+    sets = texts.mapInArrow(_full_sets, "k1 long, k2 long, shingles array<long>")
+    named = sets.join(sized(nodes.select("node", "n", "k1", "k2")), ["k1", "k2"])
+    return settle(named.dropDuplicates(["node"]).select("node", "n", "shingles"), "sets")
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets overlap enough: first by the union's sketch, then exactly."""
-    pairs = settle(pairs.where(_sizes_fit(percent)).select("a", "b").distinct(), "pairs")
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketch of their union doesn't rule out."""
     sketch = lambda k: nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.col("union")))
     least = F.when(F.size("union") < SKETCH, F.ceil(F.size("union") * percent / 100)).otherwise(least_shared(percent))
-    likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").withColumn("union", union).where(both >= least).select("a", "b")
-    likely = settle(likely, "likely-pairs")
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    ends = settle(ends.join(nodes.select("node", "id", "k1", "k2"), "node"), "pair-ends")
-    chosen = sized(ends.select(F.col("id").alias("end_id")).distinct())
-    texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("end_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets, "k1 long, k2 long, shingles array<long>")
-    sets = settle(sets.join(sized(ends.select("node", "k1", "k2")), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    met = pairs.join(sketch("a"), "a").join(sketch("b"), "b").withColumn("union", union)
+    return settle(met.where(both >= least).select("a", "b"), "likely-pairs")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets overlap enough."""
     full = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
     overlap = F.size(F.array_intersect("set_a", "set_b"))
-    exact = likely.join(full("b"), "b").join(full("a"), "a").withColumn("overlap", overlap)
+    met = pairs.join(full("b"), "b").join(full("a"), "a").withColumn("overlap", overlap)
     total = F.size("set_a") + F.size("set_b") - F.col("overlap")
-    return settle(exact.where(F.col("overlap") * 100 >= total * percent).select("a", "b"), "links")
+    return settle(met.where(F.col("overlap") * 100 >= total * percent).select("a", "b"), "links")
+
+
+def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists, with ``root``, whose members are not all in one component yet."""
+    placed = lists.join(settle(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return placed.join(several.select("value"), "value")
 
 
 def _links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between different sets, enough of them for the components.
 
-    Every list first compares its members with one of them, its hub: most groups of copies are one component after that.
-    Then members of one list that are still in different components are compared; pairs in one component need no link.
+    First, each list of sketch values compares its members with one of them, its hub: most groups of copies are one component
+    after that, and pairs in one component need no further link. The members of lists that still hold several components
+    are then listed by their full sets, which have no sampling error: there the rarest values are fewer, and their places
+    bound how much two sets can share, so sets around a common passage or a distant original no longer meet.
     """
-    lists = settle(_listed(nodes, percent), "lists")
+    values = nodes.select("node", "n", F.explode("sketch").alias("value"))
+    lists = settle(_listed(values, F.least(F.lit(least_shared(percent)), F.ceil(F.col("n") * percent / 100))), "lists")
     hub = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
     spokes = lists.join(hub, "value").where("node != hub.node")
-    spokes = spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("n_hub"))
-    links = _confirmed(spokes, nodes, docs, percent)
-    roots = components(links)
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_lists = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    hubs = hub.select("value", F.col("hub.node").alias("hub_node"))
-    # The hub has met all members of its list already.
-    open_rows = placed.join(mixed_lists.select("value"), "value").join(hubs, "value").where("node != hub_node")
-    open_rows = settle(open_rows.select("value", "node", "n", "root"), "open-lists")
-    left = open_rows.select("value", F.col("node").alias("a"), F.col("n").alias("n_hub"), F.col("root").alias("root_a"))
-    right = open_rows.select("value", F.col("node").alias("b"), "n", F.col("root").alias("root_b"))
-    across = left.join(right, "value").where(F.col("a") < F.col("b")).where(F.col("root_a") != F.col("root_b")).where(_sizes_fit(percent))
-    return links.union(_confirmed(across, nodes, docs, percent))
+    spokes = spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hub.n").alias("n_a"))
+    likely = _likely(settle(spokes.where(_sizes_fit(percent)).select("a", "b").distinct(), "pairs"), nodes, percent)
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    keys = nodes.select("node", "n", "id", "k1", "k2")
+    links = _exact(likely, _sets_of(settle(ends.join(keys, "node"), "pair-ends"), docs), percent)
+
+    open_nodes = settle(_mixed(lists, links).select("node").distinct().join(keys, "node"), "open-nodes")
+    sets = _sets_of(open_nodes, docs)
+    full = _listed(sets.select("node", "n", F.explode("shingles").alias("value")), F.ceil(F.col("n") * percent / 100))
+    rows = settle(_mixed(full, links).select("value", "node", "n", "place", "root"), "open-lists")
+    side = lambda k: rows.select("value", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "place", "root")])
+    # Sets linked at p share p / (1 + p) of their sizes' sum; what stands before the first shared value is lost to both.
+    shared = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    possible = (F.col("n_a") - F.col("place_a") + 1 >= shared) & (F.col("n_b") - F.col("place_b") + 1 >= shared)
+    across = side("a").join(side("b"), "value").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & possible)
+    rest = settle(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    return links.union(_exact(_likely(rest, nodes, percent), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -161,7 +180,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     rows with the smallest id are all kept. Other columns are not read, an empty table gives an empty one.
 
     Equal sets are one node. A node's sketch is the ``SKETCH`` least hashes of its set. Groups of copies are linked through
-    hubs, never as all their pairs.
+    hubs, and only sets near the threshold of one another are compared beyond that.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks.shipping import ship_code
 from millrace.llm.bpe import encode
 from millrace.llm.graph_search import nearest_vectors
+from millrace.llm.licenses import scan_licenses
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
@@ -43,6 +44,17 @@ def query(name: str, tables: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan", "documents")
+def license_scan(documents: DataFrame) -> DataFrame:
+    """Per document the licences found, the best coefficient and whether one is the whole text."""
+    found = scan_licenses(documents).groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("license")).alias("licenses"), F.max("dice").alias("best_dice"), F.max("whole_text").alias("whole_text")
+    )
+    joined = documents.select("doc_id").join(found, "doc_id", "left")
+    listed = F.coalesce(F.array_join("licenses", "; "), F.lit("")).alias("licenses")
+    return joined.select("doc_id", listed, F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"), F.coalesce("whole_text", F.lit(False)).alias("whole_text"))
+
+
 @query("op2_pii_surrogates", "documents")
 def pii_surrogates(documents: DataFrame) -> DataFrame:
     return replace_personal_data(documents, PII_KEY).select("doc_id", "text")

@@ -254,6 +254,7 @@ def toxicity_scores(
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     fitted = rows.join(F.broadcast(known), "id").select("text", "label").repartition(1)
     model = fitted.mapInArrow(_fit, "names array<long>, weights array<double>, constant double").first()
+    model = model or {"names": [], "weights": [], "constant": -4.0}
     names, weights = np.array(model["names"], np.int64).view(np.uint64), np.array(model["weights"], float)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, score double"
     return rows.mapInArrow(_score(names, weights, model["constant"]), schema).withColumnRenamed("id", id)

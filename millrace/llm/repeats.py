@@ -18,7 +18,7 @@ from millrace.llm.words import mixed
 
 LENGTH, GRAM = 400, 64
 #: Bytes of stretches in a shard, and in one anchor's group before it is split by the hash of whole strings.
-SHARD_BYTES, GROUP_BYTES = 5 << 20, 1 << 20
+SHARD_BYTES, GROUP_BYTES = 1 << 20, 1 << 19
 #: A text is looked at in windows of so many bytes, which overlap by a repeat.
 _WINDOW = 1 << 22
 
@@ -144,25 +144,28 @@ def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     new[1:] = key[order[1:]] != key[order[:-1]]
     first = np.flatnonzero(new)
     rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    shift = 7
+    shift, bits = 7, int(n).bit_length()
     while shift < depth:
         sizes = np.diff(np.append(np.flatnonzero(new), n))
         tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
         if not len(tied):
             break
         suffix = order[tied]
-        after = suffix + shift
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        pair = rank[suffix] << 32 | second
-        by = np.argsort(pair)
+        # As many ranks as fit into one number: each round multiplies the sorted depth by that.
+        ranks = 63 // bits
+        key = rank[suffix]
+        for k in range(1, ranks):
+            after = suffix + k * shift
+            key = key << bits | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
         order[tied] = suffix = suffix[by]
-        pair = pair[by]
+        key = key[by]
         differs = np.ones(len(tied), bool)
-        differs[1:] = pair[1:] != pair[:-1]
+        differs[1:] = key[1:] != key[:-1]
         new[tied] = differs
         start = np.flatnonzero(differs)
         rank[suffix] = np.repeat(tied[start], np.diff(np.append(start, len(tied))))
-        shift *= 2
+        shift *= ranks
     return order
 
 
@@ -175,96 +178,114 @@ def bounded_boundaries(text: np.ndarray, suffixes: np.ndarray, length: int) -> n
     """
     n, end = len(text), 0x100
     bwt = text[suffixes - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
-    to = np.empty(n, np.int64)
-    to[by_symbol] = np.arange(n)
-    before, after = np.full(n, -1), np.full(n, n)
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
+    to = np.empty(n, np.int32)
+    to[by_symbol] = np.arange(n, dtype=np.int32)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
+    before[bwt == end], after[bwt == end] = n, -1
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):
         sizes = hi - lo
         total = int(sizes.sum())
         if not total:
             break
-        skipped = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
-        at = np.arange(total) + skipped
-        # In its interval, a symbol's first place has no like place before it, its last none after it.
-        first = at[before[at] < np.repeat(lo, sizes)]
-        last_flag = after[at] >= np.repeat(hi, sizes)
-        last = at[last_flag]
-        which_first = np.searchsorted(lo, first, "right")
-        which_last = np.searchsorted(lo, last, "right")
-        first, which_first = first[bwt[first] != end], which_first[bwt[first] != end]
-        last, which_last = last[bwt[last] != end], which_last[bwt[last] != end]
-        left = to[first][np.argsort(which_first * (n + 1) + to[first])]
-        right = to[last][np.argsort(which_last * (n + 1) + to[last])] + 1
-        fresh_ = ~known[right]
-        lo, hi = left[fresh_], right[fresh_]
+        at = np.arange(total, dtype=np.int32) + np.repeat(lo - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+        # In its interval, a symbol's first place has no like place before it, its last none after it. Extensions are
+        # disjoint intervals, so their ends in ascending order belong together.
+        left = np.sort(to[at[before[at] < np.repeat(lo, sizes)]])
+        right = np.sort(to[at[after[at] >= np.repeat(hi, sizes)]]) + 1
+        kept = ~known[right]
+        lo, hi = left[kept], right[kept]
         known[hi] = True
-        order = np.argsort(lo)
-        lo, hi = lo[order], hi[order]
     return known[:n]
 
 
+PIECE = "struct<gram:bigint,stretch:bigint,n:int,weight:bigint,at:int>"
+
+
 def _repeated(length: int):
-    """For the stretches of a shard: which of their strings start in more than one place."""
+    """For the runs of a shard: which of their pieces' strings start in more than one place."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         chunks = table.column("bytes").combine_chunks().cast(pa.large_binary())
-        n, weight = table.column("n").to_numpy(), table.column("weight").to_numpy()
+        pieces = table.column("pieces").combine_chunks()
+        owner, flat = np.repeat(np.arange(len(pieces)), pieces.value_lengths().to_numpy()), pieces.flatten()
+        n, weight, at = (flat.field(c).to_numpy().astype(np.int64) for c in ("n", "weight", "at"))
         _, offsets, data = chunks.buffers()
         offsets = np.frombuffer(offsets, np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
         data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
         sizes = np.diff(offsets)
         starts = offsets[:-1] - offsets[0] + np.arange(len(sizes))
         text = np.full(len(data) + len(sizes), 0x100, np.uint16)
-        inner = np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)
-        text[inner] = data
+        text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
         suffixes = _sorted_suffixes(text + np.uint16(1), length)
-        group = np.cumsum(bounded_boundaries(text, suffixes, length)) - 1
+        group = np.cumsum(bounded_boundaries(text, suffixes, length), dtype=np.int32) - 1
+        begin = starts[owner] + at
+        own = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         places = np.zeros(len(text), np.int64)
-        own = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         places[own] = np.repeat(weight, n)
         total = np.bincount(group, places[suffixes])
         twice = np.zeros(len(text), bool)
         twice[suffixes] = (total >= 2)[group]
-        flags = np.zeros(len(text) + 1, np.int8)
-        flags[own] = twice[own]
+        # Piece by piece, with a gap between them: spans never run from one into the next.
+        place = np.repeat(np.arange(len(n)), n) + np.arange(len(own))
+        flags = np.zeros(len(own) + len(n) + 1, np.int8)
+        flags[place] = twice[own]
         steps = np.diff(flags, prepend=0)
-        begin, stop = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-        owner = np.searchsorted(starts, begin, "right") - 1
+        first, stop = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+        heads = np.cumsum(n) - n + np.arange(len(n))
+        piece = np.searchsorted(heads, first, "right") - 1
         return pa.table(
-            {
-                "gram": table.column("gram").take(pa.array(owner)),
-                "stretch": table.column("stretch").take(pa.array(owner)),
-                "n": table.column("n").take(pa.array(owner)),
-                "from": pa.array(begin - starts[owner]),
-                "to": pa.array(stop - starts[owner]),
-            }
+            {c: flat.field(c).take(pa.array(piece)) for c in ("gram", "stretch", "n")}
+            | {"from": pa.array(first - heads[piece]), "to": pa.array(stop - heads[piece])}
         )
 
     return run
 
 
-def _cut_out(batches):
-    """Stretches of texts: ``takes`` lists what to take from each."""
-    for batch in batches:
-        takes = batch.column(1)
-        owner = np.repeat(np.arange(batch.num_rows), takes.value_lengths().to_numpy())
-        flat = takes.flatten()
-        lo, n, length = (np.array(flat.field(c)) for c in ("lo", "n", "length"))
-        texts = batch.column(0).cast(pa.binary())
-        held, current, out = -1, b"", []
-        for k, row in enumerate(owner.tolist()):
-            if row != held:
-                held, current = row, texts[row].as_py()
-            out.append(current[lo[k] : lo[k] + n[k] + length[k] - 1])
-        yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("stretch"), flat.field("n"), flat.field("weight"), pa.array(out, pa.binary())], ["gram", "stretch", "n", "weight", "bytes"])
+def _cut_out(length: int):
+    """Runs of bytes from texts. Pieces that share their anchor with no other are cut together where they overlap."""
+
+    def run(batches):
+        for batch in batches:
+            texts, takes = batch.column(1).cast(pa.binary()), batch.column(2)
+            ends, flat = np.cumsum(takes.value_lengths().to_numpy()), takes.flatten()
+            lo, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "n"))
+            alone = flat.field("alone").to_numpy(zero_copy_only=False)
+            shard, out, counts, order, offsets = [], [], [], [], []
+            gram = flat.field("gram").to_numpy()
+            for row in range(batch.num_rows):
+                text, key = texts[row].as_py(), batch.column(0)[row].as_py()
+                mine = np.arange(ends[row - 1] if row else 0, ends[row])
+                mine = mine[np.argsort(lo[mine], kind="stable")]
+                for k in mine[~alone[mine]].tolist():
+                    shard.append(gram[k]), counts.append(1), order.append(k), offsets.append(0)
+                    out.append(text[lo[k] : lo[k] + n[k] + length - 1])
+                start = stop = -1
+                for k in mine[alone[mine]].tolist():
+                    if lo[k] >= stop:
+                        if stop >= 0:
+                            out.append(text[start:stop])
+                        start = lo[k]
+                        shard.append(key), counts.append(0)
+                    stop = lo[k] + n[k] + length - 1
+                    counts[-1] += 1
+                    order.append(k), offsets.append(lo[k] - start)
+                if stop >= 0:
+                    out.append(text[start:stop])
+            chosen = flat.take(pa.array(order, pa.int64()))
+            fields = [chosen.field(c) for c in ("gram", "stretch", "n", "weight")] + [pa.array(offsets, pa.int32())]
+            pieces = pa.StructArray.from_arrays(fields, ["gram", "stretch", "n", "weight", "at"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(out, pa.binary()), lists], ["shard", "bytes", "pieces"])
+
+    return run
 
 
 def _string_hashes(length: int):
@@ -300,22 +321,26 @@ def repeat_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     )
     places = settle(places, "repeat-places")
     stretches = places.groupBy("gram", "stretch", "n").agg(F.sum("copies").alias("weight"), F.min(F.struct("key", "size", "lo")).alias("sample"))
-    takes = stretches.groupBy("sample.key", "sample.size").agg(
-        F.collect_list(F.struct("gram", "stretch", "n", "weight", F.col("sample.lo").alias("lo"), F.lit(length).alias("length"))).alias("takes")
+    stretches = settle(stretches, "stretches")
+    groups = stretches.groupBy("gram").agg(F.count("*").alias("different"), F.sum(F.col("n") + length - 1).alias("held"))
+    # A stretch that is alone with its anchor and occurs once holds no repeat.
+    sized_up = stretches.join(groups, "gram").where("different > 1 or weight > 1")
+    takes = sized_up.groupBy("sample.key", "sample.size").agg(
+        F.collect_list(F.struct("gram", "stretch", "n", "weight", F.col("sample.lo").alias("lo"), (F.col("different") == 1).alias("alone"))).alias("takes")
     )
     takes = settle(takes, "repeat-takes")
     once = texts.join(sized(takes.select("key", "size")), ["key", "size"], "left_semi").dropDuplicates(["key", "size"])
-    cut = once.join(takes, ["key", "size"]).select("bytes", "takes")
-    cut = settle(cut.mapInArrow(_cut_out, "gram long, stretch long, n int, weight long, bytes binary"), "stretches")
-    total = cut.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    runs = once.join(takes, ["key", "size"]).select("key", "bytes", "takes")
+    runs = settle(runs.mapInArrow(_cut_out(length), f"shard long, bytes binary, pieces array<{PIECE}>"), "repeat-runs")
+    total = runs.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    crowded = settle(cut.groupBy("gram").agg(F.sum(F.length("bytes")).alias("b")).where(F.col("b") > GROUP_BYTES).select("gram"), "crowded-anchors")
-    crowded = sized(crowded)
+    crowded = sized(settle(groups.where((F.col("held") > GROUP_BYTES) & (F.col("different") > 1)).select(F.col("gram").alias("shard")), "crowded-anchors"))
     found = "gram long, stretch long, n int, from long, to long"
-    few = cut.join(crowded, "gram", "left_anti").withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    by_transform = few.groupBy("shard").applyInArrow(_repeated(length), found)
+    few = runs.join(crowded, "shard", "left_anti").withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(shards)))
+    by_transform = few.groupBy("part").applyInArrow(_repeated(length), found)
     # Anchors with very many different stretches: their strings are counted by hash, in aggregations that split.
-    strings = cut.join(crowded, "gram", "left_semi").mapInArrow(
+    single = runs.join(crowded, "shard", "left_semi").select("bytes", F.explode("pieces").alias("p"))
+    strings = single.select("p.gram", "p.stretch", "p.n", "p.weight", "bytes").mapInArrow(
         _string_hashes(length), "gram long, stretch long, n int, weight long, at long, one long, two long"
     )
     twice = strings.groupBy("gram", "one", "two").agg(F.sum("weight").alias("total")).where("total > 1")

@@ -353,6 +353,7 @@ def plain_removal(rows, length):
 @pytest.mark.parametrize("length", [400, 100])
 def test_repeats(docs, nothing, monkeypatch, length, group_bytes):
     monkeypatch.setattr(repeats, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1 << 14)
     cut = repeats.remove_repeats(docs, length=length)
     assert cut.columns[: len(docs.columns)] == docs.columns
     got = cut.select("doc_id", F.sha2(F.col(cut.columns[-2]), 256), F.size(cut.columns[-1])).collect()

@@ -138,27 +138,35 @@ def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(several.select("value"), "value")
 
 
+def _spokes(lists: DataFrame, percent: int) -> DataFrame:
+    """Every list's members with its hub, the one with the fewest rarer values: nearest to what they have in common."""
+    hub = lists.groupBy("value").agg(F.min(F.struct("place", "node", "n")).alias("hub"))
+    met = lists.join(hub, "value").where("node != hub.node")
+    pairs = met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hub.n").alias("n_a"))
+    return settle(pairs.where(_sizes_fit(percent)).select("a", "b").distinct(), "pairs")
+
+
 def _links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between different sets, enough of them for the components.
 
     First, each list of sketch values compares its members with one of them, its hub: most groups of copies are one component
     after that, and pairs in one component need no further link. The members of lists that still hold several components
-    are then listed by their full sets, which have no sampling error: there the rarest values are fewer, and their places
-    bound how much two sets can share, so sets around a common passage or a distant original no longer meet.
+    are then listed by their full sets, which have no sampling error, and compared with the hubs of these lists. What is
+    left open meets in pairs: the rarest values are few there, and their places bound how much two sets can share, so sets
+    around a common passage or a distant original do not meet.
     """
     values = nodes.select("node", "n", F.explode("sketch").alias("value"))
     lists = settle(_listed(values, F.least(F.lit(least_shared(percent)), F.ceil(F.col("n") * percent / 100))), "lists")
-    hub = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
-    spokes = lists.join(hub, "value").where("node != hub.node")
-    spokes = spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hub.n").alias("n_a"))
-    likely = _likely(settle(spokes.where(_sizes_fit(percent)).select("a", "b").distinct(), "pairs"), nodes, percent)
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     keys = nodes.select("node", "n", "id", "k1", "k2")
+    likely = _likely(_spokes(lists, percent), nodes, percent)
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     links = _exact(likely, _sets_of(settle(ends.join(keys, "node"), "pair-ends"), docs), percent)
 
     open_nodes = settle(_mixed(lists, links).select("node").distinct().join(keys, "node"), "open-nodes")
     sets = _sets_of(open_nodes, docs)
-    full = _listed(sets.select("node", "n", F.explode("shingles").alias("value")), F.ceil(F.col("n") * percent / 100))
+    full = settle(_listed(sets.select("node", "n", F.explode("shingles").alias("value")), F.ceil(F.col("n") * percent / 100)), "full-lists")
+    near_hubs = _likely(_spokes(_mixed(full, links).drop("root"), percent), nodes, percent)
+    links = settle(links.union(_exact(near_hubs, sets, percent)), "links")
     rows = settle(_mixed(full, links).select("value", "node", "n", "place", "root"), "open-lists")
     side = lambda k: rows.select("value", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "place", "root")])
     # Sets linked at p share p / (1 + p) of their sizes' sum; what stands before the first shared value is lost to both.

@@ -269,3 +269,44 @@ def _(orders, customers):
         .add("join_tables", table="customers", keys=[["o_custkey", "c_custkey"]], how="left")
     )
     return recipe.apply(orders, {"customers": customers.select("c_custkey", "name", "segment")})
+
+# --- files that are easy to read wrongly --------------------------------------------------------------------------
+
+
+@check(
+    "csv_roundtrip_events",
+    "events",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, ts, CAST(user_id AS VARCHAR) AS user_id, event_type, value, value / 1e9 AS small, props FROM events""",
+)
+def _(df):
+    """Times and doubles come back to the last digit."""
+    path = scratch_path(df.sparkSession, "csv")
+    mr.save_delimited(df.withColumn("small", F.col("value") / 1e9), path)
+    back = mr.load_delimited(df.sparkSession, path, ",")
+    return back.withColumns({c: F.col(c).cast(t) for c, t in (("ts", "timestamp_ntz"), ("value", "double"), ("small", "double"))})
+
+
+@check("json_mixed_layouts", "customer", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(df):
+    """A folder with JSON Lines, an array and a document."""
+    path = scratch_path(df.sparkSession, "json")
+    rows = df.select("c_custkey", "c_name", "c_acctbal")
+    part = F.col("c_custkey") % 3
+    rows.filter(part == 0).write.mode("append").json(path)
+    items = F.to_json(F.collect_list(F.struct("*")))
+    rows.filter(part == 1).agg(items.alias("value")).write.mode("append").text(path)
+    document = F.concat(F.lit('{\n"rows": '), items, F.lit("\n}"))
+    rows.filter(part == 2).agg(document.alias("value")).write.mode("append").text(path)
+    return mr.load_json(df.sparkSession, path)
+
+
+@check("load_many_files", "orders", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders")
+def _(df):
+    """Row numbers follow the names of files, of which the later ones are the larger."""
+    path = scratch_path(df.sparkSession, "parquet")
+    last = df.agg(F.max("o_orderkey")).head()[0]
+    edges = [0, last // 20, last // 4, last + 1]
+    for k in range(3):
+        some = df.filter(F.col("o_orderkey").between(edges[k] + (k > 0), edges[k + 1]))
+        some.select("o_orderkey", "o_totalprice").coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(f"{path}.parquet/part={k}")
+    return mr.load(df.sparkSession, f"{path}.parquet", infer=False).drop("part")

@@ -222,3 +222,25 @@ check(
         "c_custkey", F.array_join("_violations", ";").alias("violations")
     )
 )
+
+# Every time differs, some by fractions of a second only.
+check("validate_unique_ts", "events", "SELECT 'ts unique' AS rule, 'ts' AS column, 'unique' AS type, count(DISTINCT ts) AS valid_count, count(*) - count(DISTINCT ts) AS invalid_count FROM events")(
+    lambda df: mr.validate(df, [{"column": "ts", "type": "unique"}]).rules
+)
+
+# A quarter of the right side has one key, and every left key meets it or none.
+_HOT_SIDE = "SELECT CASE WHEN o_orderkey % 4 = 0 THEN 7 ELSE o_custkey END AS ref, o_orderkey, o_totalprice FROM orders"
+for _how in ("left", "full"):
+    check(
+        f"join_{_how}_hot",
+        ("customer", "orders"),
+        f"""WITH r AS ({_HOT_SIDE}) SELECT coalesce(l.c_custkey, r.ref) AS c_custkey, l.c_name, l.c_nationkey, l.c_acctbal, l.c_mktsegment,
+        r.o_orderkey, r.o_totalprice FROM customer l {_how} JOIN r ON l.c_custkey = r.ref""",
+    )(
+        lambda l, r, how=_how: mr.join_tables(
+            l,
+            r.select(F.when(F.col("o_orderkey") % 4 == 0, 7).otherwise(F.col("o_custkey")).alias("ref"), "o_orderkey", "o_totalprice"),
+            [("c_custkey", "ref")],
+            how,
+        )
+    )

@@ -253,3 +253,42 @@ def _(df):
 )
 def _(df):
     return mr.combine_columns(df, ["name", "segment", "acctbal"], "combined", " / ")
+
+# --- orders and names that are easy to get wrong ----------------------------------------------------------------
+
+_NULL_ORDER = "SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS place, user_id, event_id % 3 AS part, value FROM events"
+check(
+    "dedup_null_order",
+    "events",
+    f"""WITH e AS ({_NULL_ORDER}), m AS (
+      SELECT place, user_id, part, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id, part, value ORDER BY place NULLS FIRST) = 1)
+    SELECT * FROM m""",
+)(
+    lambda df: mr.drop_duplicates(
+        df.select(F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("place"), "user_id", (F.col("event_id") % 3).alias("part"), "value"),
+        keys=["user_id", "part", "value"],
+        order_by="place",
+    )
+)
+
+_GAPS = "SELECT event_id, CASE WHEN event_id > 0 THEN event_id END AS place, CASE WHEN event_id % 5 = 0 THEN value END AS v FROM events"
+_CARRIED = f"""WITH e AS ({_GAPS})
+  SELECT event_id, place, last_value(v IGNORE NULLS) OVER (ORDER BY place NULLS FIRST ROWS UNBOUNDED PRECEDING) AS v FROM e"""
+for _ranges in (1, 16):
+    check(f"fill_previous_null_order_{_ranges}", "events", _CARRIED)(
+        lambda df, ranges=_ranges: mr.fill_missing(
+            df.select(
+                "event_id",
+                F.when(F.col("event_id") > 0, F.col("event_id")).alias("place"),
+                F.when(F.col("event_id") % 5 == 0, F.col("value")).alias("v"),
+            ),
+            "v",
+            "previous",
+            order_by="place",
+            buckets=ranges,
+        )
+    )
+
+check("dups_column_n", "events", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_type, user_id % 50 FROM events)) AS duplicates FROM events")(
+    lambda df: mr.count_duplicates(df.select(F.col("event_type").alias("N"), (F.col("user_id") % 50).alias("n_")).withColumnRenamed("n_", "_n"))
+)

@@ -91,13 +91,32 @@ def ws_trim(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE_CHARS))
 
 
-def bind(df: DataFrame, **exprs: Column) -> DataFrame:
-    """Compute helper columns in a projection of their own.
+def name_folder(df: DataFrame):
+    """How Spark tells column names apart in this session: by letter case, or not (the default)."""
+    exact = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
+    return str if exact else str.lower
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Helper column names like ``names`` that no column of the table has."""
+    fold = name_folder(df)
+    taken, out = {fold(c) for c in df.columns}, []
+    for name in names:
+        while fold(name) in taken:
+            name = f"_{name}"
+        taken.add(fold(name))
+        out.append(name)
+    return out
+
+
+def bind(df: DataFrame, *exprs: Column) -> tuple[DataFrame, list[str]]:
+    """Compute helper columns in a projection of their own; returns the table and the helpers' names.
 
     A rule mentions its input several times. If that input is an expression, Spark would evaluate it at each mention;
     as a column it is computed once, because the optimizer keeps projections apart whose results are used repeatedly.
     """
-    return df.withColumns({f"_{name}": e for name, e in exprs.items()})
+    names = fresh(df, *[f"_bound{i}" for i in range(len(exprs))])
+    return df.withColumns(dict(zip(names, exprs))), names
 
 
 def is_missing(c: Column, dtype: T.DataType) -> Column:
@@ -137,15 +156,25 @@ def _strip_zeros(text: Column) -> Column:
     return F.regexp_replace(text, r"\.0*\z|(\.\d*?[1-9])0+\z", "$1")
 
 
+def _without_exponent(text: Column) -> Column:
+    """``1.25E-4`` as ``0.000125``: the point is moved in the text, so no digit is lost."""
+    sign, digits = F.regexp_extract(text, r"\A-", 0), F.regexp_replace(F.substring_index(text, "E", 1), r"\.0\z|[.-]", "")
+    exponent = F.substring_index(text, "E", -1).cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    whole = F.rpad(digits, exponent + 1, "0")
+    point = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))
+    large = F.when(F.length(digits) <= exponent + 1, whole).otherwise(point)
+    return F.concat(sign, F.when(exponent < 0, small).otherwise(large))
+
+
 def _double_text(c: Column) -> Column:
     whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
-    plain = F.abs(c).between(F.lit(1e-3), F.lit(9999999.0))  # the JVM prints these without an exponent
-    wide = c.try_cast(T.DecimalType(38, 18)).cast("string")
+    text = c.cast("string")
     return (
         F.when(F.isnan(c), F.lit("NaN"))
         .when(whole, c.try_cast("bigint").cast("string"))
-        .when(plain, c.cast("string"))
-        .otherwise(F.coalesce(F.when(F.abs(c) >= F.lit(1e-12), _strip_zeros(wide)), c.cast("string")))
+        .when(text.contains("E"), _without_exponent(text))
+        .otherwise(text)
     )
 
 
@@ -161,7 +190,7 @@ def to_str(c: Column, dtype: T.DataType) -> Column:
         return _strip_zeros(c.cast("string")) if dtype.scale else c.cast("string")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         midnight = F.date_trunc("day", c) == c
-        return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+        return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(c.cast("string"))  # with fractions, if any
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")
@@ -254,8 +283,9 @@ def insert_before(df: DataFrame, name: str, new: list[tuple[str, Column]]) -> Da
 
 
 def _insert(df: DataFrame, name: str, new: list[tuple[str, Column]], before: bool) -> DataFrame:
-    clash = [n for n, _ in new if n in df.columns]
-    if clash or len({n for n, _ in new}) < len(new):
+    fold = name_folder(df)
+    clash = [n for n, _ in new if fold(n) in {fold(c) for c in df.columns}]
+    if clash or len({fold(n) for n, _ in new}) < len(new):
         raise ValueError(f"new column names already taken: {clash or [n for n, _ in new]}")
     out: list[Column] = []
     for c in df.columns:

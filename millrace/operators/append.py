@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import Cell, col, is_numeric
+from millrace.functions.cells import Cell, col, is_numeric, name_folder
 
 
 def _column_order(tables: list[DataFrame]) -> list[str]:
@@ -22,7 +22,10 @@ def append(tables: list[DataFrame]) -> DataFrame:
     """
     if not tables:
         raise ValueError("append needs at least one table")
-    order, aligned = _column_order(tables), []
+    order, aligned, fold = _column_order(tables), [], name_folder(tables[0])
+    clash = [c for c in order if [fold(o) for o in order].count(fold(c)) > 1]
+    if clash:
+        raise ValueError(f"column names differ in letter case only: {clash}")
     as_text = set()
     for c in order:
         types = {t.schema[c].dataType for t in tables if c in t.columns}

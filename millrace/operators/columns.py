@@ -17,6 +17,7 @@ from millrace.functions.cells import (
     insert_before,
     is_numeric,
     is_string,
+    name_folder,
     ws_trim,
 )
 
@@ -112,7 +113,8 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     """Rename in place. An empty or unchanged name does nothing; a taken name is refused."""
     if not new or old == new:
         return df
-    if new in df.columns:
+    fold = name_folder(df)
+    if fold(new) in {fold(c) for c in df.columns if c != old}:
         raise ValueError(f"column {new!r} already exists")
     return df.select(*[col(c).alias(new) if c == old else col(c) for c in df.columns])
 
@@ -126,17 +128,18 @@ def snake_case(name: str) -> str:
 
 def normalize_column_names(df: DataFrame) -> DataFrame:
     """Snake-case every data column; a clash gets the next free suffix ``_2``, ``_3``, ..."""
-    data, taken, names = set(data_columns(df)), set(df.columns) - set(data_columns(df)), []
+    fold, data, names = name_folder(df), set(data_columns(df)), []
+    taken = {fold(c) for c in df.columns if c not in data}
     for c in df.columns:
         if c not in data:
             names.append(c)
             continue
         base = snake_case(c)
         new, n = base, 1
-        while new in taken:
+        while fold(new) in taken:
             n += 1
             new = f"{base}_{n}"
-        taken.add(new)
+        taken.add(fold(new))
         names.append(new)
     return df.select(*[col(c).alias(n) for c, n in zip(df.columns, names)])
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, col, data_columns, is_floating, is_numeric
+from millrace.functions.cells import Cell, col, data_columns, fresh, is_floating, is_numeric
+from millrace.plans.buckets import as_keys, position
 
 
 def _as_list(order_by: str | list[str] | None) -> list[str]:
@@ -19,16 +20,17 @@ def _as_list(order_by: str | list[str] | None) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per distinct key with its row count ``n``. Null equals null and NaN equals null."""
+def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, str]:
+    """One row per distinct key with its row count, and the count's name. Null equals null and NaN equals null."""
     keys = keys or data_columns(df)
-    return df.groupBy(*[Cell(df, k).identity.alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    (n,) = fresh(df, "n")
+    return df.groupBy(*[Cell(df, k).identity.alias(k) for k in keys]).agg(F.count(F.lit(1)).alias(n)), n
 
 
 def count_duplicates(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A one-row table: ``duplicates`` is the number of rows beyond the first of each key."""
-    groups = duplicate_groups(df, keys)
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    groups, n = duplicate_groups(df, keys)
+    return groups.agg(F.coalesce(F.sum(F.col(n) - 1), F.lit(0)).alias("duplicates"))
 
 
 def drop_duplicates(
@@ -50,30 +52,26 @@ def drop_duplicates(
         raise ValueError("keep='first' and keep='last' need order_by: rows of a DataFrame have no order of their own")
     keys = keys or [c for c in data_columns(df) if c not in order]
     pick = F.min_by if keep == "first" else F.max_by
-    position = col(order[0]) if len(order) == 1 else F.struct(*[col(c) for c in order])
+    place = position(df, as_keys(df, order))
     carried = [c for c in df.columns if c not in keys]
     fixed = len(order) == 1 and all(_fixed_width(df.schema[c].dataType) for c in carried)
     source, aggregates = {}, []
     for i, k in enumerate(keys):
         source[k] = F.col(f"_key{i}")
         if is_floating(df.schema[k].dataType):  # null and NaN share a group; the kept row says which one it had
-            aggregates.append(pick(F.isnan(col(k)), position).alias(f"_nan{i}"))
+            aggregates.append(pick(F.isnan(col(k)), place).alias(f"_nan{i}"))
             source[k] = F.when(F.col(f"_nan{i}"), F.lit(float("nan"))).otherwise(F.col(f"_key{i}"))
     if fixed:  # numbers, dates and flags only: Spark hashes such states instead of sorting rows
         for i, c in enumerate(carried):
-            aggregates.append((pick(col(c), position) if c != order[0] else _edge(keep)(col(c))).alias(f"_carried{i}"))
+            aggregates.append(pick(col(c), place).alias(f"_carried{i}"))
             source[c] = F.col(f"_carried{i}")
     elif carried:
-        aggregates.append(pick(F.struct(*[col(c) for c in carried]), position).alias("_row"))
+        aggregates.append(pick(F.struct(*[col(c) for c in carried]), place).alias("_row"))
         source |= {c: F.col("_row").getField(c) for c in carried}
     grouped = df.groupBy(*[Cell(df, k).identity.alias(f"_key{i}") for i, k in enumerate(keys)])
     chosen = grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)))
     return chosen.select(*[source[c].alias(c, metadata=df.schema[c].metadata) for c in df.columns])
 
 
-def _edge(keep: str):
-    return F.min if keep == "first" else F.max
-
-
 def _fixed_width(dtype: T.DataType) -> bool:
     return is_numeric(dtype) or isinstance(dtype, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))

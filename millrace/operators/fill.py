@@ -12,12 +12,13 @@ from millrace.functions.cells import (
     MISSING_TOKENS,
     Cell,
     col,
+    fresh,
     is_integral,
     is_string,
     replace_column,
     to_str,
 )
-from millrace.plans.buckets import BUCKET, SortKey, as_keys, range_bucket
+from millrace.plans.buckets import SortKey, as_keys, position, range_bucket
 from millrace.plans.order_stats import order_statistics
 
 # The ways to fill.
@@ -100,14 +101,9 @@ def _median(df: DataFrame, cell: Cell, approx: bool) -> Column:
     return F.lit((middle[0] + middle[1]) / 2 if n % 2 == 0 else middle[0]) if n else F.lit(None).cast("double")
 
 
-def _position(keys: list[SortKey]) -> Column:
-    """The order as one comparable value. A bare column, rather than a struct, lets aggregations hash instead of sort."""
-    return keys[0].expr if len(keys) == 1 else F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(keys)])
-
-
 def _mode(df: DataFrame, cell: Cell, order_by) -> Column:
     """Most frequent text; of equally frequent ones the one met first. Counts combine before the shuffle."""
-    first = F.min(_position(as_keys(df, order_by)))
+    first = F.min(position(df, as_keys(df, order_by)))
     counts = df.filter(cell.present).groupBy(cell.text.alias("v")).agg(F.count(F.lit(1)).alias("n"), first.alias("at"))
     return counts.orderBy(F.col("n").desc(), F.col("at")).limit(1).select("v").scalar()
 
@@ -124,32 +120,32 @@ def _carry(
     """
     forward = strategy == "previous"
     keys = as_keys(df, order_by)
-    tagged = df.withColumn(BUCKET, range_bucket(df, keys, buckets))
-    groups = [f"_g{i}" for i in range(len(partition_by))]
-    for g, name in zip(groups, partition_by):
-        tagged = tagged.withColumn(g, Cell(df, name).identity)
+    bucket, edge, their_bucket, inherited_name, *named = fresh(
+        df, "_bucket", "_edge", "_rbucket", "_inherited", *[f"_g{i}" for i in range(2 * len(partition_by))]
+    )
+    groups, their_groups = named[: len(partition_by)], named[len(partition_by) :]
+    tagged = df.withColumns({bucket: range_bucket(df, keys, buckets)} | {g: Cell(df, c).identity for g, c in zip(groups, partition_by)})
     present = F.when(cell.present, cell.raw)
-    position = _position(keys)
     pick = F.max_by if forward else F.min_by
-    edges = tagged.groupBy(*groups, BUCKET).agg(pick(present, F.when(cell.present, position)).alias("_edge"))
-    ranges = SortKey(F.col(BUCKET), ascending=forward).ordered()
+    edges = tagged.groupBy(*groups, bucket).agg(pick(present, F.when(cell.present, position(df, keys))).alias(edge))
+    ranges = SortKey(F.col(bucket), ascending=forward).ordered()
     before = Window.partitionBy(*groups).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
     inherited = edges.select(
-        *[F.col(g).alias(f"_r{g}") for g in groups],
-        F.col(BUCKET).alias("_rbucket"),
-        F.last("_edge", ignorenulls=True).over(before).alias("_inherited"),
+        *[F.col(g).alias(r) for g, r in zip(groups, their_groups)],
+        F.col(bucket).alias(their_bucket),
+        F.last(edge, ignorenulls=True).over(before).alias(inherited_name),
     )
     if not groups:
         inherited = F.broadcast(inherited)
-    match = F.col(BUCKET) == F.col("_rbucket")
-    for g in groups:
-        match = match & F.col(g).eqNullSafe(F.col(f"_r{g}"))
+    match = F.col(bucket) == F.col(their_bucket)
+    for g, r in zip(groups, their_groups):
+        match = match & F.col(g).eqNullSafe(F.col(r))
     joined = tagged.join(inherited, match, "left")
-    within = Window.partitionBy(*groups, BUCKET).orderBy(
+    within = Window.partitionBy(*groups, bucket).orderBy(
         *[(k if forward else k.reversed()).ordered() for k in keys]
     )
     near = F.last(present, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = F.when(cell.missing, F.coalesce(near, F.col("_inherited"), cell.raw)).otherwise(cell.raw)
+    filled = F.when(cell.missing, F.coalesce(near, F.col(inherited_name), cell.raw)).otherwise(cell.raw)
     return joined.select(
         *[filled.alias(c, metadata=df.schema[c].metadata) if c == cell.name else col(c) for c in df.columns]
     )

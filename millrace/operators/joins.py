@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import Cell, col, to_str
+from millrace.functions.cells import Cell, col, name_folder, to_str
 from millrace.operators.types import logical_type
 
 # The join types and the suffix of clashing right-hand columns.
@@ -22,8 +22,11 @@ JOIN_TYPES = ("inner", "left", "right", "full", "cross")
 SUFFIX = "_right"
 
 MISSING_KEY = "\x01"
+HOT_ROWS = 1_000_000  # rows of one key that one task joins without trouble
 HOT_SHARE = 0.05
-CROSS_RIGHT_ROWS = 10_000  # an explicit cross product needs a right side no larger than this
+SKETCH_ITEMS = 10_000
+CROSS_RIGHT_ROWS = 10_000  # an explicit cross product needs a right side no larger than this,
+CROSS_RIGHT_BYTES = 64 << 20  # in rows and in bytes of text
 
 
 def _pairs(keys) -> list[tuple[str, str]]:
@@ -39,17 +42,24 @@ def _key_columns(df: DataFrame, names: list[str], missing_match: bool) -> list[C
 
 
 def _hot(df: DataFrame, keys: list[Column]) -> bool:
-    """Whether one key holds more than ``HOT_SHARE`` of the rows, judged by a mergeable heavy-hitter sketch."""
+    """Whether one key holds more than ``HOT_SHARE`` of the rows, or more than ``HOT_ROWS``.
+
+    A mergeable heavy-hitter sketch tells; its error is the rows over ``SKETCH_ITEMS``, and an estimate that could hide
+    more than ``HOT_ROWS`` counts as hot too. The answer changes the plan only.
+    """
     joined = F.concat_ws("\x02", *[F.coalesce(k, F.lit("\x03")) for k in keys])
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.call_function("approx_top_k", joined, F.lit(1), F.lit(1000)).alias("top")).head()
-    return bool(found["top"]) and found["top"][0]["count"] > HOT_SHARE * found["n"]
+    top = F.call_function("approx_top_k", joined, F.lit(1), F.lit(SKETCH_ITEMS)).alias("top")
+    found = df.agg(F.count(F.lit(1)).alias("n"), top).head()
+    most = found["top"][0]["count"] if found["top"] else 0
+    return most > min(HOT_SHARE * found["n"], HOT_ROWS) or found["n"] / SKETCH_ITEMS > HOT_ROWS
 
 
 def _output(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Right-hand columns of the result as (source name, output name)."""
-    dropped = {r for _, r in pairs}
-    out = [(c, c + SUFFIX if c in left.columns else c) for c in right.columns if c not in dropped]
-    names = [*left.columns, *[o for _, o in out]]
+    fold = name_folder(left)
+    dropped, taken = {fold(r) for _, r in pairs}, {fold(c) for c in left.columns}
+    out = [(c, c + SUFFIX if fold(c) in taken else c) for c in right.columns if fold(c) not in dropped]
+    names = [fold(c) for c in (*left.columns, *[o for _, o in out])]
     if len(set(names)) < len(names):
         raise ValueError(f"joined column names clash: {sorted({n for n in names if names.count(n) > 1})}")
     return out
@@ -137,6 +147,9 @@ def _cross(left: DataFrame, right: DataFrame, pairs: list) -> DataFrame:
         raise ValueError("a cross product takes no keys")
     if right.limit(CROSS_RIGHT_ROWS + 1).count() > CROSS_RIGHT_ROWS:
         raise ValueError(f"the right side of a cross product may have at most {CROSS_RIGHT_ROWS} rows")
+    text = F.length(F.to_json(F.struct(*[col(c) for c in right.columns]))) if right.columns else F.lit(0)
+    if (right.agg(F.sum(text)).head()[0] or 0) > CROSS_RIGHT_BYTES:
+        raise ValueError(f"the right side of a cross product may hold at most {CROSS_RIGHT_BYTES} bytes")
     renamed = right.select(*[col(c).alias(o) for c, o in _output(left, right, [])])
     return left.crossJoin(F.broadcast(renamed))
 

@@ -29,13 +29,13 @@ def clean_numbers(
     not divided by 100. ``round`` rounds half away from zero.
     """
     cell = Cell(df, column)
-    bound = bind(df, text=_stripped(cell, commas, currency, percent))
-    number = _number(F.col("_text"), empty_as)
+    bound, (text,) = bind(df, _stripped(cell, commas, currency, percent))
+    number = _number(F.col(text), empty_as)
     if round is not None:
         number = F.round(number, round)
-    bound = bind(bound, number=F.when(cell.present, number)).drop("_text")
-    value = F.col("_number")
-    return apply_conversion(bound, cell, value, T.DoubleType(), cell.present & value.isNull(), on_invalid).drop("_number")
+    bound, (value,) = bind(bound, F.when(cell.present, number))
+    failed = cell.present & F.col(value).isNull()
+    return apply_conversion(bound, cell, F.col(value), T.DoubleType(), failed, on_invalid).drop(text, value)
 
 
 def not_a_number(

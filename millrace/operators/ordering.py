@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import Cell, is_string
+from millrace.functions.cells import Cell, fresh, is_string
 from millrace.plans.buckets import SortKey, as_keys, with_position
 
 # Text compares by language rules, without letter case and accents (sorting) or with them (grid view).
@@ -21,7 +21,7 @@ def natural_text(text: Column) -> Column:
 
     def weighted(run: Column) -> Column:
         digits = F.regexp_replace(run, r"\A0+(?=\d)", "")
-        return F.when(run.rlike(r"\A\d"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
+        return F.when(run.rlike(r"\A\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
 
     return F.array_join(F.transform(runs, weighted), "")
 
@@ -72,8 +72,9 @@ def page(df: DataFrame, keys: list, order_by: str | list[str], n: int = 0, size:
     position instead.
     """
     if (n + 1) * size > DEEP_PAGE_ROWS:
-        numbered = number_rows(df, keys, order_by, "_pos", collation=EXACT)
-        chosen = numbered.filter(F.col("_pos").between(n * size + 1, (n + 1) * size))
-        return chosen.orderBy("_pos").drop("_pos")
+        (pos,) = fresh(df, "_pos")
+        numbered = number_rows(df, keys, order_by, pos, collation=EXACT)
+        chosen = numbered.filter(F.col(pos).between(n * size + 1, (n + 1) * size))
+        return chosen.orderBy(pos).drop(pos)
     ordered = df.orderBy(*[k.ordered() for k in [*sort_keys(df, keys, EXACT), *as_keys(df, order_by)]])
     return ordered.offset(n * size).limit(size)

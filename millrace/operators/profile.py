@@ -143,10 +143,10 @@ def _table_totals(df: DataFrame, types: dict[str, str] | None = None) -> DataFra
 
     Equal rows collapse to one with a count before the shuffle, and everything else is computed on the groups.
     """
-    columns, n = data_columns(df), F.col("n")
-    groups = duplicate_groups(df)
+    columns, (groups, n) = data_columns(df), duplicate_groups(df)
+    n = F.col(n)
     sums = [
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
         F.coalesce(F.sum(sum((Cell(groups, c).missing.cast("int") for c in columns), F.lit(0)) * n), F.lit(0)).alias(
             "missing"
@@ -171,11 +171,11 @@ def profile_dataset(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_score(df: DataFrame, types: dict[str, tuple[str, bool]] | None = None, cap: int | None = INVALID_CAP) -> DataFrame:
+def quality_score(df: DataFrame, types: dict[str, tuple[str, bool]] | None = None, cap: int | None = None) -> DataFrame:
     """One row with a 0-100 score and the four shares behind it.
 
     ``types`` overrides a column's (type, inferred) pair. Cells a column's type rejects count as type issues when the
-    type was inferred and as invalid when it was set; at most ``cap`` per column count (``None``: all).
+    type was inferred and as invalid when it was set; all of them, or at most ``cap`` per column (``INVALID_CAP``: as a preview shows).
     """
     columns = data_columns(df)
     labels = {c: (logical_type(df, c), is_inferred(df, c)) for c in columns} | (types or {})

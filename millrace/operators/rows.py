@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import Cell, col, data_columns
+from millrace.functions.cells import Cell, col, data_columns, fresh
 from millrace.functions.predicates import predicate
 
 
@@ -50,8 +50,9 @@ def remove_rows_by_key(df: DataFrame, keys: DataFrame | Iterable, key: str | lis
         schema = df.select(*[col(n) for n in names]).schema
         rows = [k if isinstance(k, (tuple, list)) else (k,) for k in keys]
         keys = df.sparkSession.createDataFrame(rows, schema)
-    listed = keys.select(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).distinct()
-    match = [col(n) == F.col(f"_k{i}") for i, n in enumerate(names)]
+    private = fresh(df, *[f"_k{i}" for i in range(len(names))])
+    listed = keys.select(*[col(n).alias(k) for n, k in zip(names, private)]).distinct()
+    match = [col(n) == F.col(k) for n, k in zip(names, private)]
     return df.join(listed, match, "left_anti")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import WHITESPACE_CLASS, Cell, col, replace_column, ws_trim
+from millrace.functions.cells import WHITESPACE_CLASS, Cell, col, fresh, replace_column, ws_trim
 from millrace.functions.patterns import is_valid_pattern, replacement_for_spark
 
 # Fixed value: the ASCII punctuation marks that are removed (every one except the backslash).
@@ -51,7 +51,10 @@ def _title(text: Column, unicode: bool) -> Column:
         pieces = F.regexp_extract_all(text, F.lit(rf"{flag}\w[^{ws}]*|\W+"), F.lit(0))
         return F.array_join(F.transform(pieces, capitalise), "")
 
-    return _by_spaces(text, rebuilt)
+    if unicode:
+        return _by_spaces(text, rebuilt)
+    # Words of ASCII letters apart by single spaces, as most texts have them, need no taking apart.
+    return F.when(text.rlike(r"\A\w[!-~]*(?: \w[!-~]*)*\z"), F.initcap(text)).otherwise(_by_spaces(text, rebuilt))
 
 
 def _operation(op: str, unicode: bool):
@@ -115,10 +118,11 @@ def standardize_categories(df: DataFrame, column: str, mapping: Mapping[str, str
         pairs = F.create_map(*[F.lit(x) for pair in lookup.items() for x in pair])
         mapped = F.try_element_at(pairs, key)
         return replace_column(df, column, F.when(cell.present, F.coalesce(mapped, cell.text)).otherwise(cell.text))
-    table = df.sparkSession.createDataFrame(list(lookup.items()), "_from string, _to string")
-    joined = df.withColumn("_from", F.when(cell.present, key)).join(table, "_from", "left")
+    source, target = fresh(df, "_from", "_to")
+    table = df.sparkSession.createDataFrame(list(lookup.items()), "_from string, _to string").toDF(source, target)
+    joined = df.withColumn(source, F.when(cell.present, key)).join(table, source, "left")
     out = [
-        F.coalesce(F.col("_to"), cell.text).alias(c, metadata=df.schema[c].metadata) if c == column else col(c)
+        F.coalesce(F.col(target), cell.text).alias(c, metadata=df.schema[c].metadata) if c == column else col(c)
         for c in df.columns
     ]
     return joined.select(*out)

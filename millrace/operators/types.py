@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,14 +62,11 @@ def is_inferred(df: DataFrame, name: str) -> bool:
     return df.schema[name].metadata.get("inferred", True)
 
 
-def set_logical_type(df: DataFrame, name: str, type: str, inferred: bool) -> DataFrame:
-    metadata = {**df.schema[name].metadata, "logical_type": type, "inferred": inferred}
-    return df.select(*[col(c).alias(c, metadata=metadata) if c == name else col(c) for c in df.columns])
-
-
-def _typed_vote(df: DataFrame, name: str) -> str | None:
-    """The vote of every cell of a column whose Spark type already says it; decimals vote cell by cell."""
-    return {"boolean": "boolean", "integer": "integer"}.get(logical_type(df.select(col(name).alias(name, metadata={})), name))
+def set_logical_types(df: DataFrame, types: dict[str, str], inferred: bool) -> DataFrame:
+    """Label columns, all in one projection."""
+    fields = {f.name: f.metadata for f in df.schema.fields}
+    labelled = {c: {**fields[c], "logical_type": t, "inferred": inferred} for c, t in types.items()}
+    return df.select(*[col(c).alias(c, metadata=labelled[c]) if c in labelled else col(c) for c in df.columns])
 
 
 def text_vote(value: Column, cells: str = "text") -> Column:
@@ -98,7 +93,8 @@ def text_vote(value: Column, cells: str = "text") -> Column:
 def _votes(df: DataFrame, columns: list[str], cells: str) -> DataFrame:
     """One row per cell: ``column``, ``vote`` and the folded text ``value``, both null when the cell is missing."""
     long = cells_long(df, columns)
-    typed = {c: v for c in columns if not Cell(df, c).is_text and (v := _typed_vote(df, c))}
+    held = {f.name: f.dataType for f in df.schema.fields}  # decimals vote cell by cell
+    typed = {c: "integer" for c in columns if is_integral(held[c])} | {c: "boolean" for c in columns if isinstance(held[c], T.BooleanType)}
     by_type = F.lit(None).cast("string")
     for kind in ("boolean", "integer"):
         names = [c for c, v in typed.items() if v == kind]
@@ -178,7 +174,7 @@ def _infer_sampled(df: DataFrame, column: str, cells: str, sample: int, order_by
 
 def with_inferred_types(df: DataFrame, cells: str = "text") -> DataFrame:
     """Write the inferred labels to the columns' metadata."""
-    return reduce(lambda d, kv: set_logical_type(d, *kv, True), infer_types(df, cells=cells).items(), df)
+    return set_logical_types(df, infer_types(df, cells=cells), inferred=True)
 
 
 def converted(cell: Cell, type: str, text: Column | None = None) -> tuple[Column, T.DataType]:
@@ -223,12 +219,12 @@ def _prepared(cell: Cell, type: str) -> Column:
 def convert_type(df: DataFrame, column: str, type: str, on_invalid: str = "rescue") -> DataFrame:
     """Convert a column; missing cells become null and cells that do not convert follow ``on_invalid``."""
     cell = Cell(df, column)
-    bound = bind(df, text=_prepared(cell, type))
-    value, dtype = converted(cell, type, F.col("_text"))
-    bound = bind(bound, value=F.when(cell.present, value)).drop("_text")
-    failed = cell.present & F.col("_value").isNull()
-    out = apply_conversion(bound, cell, F.col("_value"), dtype, failed, on_invalid).drop("_value")
-    return set_logical_type(out, column, type, inferred=False)
+    bound, (text,) = bind(df, _prepared(cell, type))
+    value, dtype = converted(cell, type, F.col(text))
+    bound, (result,) = bind(bound, F.when(cell.present, value))
+    failed = cell.present & F.col(result).isNull()
+    out = apply_conversion(bound, cell, F.col(result), dtype, failed, on_invalid).drop(text, result)
+    return set_logical_types(out, {column: type}, inferred=False)
 
 
 def not_convertible(df: DataFrame, column: str, type: str, **_) -> Column:

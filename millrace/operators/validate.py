@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import VIOLATIONS, Cell, col
+from millrace.functions.cells import VIOLATIONS, Cell, col, fresh
 from millrace.functions.patterns import is_valid_pattern
 
 # The rule types and the shape of an e-mail address.
@@ -90,16 +90,16 @@ def _with_repeats(df: DataFrame, rule: ValidationRule, flag: str) -> DataFrame:
     a value shared by a large part of the table is split on the table's side by adaptive execution.
     """
     cell = Cell(df, rule.column)
-    value = F.when(cell.present, cell.text)
-    repeated = df.filter(cell.present).groupBy(cell.text.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    repeated = repeated.filter(F.col("_n") > 1).select("_value", F.lit(True).alias(flag))
-    keyed = df.withColumn("_lookup", value)
-    joined = keyed.join(repeated, keyed["_lookup"] == repeated["_value"], "left").drop("_lookup", "_value")
+    lookup, value, n = fresh(df.withColumn(flag, F.lit(None)), "_lookup", "_value", "_n")
+    repeated = df.filter(cell.present).groupBy(cell.text.alias(value)).agg(F.count(F.lit(1)).alias(n))
+    repeated = repeated.filter(F.col(n) > 1).select(value, F.lit(True).alias(flag))
+    keyed = df.withColumn(lookup, F.when(cell.present, cell.text))
+    joined = keyed.join(repeated, keyed[lookup] == repeated[value], "left").drop(lookup, value)
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def _flag(df: DataFrame, rules: list[ValidationRule]) -> tuple[DataFrame, list[str]]:
-    flags = [f"_rule{i}" for i in range(len(rules))]
+    flags = fresh(df, *[f"_rule{i}" for i in range(len(rules))])
     row_rules = [(r, f) for r, f in zip(rules, flags) if r.type != "unique"]
     checked = df.withColumns({f: _violated(df, r) for r, f in row_rules}) if row_rules else df
     for r, f in zip(rules, flags):
@@ -108,11 +108,21 @@ def _flag(df: DataFrame, rules: list[ValidationRule]) -> tuple[DataFrame, list[s
     return checked, flags
 
 
+def _labelled(rules: list[ValidationRule]) -> list[ValidationRule]:
+    """Rules with one label each: a label that was used before gets a number behind it."""
+    taken, out = {r.label for r in rules}, []
+    for r in rules:
+        n, label = 1, r.label
+        while any(o.label == label for o in out) or n > 1 and label in taken:
+            n += 1
+            label = f"{r.label} {n}"
+        out.append(replace(r, label=label) if n > 1 else r)
+    return out
+
+
 def validate(df: DataFrame, rules: list) -> ValidationReport:
-    """Check every rule on every row."""
-    rules = [ValidationRule.of(r) for r in rules]
-    if len({r.label for r in rules}) < len(rules):
-        raise ValueError("rule labels must differ")
+    """Check every rule on every row. Rules with equal labels are told apart by a number."""
+    rules = _labelled([ValidationRule.of(r) for r in rules])
     checked, flags = _flag(df, rules)
     any_bad = reduce(lambda a, b: a | b, [F.col(f) for f in flags], F.lit(False))
     counts = checked.agg(

@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from millrace.functions.cells import bind, col
+from millrace.functions.cells import bind, col, fresh, is_integral
 
-BUCKET = "_bucket"
 ROWS_PER_BUCKET = 1_000_000  # a range of this many rows is an ordinary sort for one task
 MAX_BUCKETS = 32_768
 SAMPLES_PER_BUCKET = 16
+CUT_TEXT = 64  # characters of a text key in a cut point: any cut points do, so long keys never reach the driver
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,16 @@ def as_keys(df: DataFrame, order_by) -> list[SortKey]:
     return [SortKey(col(i)) if isinstance(i, str) else i for i in items]
 
 
+def position(df: DataFrame, keys: list[SortKey]) -> Column:
+    """The order of ascending keys as one comparable value that is never null, so that aggregations skip no row.
+
+    A null key comes first. One whole-number key keeps a fixed width, which lets aggregations hash instead of sort.
+    """
+    if len(keys) == 1 and is_integral(df.select(keys[0].expr).schema[0].dataType):
+        return F.coalesce(keys[0].expr.cast("decimal(20,0)"), F.lit("-1e19").cast("decimal(20,0)"))
+    return F.struct(*[k.expr.alias(f"k{i}") for i, k in enumerate(keys)])
+
+
 def _power_of_two(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
@@ -80,6 +91,8 @@ def range_bucket(df: DataFrame, keys: list[SortKey], buckets: int | None = None)
         return F.lit(0)
     fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)
     values = df.select(*[k.expr.alias(f"k{i}") for i, k in enumerate(keys)])
+    texts = [f.name for f in values.schema.fields if isinstance(f.dataType, StringType)]
+    values = values.withColumns({c: F.substring(c, 1, CUT_TEXT) for c in texts}) if texts else values
     fields = ",".join(f"k{i}:{f.dataType.simpleString()}" for i, f in enumerate(values.schema.fields))
     in_order = [SortKey(F.col(f"k{i}"), k.ascending, k.collation).ordered() for i, k in enumerate(keys)]
     sample = [
@@ -114,12 +127,13 @@ def with_position(df: DataFrame, keys: list[SortKey], name: str = "pos", buckets
     has at most ``MAX_BUCKETS`` rows, which is what makes broadcasting it and the window over it safe.
     """
     # Sort expressions become columns first: the search and the sort mention them many times.
-    keyed = bind(df, **{f"sort{i}": k.expr for i, k in enumerate(keys)})
-    keys = [SortKey(F.col(f"_sort{i}"), k.ascending, k.collation) for i, k in enumerate(keys)]
-    tagged = keyed.withColumn(BUCKET, range_bucket(keyed, keys, buckets))
-    earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = offsets.select(BUCKET, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(BUCKET).orderBy(*[k.ordered() for k in keys])
-    numbered = tagged.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(offsets), BUCKET)
-    return numbered.select(*[col(c) for c in df.columns], (F.col("_offset") + F.col("_rank")).alias(name))
+    keyed, sorts = bind(df, *[k.expr for k in keys])
+    keys = [SortKey(F.col(s), k.ascending, k.collation) for s, k in zip(sorts, keys)]
+    bucket, size, offset, rank = fresh(keyed, "_bucket", "_size", "_offset", "_rank")
+    tagged = keyed.withColumn(bucket, range_bucket(keyed, keys, buckets))
+    earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy(bucket).agg(F.count(F.lit(1)).alias(size))
+    offsets = offsets.select(bucket, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(offset))
+    within = Window.partitionBy(bucket).orderBy(*[k.ordered() for k in keys])
+    numbered = tagged.withColumn(rank, F.row_number().over(within)).join(F.broadcast(offsets), bucket)
+    return numbered.select(*[col(c) for c in df.columns], (F.col(offset) + F.col(rank)).alias(name))

@@ -21,33 +21,55 @@ _FORMAT = {
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that splits the first lines into the same, largest number of fields."""
+    """The delimiter most of the first lines hold as often as the header does; lines with fewer count half."""
     lines = [r[0] for r in spark.read.text(path).filter(F.trim("value") != "").limit(SNIFF_LINES).collect()]
-    best, most = DELIMITERS[0], 0
+    best, most = DELIMITERS[0], (0.0, 0)
     for d in DELIMITERS:
-        counts = {"".join(line.split('"')[::2]).count(d) for line in lines}  # delimiters outside quotes
-        if len(counts) == 1 and max(counts) > most:
-            best, most = d, max(counts)
+        counts = ["".join(line.split('"')[::2]).count(d) for line in lines]  # delimiters outside quotes
+        header = counts[0] if counts else 0
+        score = sum(1.0 if n == header else 0.5 if 0 < n < header else 0.0 for n in counts)
+        if header and (score, header) > most:
+            best, most = d, (score, header)
     return best
 
 
-def has_multiline_cells(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell may run over a line end: some line holds an odd number of quotes."""
+def multiline_files(spark: SparkSession, path: str) -> list[str]:
+    """The files in which a quoted cell may run over a line end: some line holds an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return [r[0] for r in lines.filter(quotes % 2 == 1).select("file").distinct().orderBy("file").collect()]
+
+
+def _may_be_renamed(names: list[str]) -> bool:
+    """Whether the reader may have given columns other names than the header: empty and repeated ones get a number."""
+    stems = [n[: -len(str(i))] for i, n in enumerate(names) if n.endswith(str(i))]
+    return any(s in ("_c", "") for s in stems) or len(set(stems)) < len(stems)
 
 
 def load_delimited(spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None) -> DataFrame:
     """Read delimited text with a header row; every cell stays text and an empty cell is null.
 
-    Short lines are padded with nulls, surplus fields and blank lines are dropped. ``multiline=None`` checks whether
-    any quoted cell contains a line end: if none does, large files are read in splits by many tasks.
+    Short lines are padded with nulls, surplus fields and blank lines are dropped. Files of a folder must have the same
+    header: others make the query fail. ``multiline=None`` takes a pass over the text to see which files hold cells
+    that run over a line end. Such a file is read by one task; all others are read in splits by many.
     """
     sep = sniff_delimiter(spark, path) if sep is None else sep
-    multiline = has_multiline_cells(spark, path) if multiline is None else multiline
-    df = spark.read.options(**_FORMAT, mode="PERMISSIVE", multiLine=multiline).csv(path, sep=sep)
+    base = spark.read.options(**_FORMAT, mode="PERMISSIVE")
+    long = multiline_files(spark, path) if multiline is None else []
+    df = base.options(multiLine=bool(multiline) or bool(long)).csv(path, sep=sep)
     if not df.columns:
         raise ValueError(f"{path} has no header row")
+    if not _may_be_renamed(df.columns):
+        base = base.options(enforceSchema=False)
+    schema = df.schema
+    if long:
+        files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"))
+        short = [r[0] for r in files.distinct().collect() if r[0] not in set(long)]
+        parts = [base.options(multiLine=True).schema(schema).csv(long, sep=sep)]
+        parts += [base.options(multiLine=False).schema(schema).csv(short, sep=sep)] if short else []
+        df = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
+    else:
+        df = base.options(multiLine=bool(multiline)).schema(schema).csv(path, sep=sep)
     return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
 
 

@@ -8,21 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, col, data_columns
+from millrace.functions.cells import RESCUED, Cell, col, data_columns
+from millrace.operators.append import append
 
 
-def _layout(spark: SparkSession, path: str) -> str:
-    """``array``, ``lines`` (one whole object per line) or ``document`` (an object over several lines)."""
-    head = spark.read.text(path).filter(F.trim("value") != "").head()
-    if head is None:
-        raise ValueError(f"{path} is empty")
-    if head[0].strip().startswith("["):
+CORRUPT = "_corrupt_record"
+MALFORMED = ("fail", "rescue")
+
+
+def _layout_of(head: str) -> str:
+    """``array``, ``lines`` (one whole object per line) or ``document`` (an object over several lines), by a first line."""
+    if head.strip().startswith("["):
         return "array"
     try:
-        json.loads(head[0])
+        json.loads(head)
         return "lines"
     except ValueError:
-        return "document"
+        return "lines" if head.strip().endswith("}") else "document"
+
+
+def _layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of each layout. Only the first line of each file reaches the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "at").alias("head")).orderBy("file").collect()
+    if not heads:
+        raise ValueError(f"{path} is empty")
+    out: dict[str, list[str]] = {}
+    for r in heads:
+        out.setdefault(_layout_of(r["head"]), []).append(r["file"])
+    return out
 
 
 def record_keys(records: DataFrame, value: str, order: list[str]) -> list[str]:
@@ -32,32 +46,43 @@ def record_keys(records: DataFrame, value: str, order: list[str]) -> list[str]:
     return [r["key"] for r in first.orderBy("at").collect()]
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
+def load_json(spark: SparkSession, path: str, malformed: str = "fail") -> DataFrame:
     """Read JSON records; columns are the union of all keys in first-seen order, nested values become JSON text.
 
     JSON Lines files are read in splits and are the form to use for large data: an array is one document and one task.
+    Files of different layouts may stand in one folder. A malformed record makes the query fail, or is kept as text under
+    ``_record`` in the ``_rescued`` column (``malformed='rescue'``).
     """
-    layout = _layout(spark, path)
-    table = spark.read.json(path, multiLine=layout != "lines")
+    if malformed not in MALFORMED:
+        raise ValueError(f"malformed is one of {MALFORMED}")
+    tables = [_load(spark, files, layout, malformed) for layout, files in _layouts(spark, path).items()]
+    return tables[0] if len(tables) == 1 else append(tables)
+
+
+def _load(spark: SparkSession, files: list[str], layout: str, malformed: str) -> DataFrame:
+    mode = "FAILFAST" if malformed == "fail" else "PERMISSIVE"
+    table = spark.read.json(files, multiLine=layout != "lines", mode=mode, columnNameOfCorruptRecord=CORRUPT)
     wrapped = layout == "document" or (layout == "lines" and table.columns == ["rows"])
     if wrapped:
         inner = table.schema["rows"].dataType if "rows" in table.columns else None
         if not isinstance(inner, T.ArrayType) or not isinstance(inner.elementType, T.StructType):
-            raise ValueError(f"{path} holds neither an array of objects nor a rows array")
+            raise ValueError(f"{files[0]} holds neither an array of objects nor a rows array")
         table = table.select(F.inline("rows"))
-    text = spark.read.text(path, wholetext=layout != "lines").withColumn("_file", F.monotonically_increasing_id())
+    text = spark.read.text(files, wholetext=layout != "lines").withColumn("_file", F.monotonically_increasing_id())
     if layout == "lines" and not wrapped:
         records = text.withColumn("_n", F.lit(0))
     else:
         items = F.get_json_object("value", "$.rows") if wrapped else F.col("value")
         records = text.select("_file", F.posexplode(F.from_json(items, "array<string>")).alias("_n", "value"))
     order = [k for k in record_keys(records, "value", ["_file", "_n"]) if k in table.columns]
-    if not order:
-        raise ValueError(f"{path} holds no records")
+    if not order and CORRUPT not in table.columns:
+        raise ValueError(f"{files[0]} holds no records")
     nested = (T.ArrayType, T.MapType, T.StructType)
-    return table.select(
-        *[F.to_json(col(c)).alias(c) if isinstance(table.schema[c].dataType, nested) else col(c) for c in order]
-    )
+    columns = [F.to_json(col(c)).alias(c) if isinstance(table.schema[c].dataType, nested) else col(c) for c in order]
+    if malformed == "rescue" and CORRUPT in table.columns and CORRUPT not in order:
+        kept = F.when(col(CORRUPT).isNotNull(), F.create_map(F.lit("_record"), col(CORRUPT)))
+        columns.append(F.coalesce(kept, F.create_map().cast("map<string,string>")).alias(RESCUED))
+    return table.select(*columns)
 
 
 def save_json(df: DataFrame, path: str, null_as_empty: bool = True, mode: str = "error") -> None:

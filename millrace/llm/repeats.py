@@ -18,9 +18,9 @@ from millrace.llm.words import mixed
 
 LENGTH, GRAM = 400, 64
 #: Bytes of stretches in a shard, and in one anchor's group before it is split by the hash of whole strings.
-SHARD_BYTES, GROUP_BYTES = 1 << 20, 1 << 19
+SHARD_BYTES, GROUP_BYTES = 1 << 19, 1 << 19
 #: A text is looked at in windows of so many bytes, which overlap by a repeat.
-_WINDOW = 1 << 22
+_WINDOW = 1 << 20
 
 _RANDOM = np.random.default_rng(97)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,7 +118,7 @@ def _anchored(length: int):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 key, size = batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
-                if len(data) <= _WINDOW + (1 << 20):
+                if hi - lo > 1 or len(data) <= 2 * _WINDOW:
                     keep = np.flatnonzero(offsets[1:] > offsets[:-1])
                     if len(keep):
                         yield rows(key, size, data, offsets[1:][keep], keep, offsets[:-1][keep])

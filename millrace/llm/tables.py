@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from millrace.sources.scratch import scratch_path
 
 #: Bytes of text one step inside a task works on. A longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

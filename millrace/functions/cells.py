@@ -91,6 +91,13 @@ def ws_trim(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE_CHARS))
 
 
+def fingerprint(columns: list[Column]) -> list[Column]:
+    """Two 64-bit hashes that stand for several values, nulls told apart: equal values have equal ones, and different ones
+    differ but for a chance of 2**-128 a pair. Of fixed width, so Spark hashes groups of them and shuffles 16 bytes."""
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    return [F.xxhash64(F.lit(seed), nulls, *columns) for seed in (1, 2)]
+
+
 def name_folder(df: DataFrame):
     """How Spark tells column names apart in this session: by letter case, or not (the default)."""
     exact = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"

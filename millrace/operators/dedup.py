@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, col, data_columns, fresh, is_floating, is_numeric
+from millrace.functions.cells import Cell, col, data_columns, fingerprint, is_floating, is_numeric
 from millrace.plans.buckets import as_keys, position
 
 
@@ -20,17 +20,17 @@ def _as_list(order_by: str | list[str] | None) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, str]:
-    """One row per distinct key with its row count, and the count's name. Null equals null and NaN equals null."""
-    keys = keys or data_columns(df)
-    (n,) = fresh(df, "n")
-    return df.groupBy(*[Cell(df, k).identity.alias(k) for k in keys]).agg(F.count(F.lit(1)).alias(n)), n
-
-
 def count_duplicates(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A one-row table: ``duplicates`` is the number of rows beyond the first of each key."""
-    groups, n = duplicate_groups(df, keys)
-    return groups.agg(F.coalesce(F.sum(F.col(n) - 1), F.lit(0)).alias("duplicates"))
+    """A one-row table: ``duplicates`` is the number of rows beyond the first of each key.
+
+    Null equals null and NaN equals null. Keys are grouped by a 128-bit fingerprint, so no row is shuffled whole.
+    """
+    keys = keys or data_columns(df)
+    if not keys:
+        return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicates"))
+    one, two = fingerprint([Cell(df, k).identity for k in keys])
+    groups = df.select(one.alias("one"), two.alias("two")).groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def drop_duplicates(

@@ -25,6 +25,7 @@ MISSING_KEY = "\x01"
 HOT_ROWS = 1_000_000  # rows of one key that one task joins without trouble
 HOT_SHARE = 0.05
 SKETCH_ITEMS = 10_000
+MISSING_PAIRS = 100_000_000  # rows that missing keys alone may make
 CROSS_RIGHT_ROWS = 10_000  # an explicit cross product needs a right side no larger than this,
 CROSS_RIGHT_BYTES = 64 << 20  # in rows and in bytes of text
 
@@ -54,6 +55,18 @@ def _hot(df: DataFrame, keys: list[Column]) -> bool:
     return most > min(HOT_SHARE * found["n"], HOT_ROWS) or found["n"] / SKETCH_ITEMS > HOT_ROWS
 
 
+def _check_missing(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> None:
+    """Refuse a join in which missing keys, which match each other, would multiply beyond ``MISSING_PAIRS`` rows."""
+    counts = []
+    for df, names in ((left, [a for a, _ in pairs]), (right, [b for _, b in pairs])):
+        gone = F.lit(True)
+        for n in names:
+            gone = gone & Cell(df, n).missing
+        counts.append(df.agg(F.count_if(gone)).head()[0])
+    if counts[0] * counts[1] > MISSING_PAIRS:
+        raise ValueError(f"{counts[0]} x {counts[1]} rows have no key at all and would all be paired: use missing_match=False")
+
+
 def _output(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Right-hand columns of the result as (source name, output name)."""
     fold = name_folder(left)
@@ -71,7 +84,8 @@ def join_tables(
     """Equi-join with all left columns and the right non-key columns (clashes get ``_right``).
 
     ``keys`` holds column names or ``(left, right)`` pairs. Rows only on the right take their key from the right side.
-    ``how='cross'`` takes no keys and needs a small right side. ``skew`` is ``auto`` (look for a hot key before an
+    Missing keys match each other, up to ``MISSING_PAIRS`` such pairs; beyond that the join is refused (see
+    ``missing_match``). ``how='cross'`` takes no keys and needs a small right side. ``skew`` is ``auto`` (look for a hot key before an
     outer join), ``split`` or ``plain``.
     """
     pairs = _pairs(keys)
@@ -82,6 +96,8 @@ def join_tables(
     if not pairs:
         raise ValueError("a join needs at least one key pair; ask for how='cross' to combine every row")
     rights = _output(left, right, pairs)
+    if missing_match:
+        _check_missing(left, right, pairs)
     lk = _key_columns(left, [a for a, _ in pairs], missing_match)
     rk = _key_columns(right, [b for _, b in pairs], missing_match)
     names = [f"_k{i}" for i in range(len(pairs))]

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cells import Cell, data_columns, text_to_num, to_str
+from millrace.functions.cells import Cell, col, data_columns, fingerprint, text_to_num, to_str
 from millrace.operators.columns import column_facts
-from millrace.operators.dedup import duplicate_groups
+from millrace.operators.dedup import count_duplicates
 from millrace.operators.types import converted, is_inferred, logical_type
 from millrace.plans.buckets import as_keys
 from millrace.plans.long import cells_long
@@ -24,6 +24,7 @@ CONSTANT_REASON = "constant value"
 SPARSE_REASON = "% missing"
 INDEX_REASON = "looks like an index artifact"
 EXAMPLES = 3
+EXAMPLE_ROWS = 300  # looked at first for examples
 
 
 def _long(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
@@ -39,8 +40,9 @@ def _long(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
 def _column_stats(df: DataFrame, approx: bool) -> DataFrame:
     """``column, total, missing, distinct, min_num, max_num, min_text, max_text`` for every column with rows.
 
-    Exact: cells are grouped by (column, text), which is both the distinct count and a strong pre-aggregation; the
-    second grouping has one group per column and combines before its shuffle. Approximate: one pass with sketches.
+    Exact: cells are grouped by column and the text's fingerprint, which is both the distinct count and a strong
+    pre-aggregation; the second grouping has one group per column and combines before its shuffle. Approximate: one pass
+    with sketches.
     """
     value, num = F.col("value"), F.col("num")
     # Extremes of text make Spark sort instead of hash, so they are left out unless a column needs them.
@@ -62,26 +64,24 @@ def _column_stats(df: DataFrame, approx: bool) -> DataFrame:
             *text_extremes(),
         )
     else:
-        texts = _long(df).groupBy("column", "value").agg(
-            F.count(F.lit(1)).alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi")
+        one, two = fingerprint([value])
+        texts = _long(df).groupBy("column", value.isNull().alias("none"), one.alias("one"), two.alias("two")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi"), *text_extremes()
         )
         stats = texts.groupBy("column").agg(
             F.sum("n").alias("total"),
-            F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-            F.count(value).alias("distinct"),
+            F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0)).alias("missing"),
+            F.count_if(~F.col("none")).alias("distinct"),
             F.min("lo").alias("min_num"),
             F.max("hi").alias("max_num"),
-            *text_extremes(),
+            *([F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text")] if dates else []),
         )
     if dates:
         return stats
     return stats.withColumns({c: F.lit(None).cast("string") for c in ("min_text", "max_text")})
 
 
-def _examples(df: DataFrame, order_by) -> DataFrame:
-    """The first present values of every column. The rank limit is applied before the shuffle, so each task sends on
-    at most ``EXAMPLES`` rows per column."""
-    keys = as_keys(df, order_by)
+def _ranked_examples(df: DataFrame, keys: list) -> DataFrame:
     cells = _long(df, [k.expr.alias(f"_o{i}") for i, k in enumerate(keys)]).filter(F.col("value").isNotNull())
     first = Window.partitionBy("column").orderBy(*[F.col(f"_o{i}") for i in range(len(keys))])
     ranked = cells.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= EXAMPLES)
@@ -89,6 +89,25 @@ def _examples(df: DataFrame, order_by) -> DataFrame:
     return ranked.groupBy("column").agg(F.transform(kept, lambda e: e["value"]).alias("examples"))
 
 
+def _examples(df: DataFrame, order_by) -> DataFrame:
+    """The first present values of every column.
+
+    The first ``EXAMPLE_ROWS`` rows, a top-k, hold them for nearly every column. Only columns that are still short are
+    then searched as a whole; each task sends on at most ``EXAMPLES`` rows per column.
+    """
+    keys = as_keys(df, order_by)
+    head = df.orderBy(*[k.ordered() for k in keys]).limit(EXAMPLE_ROWS)
+    found = {r["column"]: r["examples"] for r in _ranked_examples(head, keys).collect()}
+    full = [c for c in data_columns(df) if len(found.get(c, [])) == EXAMPLES]
+    easy = df.sparkSession.createDataFrame([(c, found[c]) for c in full], "column string, examples array<string>")
+    if len(full) == len(data_columns(df)):
+        return easy
+    named = [i for i in ([order_by] if isinstance(order_by, str) else order_by) if isinstance(i, str)]
+    short = [c for c in df.columns if c not in full]
+    rest = _ranked_examples(df.select(*[col(c) for c in dict.fromkeys([*short, *named])]), keys)
+    return easy.unionByName(rest.filter(F.col("column").isin(short)))
+
+
 def profile_columns(df: DataFrame, order_by: str | list[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per column: missing and distinct counts, range, quality and (with ``order_by``) example values.
 
@@ -139,24 +158,18 @@ def suggest_unnecessary_columns(df: DataFrame) -> DataFrame:
 
 
 def _table_totals(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Row, duplicate and missing-cell counts, and per column the cells its type rejects, in a single grouping.
+    """Row, duplicate and missing-cell counts, and per column the cells its type rejects.
 
-    Equal rows collapse to one with a count before the shuffle, and everything else is computed on the groups.
+    Cells are counted in one aggregation that shuffles a row per task, duplicates by fingerprints of rows.
     """
-    columns, (groups, n) = data_columns(df), duplicate_groups(df)
-    n = F.col(n)
-    sums = [
-        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum(sum((Cell(groups, c).missing.cast("int") for c in columns), F.lit(0)) * n), F.lit(0)).alias(
-            "missing"
-        ),
-    ]
+    columns = data_columns(df)
+    missing = sum((Cell(df, c).missing.cast("int") for c in columns), F.lit(0))
+    sums = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing")]
     for i, c in enumerate(columns if types else []):
-        cell = Cell(groups, c)
+        cell = Cell(df, c)
         value, _ = converted(cell, types[c])
-        sums.append(F.coalesce(F.sum(F.when(cell.present & value.isNull(), n)), F.lit(0)).alias(f"invalid{i}"))
-    return groups.agg(*sums)
+        sums.append(F.count_if(cell.present & value.isNull()).alias(f"invalid{i}"))
+    return df.agg(*sums).crossJoin(count_duplicates(df))  # one row each
 
 
 def profile_dataset(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.cells import Cell
 from millrace.operators import append as _append
 from millrace.operators import columns, dates, dedup, fill, joins, numbers, ordering, outliers, rows, text, types
+from millrace.sources.scratch import settled
 
 
 @dataclass(frozen=True)
@@ -169,14 +170,15 @@ class Recipe:
         """One row per active step: rows before and after, and the cells or rows it affected.
 
         A recipe of row-wise steps is one narrow stage, so all its counts are observed during a single pass. With
-        shuffles in between, a re-run task could be observed twice; there each count is an aggregation of its own and
-        all of them run as one job.
+        shuffles in between, a re-run task could be observed twice; there the output of every step is written once to
+        the session's shared folder and counted from there, so the work grows with the number of steps.
         """
         if not self.active:
             return df.sparkSession.createDataFrame([], _METRICS)
         frames = [df]
         for step in self.active:
-            frames.append(step.run(frames[-1], tables))
+            after = step.run(frames[-1], tables)
+            frames.append(after if self.is_row_local else settled(after, "metrics"))
         counts = [self._counts(i, frames) for i in range(len(frames))]
         if self.is_row_local:
             totals = self._observe(df, tables)

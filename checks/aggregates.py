@@ -13,39 +13,39 @@ from millrace.operators.ordering import number_rows
 @check(
     "sort_numeric_missing_last",
     "messy_customer",
-    """SELECT c_custkey, acctbal, row_number() OVER (ORDER BY acctbal IS NULL, acctbal DESC, c_custkey) AS pos FROM messy_customer""",
+    """SELECT *, row_number() OVER (ORDER BY acctbal IS NULL, acctbal DESC, c_custkey) AS pos FROM messy_customer""",
 )
 def _(df):
-    return number_rows(df.select("c_custkey", "acctbal"), [("acctbal", "desc")], "c_custkey", buckets=8)
+    return number_rows(df, [("acctbal", "desc")], "c_custkey", buckets=8)
 
 
 @check(
     "sort_natural",
     "part",
-    r"""SELECT p_partkey, p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '\d+') AS INTEGER), p_partkey) AS pos
+    r"""SELECT *, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '\d+') AS INTEGER), p_partkey) AS pos
     FROM part""",
 )
 def _(df):
-    return number_rows(df.select("p_partkey", "p_brand"), [("p_brand", "asc")], "p_partkey", buckets=8)
+    return number_rows(df, [("p_brand", "asc")], "p_partkey", buckets=8)
 
 
 @check(
     "sort_multi",
     "messy_customer",
-    f"""SELECT c_custkey, segment, acctbal, row_number() OVER (ORDER BY {missing_sql('segment')},
+    f"""SELECT *, row_number() OVER (ORDER BY {missing_sql('segment')},
     CASE WHEN NOT {missing_sql('segment')} THEN lower(segment) END, acctbal IS NULL, acctbal DESC, c_custkey) AS pos FROM messy_customer""",
 )
 def _(df):
-    return number_rows(df.select("c_custkey", "segment", "acctbal"), ["segment", ("acctbal", "desc")], "c_custkey", buckets=8)
+    return number_rows(df, ["segment", ("acctbal", "desc")], "c_custkey", buckets=8)
 
 
 @check(
     "page_rows",
     "messy_customer",
-    """SELECT c_custkey, acctbal, email FROM messy_customer ORDER BY acctbal IS NULL, acctbal, c_custkey LIMIT 50 OFFSET 100""",
+    """SELECT * FROM messy_customer ORDER BY acctbal IS NULL, acctbal, c_custkey LIMIT 50 OFFSET 100""",
 )
 def _(df):
-    return mr.page(df.select("c_custkey", "acctbal", "email"), ["acctbal"], "c_custkey", n=2)
+    return mr.page(df, ["acctbal"], "c_custkey", n=2)
 
 
 # --- profiles ---------------------------------------------------------------------------------------------------

@@ -93,11 +93,12 @@ _HIT = " OR ".join(
 @check(
     "search_rows",
     "messy_customer",
-    f"SELECT {_WITHOUT_EMPTY} FROM messy_customer WHERE contains(CAST(c_custkey AS VARCHAR), '99') OR {_HIT}"
+    f"SELECT * FROM messy_customer WHERE contains(CAST(c_custkey AS VARCHAR), '99') OR {_HIT}"
+    " OR contains(concat_ws(' ', empty_col, const_col, seg_a, seg_b), '99')"
     f" OR contains(coalesce({double_text_sql('acctbal')}, ''), '99')",
 )
 def _(df):
-    return mr.search_rows(df.select(*_WITHOUT_EMPTY.split(", ")), " 99 ")
+    return mr.search_rows(df, " 99 ")
 
 
 # --- duplicates -------------------------------------------------------------------------------------------------

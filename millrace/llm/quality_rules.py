@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import column_of, text_slices
+from millrace.llm.tables import text_slices
 from millrace.llm.words import SEPARATOR, SHINGLE, Words, hashed_runs, repeats
 
 SAMPLE_ROWS = 2_000
@@ -129,10 +129,10 @@ RULES = (
 )
 
 
-def _trial(rules: tuple[QualityRule, ...], text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _trial(rules: tuple[QualityRule, ...]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(column_of(batch, text)):
+            for lo, hi, data, offsets in text_slices(batch.column(0)):
                 rows = []
                 for rule in rules:
                     began = time.perf_counter()
@@ -152,7 +152,7 @@ def cascade_order(
     """
     fraction = min(1.0, 2.0 * sample_rows / max(1, docs.count()))
     sample = docs.select(F.col(text).cast("string").alias("text")).sample(fraction, seed=7).limit(sample_rows)
-    tried = sample.mapInArrow(_trial(rules, "text"), "rule string, seconds double, rejected long, seen long")
+    tried = sample.mapInArrow(_trial(rules), "rule string, seconds double, rejected long, seen long")
     sums = tried.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
     gain = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in sums}
     return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))

@@ -7,20 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.sources.scratch import scratch_path
+from millrace.functions.cells import fresh
+from millrace.sources.scratch import settled as settle
+
+__all__ = ["BROADCAST_ROWS", "SLICE_BYTES", "fresh", "settle", "sized", "text_slices"]
 
 #: Bytes of text one step inside a task works on. A longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: lost executors cannot take it along."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into ``(first row, end row, bytes, offsets)`` of about ``limit`` bytes; null texts are empty."""
     column = column.cast(pa.large_binary())
@@ -40,27 +37,10 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
-
-
 #: Tables of narrow rows up to this count are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted, are at most ``limit``. Give it settled tables only."""
-    from pyspark.sql.functions import broadcast
-
-    return broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like ``names`` that no column of ``df`` has, whatever the case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -107,8 +108,6 @@ def test_quality_order_never_matters(docs):
 
 
 def test_cheap_and_harsh_rules_come_first(spark, docs):
-    import time
-
     slow = quality_rules.QualityRule("slow", lambda m: time.sleep(0.05) or m["n_words"] < 100)
     none = quality_rules.QualityRule("none", lambda m: m["n_words"] < 0)
     quick = quality_rules.QualityRule("quick", lambda m: m["n_words"] < 100)

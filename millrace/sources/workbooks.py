@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources.records import record_keys
 
 ROWS_PER_BATCH = 10_000
 SOURCE_FILE = "source_file"
@@ -93,22 +91,31 @@ def _header(cells: dict[int, str]) -> dict[int, str]:
     return names
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The column names of each workbook; its rows are not read."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = sheet_rows(content)
-            header = _header(next(rows, {0: ""}))
-            out: list[tuple] = []
-            seen = 0
-            for seen, cells in enumerate(rows, 1):
-                record = {name: cells.get(at) for at, name in header.items()}
-                out.append((path, seen, json.dumps(record, ensure_ascii=False)))
-                if len(out) == ROWS_PER_BATCH:
-                    yield pd.DataFrame(out, columns=["_file", "_n", "value"])
-                    out = []
-            if seen == 0:
-                raise ValueError(f"{path}: the first sheet has no rows")
-            yield pd.DataFrame(out, columns=["_file", "_n", "value"])
+            names = _header(next(sheet_rows(content), {0: ""}))
+            yield pd.DataFrame({"file": path, "at": list(names), "key": list(names.values())})
+
+
+def _parser(columns: list[str], fields: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                rows = sheet_rows(content)
+                place = {name: at for at, name in _header(next(rows, {0: ""})).items()}
+                order, out, seen = [place.get(c) for c in columns], [], 0
+                for seen, cells in enumerate(rows, 1):
+                    out.append((*[cells.get(at) for at in order], path))
+                    if len(out) == ROWS_PER_BATCH:
+                        yield pd.DataFrame(out, columns=fields)
+                        out = []
+                if seen == 0:
+                    raise ValueError(f"{path}: the first sheet has no rows")
+                yield pd.DataFrame(out, columns=fields)
+
+    return run
 
 
 def workbook_rows(files: DataFrame) -> DataFrame:
@@ -117,13 +124,13 @@ def workbook_rows(files: DataFrame) -> DataFrame:
     Each file is parsed by one task as a stream. The header row names the columns, a blank cell is null, and the table
     has the union of all files' columns in first-seen order.
     """
-    records = files.select("path", "content").mapInPandas(_parse, "_file string, _n bigint, value string")
-    columns = record_keys(records, "value", ["_file", "_n"])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    parsed = records.select(F.col("_file"), F.from_json("value", schema).alias("r"))
-    return parsed.select(
-        *[F.col("r").getField(c).alias(c) for c in columns if c != SOURCE_FILE], F.col("_file").alias(SOURCE_FILE)
-    )
+    books = files.select("path", "content")
+    heads = books.mapInPandas(_heads, "file string, at int, key string")
+    first = heads.groupBy("key").agg(F.min(F.struct("file", "at")).alias("first")).orderBy("first")
+    columns = [r["key"] for r in first.collect() if r["key"] != SOURCE_FILE]
+    fields = [f"c{i}" for i in range(len(columns) + 1)]
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    return books.mapInPandas(_parser(columns, fields), schema).toDF(*columns, SOURCE_FILE)
 
 
 def load_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ inputs are shared between the parts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +61,11 @@ def _check_missing(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str
     """Refuse a join in which missing keys, which match each other, would multiply beyond ``MISSING_PAIRS`` rows."""
     counts = []
     for df, names in ((left, [a for a, _ in pairs]), (right, [b for _, b in pairs])):
-        gone = F.lit(True)
-        for n in names:
-            gone = gone & Cell(df, n).missing
-        counts.append(df.agg(F.count_if(gone)).head()[0])
-    if counts[0] * counts[1] > MISSING_PAIRS:
-        raise ValueError(f"{counts[0]} x {counts[1]} rows have no key at all and would all be paired: use missing_match=False")
+        gone = reduce(lambda a, b: a & b, [Cell(df, n).missing for n in names])
+        counts.append(df.agg(F.count_if(gone).alias("n")))
+    a, b = (r["n"] for r in counts[0].union(counts[1]).collect())
+    if a * b > MISSING_PAIRS:
+        raise ValueError(f"{a} x {b} rows have no key at all and would all be paired: use missing_match=False")
 
 
 def _output(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:

@@ -124,3 +124,14 @@ def test_append(spark):
     assert (row["common_columns"], row["only_in_first"], row["only_in_rest"], row["total_rows"]) == ([], ["v", "n"], ["x", "y"], 4)
     with pytest.raises(ValueError):
         mr.append([])
+
+
+def test_products_of_missing_keys_are_refused(spark, monkeypatch):
+    import millrace.operators.joins as joins
+
+    df = spark.createDataFrame([(None, 1), ("N/A", 2), ("a", 3)], "k string, v int")
+    assert mr.join_tables(df, df, "k").count() == 5
+    monkeypatch.setattr(joins, "MISSING_PAIRS", 3)
+    with pytest.raises(ValueError, match="missing_match"):
+        mr.join_tables(df, df, "k")
+    assert mr.join_tables(df, df, "k", missing_match=False).count() == 1

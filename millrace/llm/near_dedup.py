@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.tables import settle, sized, text_slices
+from millrace.llm.tables import fresh, settle, sized, text_slices
 from millrace.llm.words import LOWER, Words, mixed
 
 SKETCH = 64
@@ -214,11 +214,12 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
 
     Of rows equal in id and text one stays. Rows that share an id (or have none) stay if one of them is kept.
     """
-    verdicts = near_duplicates(docs, id, text, percent)
-    by_id = settle(verdicts.groupBy(F.col(id).alias("_judged")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1"), "verdicts")
-    same = docs[id].eqNullSafe(F.col("_judged"))
-    once = docs.join(sized(by_id.select("_judged")), same, "left_anti")
-    again = docs.join(sized(by_id.where("_kept").select("_judged")), same, "left_semi")
+    judged, place = fresh(docs, "judged", "place")
+    verdicts = near_duplicates(docs, id, text, percent).groupBy(F.col(id).alias(judged))
+    verdicts = verdicts.agg(F.max("kept").alias("any_kept"), F.count("*").alias("rows")).where("not any_kept or rows > 1")
+    verdicts = settle(verdicts, "verdicts")
+    same = docs[id].eqNullSafe(F.col(judged))
+    once = docs.join(sized(verdicts.select(judged)), same, "left_anti")
+    again = docs.join(sized(verdicts.where("any_kept").select(judged)), same, "left_semi")
     first = Window.partitionBy(again[id], F.md5(again[text].cast("string"))).orderBy(F.lit(0))
-    place = next(c for c in (f"_place{k}" for k in range(len(docs.columns) + 1)) if c.lower() not in [x.lower() for x in docs.columns])
     return once.unionByName(again.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place))

@@ -31,7 +31,7 @@ from millrace.llm import (
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Columns that every operator has to live with: names it may use itself.
-ODD = {"id": "1", "key": "'k'", "size": "2", "kept": "true", "spans": "'s'", "n": "3", "value": "4", "node": "'x'", "Digest": "5", "vector": "6"}
+ODD = {"judged": "0", "_judged": "0", "place": "0", "id": "1", "key": "'k'", "size": "2", "kept": "true", "spans": "'s'", "n": "3", "value": "4", "node": "'x'", "Digest": "5", "vector": "6"}
 
 
 @pytest.fixture(scope="module", autouse=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -89,12 +90,13 @@ def _bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass(frozen=True)
 class _Library:
-    """The templates' pairs, as an inverted list: ``pairs`` ascending and the template each is in."""
+    """The templates' pairs, as an inverted list: ``pairs`` ascending and the template each is in; ``own`` by template."""
 
     names: list[str]
     sizes: np.ndarray
     pairs: np.ndarray
     template: np.ndarray
+    own: list[np.ndarray]
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> _Library:
@@ -103,7 +105,8 @@ class _Library:
         data = np.where(data == 0x0A, np.uint8(0x20), data)
         template, pairs = _bigrams(data, np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
         order = np.argsort(pairs, kind="stable")
-        return cls(list(templates), np.bincount(template, minlength=len(raw)), pairs[order], template[order])
+        sizes = np.bincount(template, minlength=len(raw))
+        return cls(list(templates), sizes, pairs[order], template[order], np.split(pairs, np.cumsum(sizes)[:-1]))
 
 
 @lru_cache(2)
@@ -138,15 +141,107 @@ def _best(library: _Library, unit: np.ndarray, pair: np.ndarray, n: int, thresho
     return name, best
 
 
+def _windows(library: _Library, k: int, pair: np.ndarray, before: np.ndarray, total: int, threshold: int) -> list[tuple]:
+    """Stretches of a text's pairs that reach ``threshold`` with template ``k``: ``(score, dice, first pair, last pair, k)``.
+
+    ``before`` has the last earlier place of each pair, ``total`` is the number of the template's pairs in the text. To take
+    in a pair of the template never lowers the coefficient, so the best stretches begin where a run of such pairs does. For
+    each beginning the best end is told, for any width that the template's size allows.
+    """
+    own, size = library.own[k], int(library.sizes[k])
+    hit = own[np.minimum(np.searchsorted(own, pair), size - 1)] == pair
+    ends = np.append(np.flatnonzero(~hit), len(hit))
+    widest, out = size * (200 - threshold) // threshold, []
+    for first in np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]])).tolist():
+        width = 2 * widest + 8
+        while True:
+            new = before[first : first + width] < first
+            held, common = np.cumsum(new), np.cumsum(new & hit[first : first + width])
+            if held[-1] > widest or common[-1] == total or first + width >= len(pair):
+                break
+            width *= 2
+        dice = 2 * common / (held + size)
+        last = int(dice.argmax())
+        if 200 * int(common[last]) >= threshold * int(held[last] + size):
+            d = float(dice[last])
+            # The rest of the run are pairs that stood before in it.
+            out.append((int(common[last]) * d * d, d, first, int(ends[np.searchsorted(ends, first + last)]) - 1, k))
+    return out
+
+
+def _spans(library: _Library, data: np.ndarray, offsets: np.ndarray, threshold: int):
+    """Templates at any place of the texts: ``(row, template, dice, from, to)``, those of a text apart from one another.
+
+    A text can hold a template only if it has enough of its pairs. Where stretches meet, the one with more pairs in common goes
+    first: by their number times the square of the coefficient, so that a notice within a licence gives way to the licence.
+    """
+    words = Words(data, offsets)
+    h = words.hashes()
+    at = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+    pair, doc = mixed(h[:-1] * _FIRST + h[1:] * _SECOND)[at], words.doc[at]
+    place = np.searchsorted(library.pairs, pair, "left")
+    known = np.flatnonzero(np.append(library.pairs, np.uint64(0))[place] == pair)
+    known = known[np.lexsort((pair[known], doc[known]))]
+    new = np.ones(len(known), bool)
+    new[1:] = (pair[known[1:]] != pair[known[:-1]]) | (doc[known[1:]] != doc[known[:-1]])
+    known = known[new]
+    many = np.searchsorted(library.pairs, pair[known], "right") - place[known]
+    entry = np.repeat(place[known] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    key, common = np.unique(np.repeat(doc[known], many) * len(library.names) + library.template[entry], return_counts=True)
+    enough = 200 * common >= threshold * (common + library.sizes[key % len(library.names)])
+    key, common = key[enough], common[enough]
+    out, lows = [], np.searchsorted(doc, np.arange(len(offsets)))
+    for row, these in _grouped(key // len(library.names)):
+        lo, hi = lows[row], lows[row + 1]
+        own = pair[lo:hi]
+        order = np.argsort(own, kind="stable")
+        before = np.full(len(own), -1)
+        again = own[order[1:]] == own[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        found = []
+        for x in these:
+            found += _windows(library, int(key[x] % len(library.names)), own, before, int(common[x]), threshold)
+        taken = []
+        for _, dice, a, b, k in sorted(found, key=lambda f: (-f[0], -f[1], f[4], f[2])):
+            # Stretches in ``taken`` are apart, so only the neighbours can meet [a, b].
+            n = bisect_left(taken, (a, b))
+            if (n and taken[n - 1][1] >= a) or (n < len(taken) and taken[n][0] <= b):
+                continue
+            insort(taken, (a, b))
+            start, end = words.starts[at[lo + a]], words.ends[at[lo + b] + 1]
+            out.append((row, k, dice, start - offsets[row], end - offsets[row]))
+    return out
+
+
+def _grouped(rows: np.ndarray):
+    """Each different value of an ascending array, with its places."""
+    ends = np.append(np.flatnonzero(rows[1:] != rows[:-1]) + 1, len(rows)) if len(rows) else []
+    lo = 0
+    for hi in ends:
+        yield int(rows[lo]), range(lo, int(hi))
+        lo = int(hi)
+
+
+def _untold(spans: list[tuple], rows: np.ndarray, names: np.ndarray, dices: np.ndarray, froms: np.ndarray, tos: np.ndarray) -> list[tuple]:
+    """The spans that no unit they meet tells: one with the same licence, or with a coefficient as large."""
+    units = {}
+    for row, *unit in zip(rows.tolist(), names.tolist(), dices.tolist(), froms.tolist(), tos.tolist()):
+        units.setdefault(row, []).append(unit)
+    tells = lambda u, k, dice, a, b: u[2] < b and a < u[3] and (u[0] == k or u[1] >= dice)
+    return [(row, *s) for row, *s in spans if not any(tells(u, *s) for u in units.get(row, []))]
+
+
 def _scan(templates: tuple[tuple[str, str], ...], threshold: int):
     def run(batches):
         library = _library(templates)
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
-                data = _NORMAL[data]
+            for lo, hi, raw, offsets in text_slices(batch.column(1)):
+                data = _NORMAL[raw]
                 # Units: every whole text, every paragraph and every line; a text's size grows the work three times at most.
                 lines = np.union1d(np.flatnonzero(data == 0x0A) + 1, offsets)
-                blank = np.flatnonzero((data[1:] == 0x0A) & (data[:-1] == 0x0A)) + 2
+                ends = np.flatnonzero(raw == 0x0A)
+                empty = (raw[ends - 1] == 0x0A) | ((raw[ends - 1] == 0x0D) & (raw[ends - 2] == 0x0A) & (ends > 1))
+                blank = ends[empty & (ends > 0)] + 1
                 spaced = np.where(data == 0x0A, np.uint8(0x20), data)
                 rows, names, dices, froms, tos, whole = [], [], [], [], [], []
                 for bounds, is_whole in ((offsets, True), (np.union1d(blank, offsets), False), (lines, False)):
@@ -161,9 +256,15 @@ def _scan(templates: tuple[tuple[str, str], ...], threshold: int):
                     rows.append(owner), names.append(name[found]), dices.append(dice[found])
                     froms.append(bounds[found] - offsets[owner]), tos.append(bounds[found + 1] - offsets[owner])
                     whole.append(np.full(len(found), is_whole))
-                if not rows or not sum(map(len, rows)):
+                if not rows:
                     continue
                 rows, names, dices, froms, tos, whole = map(np.concatenate, (rows, names, dices, froms, tos, whole))
+                spans = _untold(_spans(library, spaced, offsets, threshold), rows, names, dices, froms, tos)
+                if spans:
+                    more = [np.array(x) for x in zip(*spans)] + [np.zeros(len(spans), bool)]
+                    rows, names, dices, froms, tos, whole = map(np.concatenate, zip((rows, names, dices, froms, tos, whole), more))
+                if not len(rows):
+                    continue
                 # One row per span and text: a line that is a paragraph or the text itself is told once.
                 order = np.lexsort((~whole, tos, froms, rows))
                 rows, names, dices, froms, tos, whole = (x[order] for x in (rows, names, dices, froms, tos, whole))
@@ -188,15 +289,19 @@ def _scan(templates: tuple[tuple[str, str], ...], threshold: int):
 def scan_licenses(
     docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """Licences that a text, one of its paragraphs or one of its lines states.
+    """Licences that a text states, as a whole, in a paragraph or line of its own or at any other place.
 
     Texts are normalised (A-Z in lower case; other than letters, digits and non-ASCII characters all is white space) and split
-    into units: the whole text, its paragraphs (between empty lines) and its lines. A unit is compared with a template by the
-    Dice coefficient of their sets of word bigrams; templates whose size rules out ``threshold`` / 100 are not compared. Per
-    unit the best template counts, of equal ones the first listed.
+    into units: the whole text, its paragraphs (between empty lines, which may end in CR LF) and its lines. A unit is compared
+    with a template by the Dice coefficient of their sets of word bigrams; templates whose size rules out ``threshold`` / 100
+    are not compared. Per unit the best template counts, of equal ones the first listed.
+
+    Spans of words anywhere in a text, over line and paragraph ends, are compared in the same way: for each place where a run of
+    a template's bigrams begins, the best end. Of spans that meet one is told, and none that meets a unit found with the same
+    licence or with as large a coefficient. A template of one word is looked for in units only.
 
-    Returns a row for each unit found: the id, ``license``, ``dice``, ``from_byte`` and ``to_byte`` (its place in the UTF-8
-    text, line breaks at the end included) and ``whole_text``. Null, empty and other texts without a licence give none. Ids may
+    Returns a row for each unit or span found: the id, ``license``, ``dice``, ``from_byte`` and ``to_byte`` (its place in the UTF-8
+    text, for units line breaks at the end included) and ``whole_text``. Null, empty and other texts without a licence give none. Ids may
     be null or repeat, other columns are not read, an empty table gives an empty one. Bigrams are compared by 64-bit hashes.
     """
     chosen = tuple((TEMPLATES if templates is None else templates).items())

@@ -50,7 +50,8 @@ def license_scan(documents: DataFrame) -> DataFrame:
     found = scan_licenses(documents).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("license")).alias("licenses"), F.max("dice").alias("best_dice"), F.max("whole_text").alias("whole_text")
     )
-    joined = documents.select("doc_id").join(found, "doc_id", "left")
+    found = found.withColumnRenamed("doc_id", "found_id")
+    joined = documents.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     listed = F.coalesce(F.array_join("licenses", "; "), F.lit("")).alias("licenses")
     return joined.select("doc_id", listed, F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"), F.coalesce("whole_text", F.lit(False)).alias("whole_text"))
 

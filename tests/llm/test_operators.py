@@ -23,6 +23,7 @@ from millrace.llm import (
     near_dedup,
     packing,
     quality_rules,
+    queries,
     repeats,
     surrogates,
     toxicity,
@@ -463,6 +464,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.where("false")).count() == 0
 
 
+def test_licenses_at_any_place(spark):
+    """Licences over several paragraphs, in a line with other text and in CR LF texts; the span's coefficient is the best of all."""
+    mit = " ".join(licenses.TEMPLATES["MIT"].split())
+    parts = re.sub(r" (?=The above|THE SOFTWARE IS)", "\n\n", mit)
+    around = words(60, 5), words(70, 6)
+    texts = [
+        f"{around[0]}\n\n{parts}\n\n{around[1]}",
+        "The code here was written last year. Released under the MIT License. It is short.",
+        f"{around[0]}\n\n{mit}\n\n{around[1]}".replace("\n", "\r\n"),
+        f"{around[0]} {parts} {around[1]} Released under the MIT License. {around[0]}",
+        "released under x released under the y mit license released under the mit license z mit license",
+    ]
+    rows = spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in licenses.scan_licenses(rows).collect():
+        found[r["doc_id"]].append(r)
+    assert [r["license"] for r in found[0]] == ["MIT"] and texts[0][found[0][0]["from_byte"] : found[0][0]["to_byte"]] == parts.rstrip(".")
+    assert {r["license"] for r in found[None]} == {"MIT notice"} and {r["license"] for r in found[2]} == {"MIT"}
+    assert sorted(r["license"] for r in found[3]) == ["MIT", "MIT notice"]
+    w = texts[4].split()
+    best = max(dice(" ".join(w[a:b]), licenses.TEMPLATES["MIT notice"]) for a in range(len(w)) for b in range(a + 2, len(w) + 1))
+    assert max(r["dice"] for r in found[4] if r["license"] == "MIT notice") == best == 1
+    paragraph = [r for r in found[2] if texts[2][: r["from_byte"]].endswith("\r\n\r\n")]
+    assert any(r["dice"] == 1 and texts[2][: r["to_byte"]].endswith("\r\n\r\n") for r in paragraph)
+    judged = {r["doc_id"]: r["licenses"] for r in queries.license_scan(rows).collect()}
+    assert judged[None] == "MIT notice" and len(judged) == 5
+
+
 # op 10
 
 

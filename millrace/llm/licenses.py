@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,15 @@ from pyspark.sql import functions as F
 from millrace.llm.tables import text_slices
 from millrace.llm.words import Words, mixed
 
-#: Fixed texts: notices by which licences are granted or named, in public use.
+_BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:"""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+_BSD_END = """IN NO EVENT SHALL THE {} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Fixed texts: licences, and notices by which they are granted or named, in public use. A licence may have several notices.
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
@@ -36,7 +46,42 @@ the following conditions are met: 1. Redistributions of source code must retain
 and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
 the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
 COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. """
+    + _BSD_END.format("COPYRIGHT HOLDER OR CONTRIBUTORS"),
+    "BSD-3-Clause": f"""{_BSD_START} 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the
+copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission. {_BSD_AS_IS} {_BSD_END.format("COPYRIGHT HOLDER OR CONTRIBUTORS")}""",
+    "BSD-4-Clause": f"""{_BSD_START} 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials
+mentioning features or use of this software must display the following acknowledgement: This product includes software developed by
+the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. {_BSD_AS_IS}
+{_BSD_END.format("COPYRIGHT HOLDER OR CONTRIBUTORS")}""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+do so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR
+ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product,
+an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly
+marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
+source distribution.""",
+    "WTFPL": """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim
+or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO
+PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
 with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
 or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
@@ -61,6 +106,77 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     "CC0-1.0 notice": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "all rights reserved": "Copyright. All rights reserved.",
 }
+for _name, _long, _versions in (
+    ("GPL", "GNU General Public License", ("1", "2", "3")),
+    ("LGPL", "GNU Library General Public License", ("2",)),
+    ("LGPL", "GNU Lesser General Public License", ("2.1", "3")),
+    ("AGPL", "GNU Affero General Public License", ("1", "3")),
+):
+    TEMPLATES[f"{_name} notice"] = f"Licensed under the {_long}."
+    for _v in _versions:
+        _id = f"{_name}-{_v if '.' in _v else _v + '.0'}"
+        TEMPLATES.setdefault(
+            _id,
+            f"""This program is free software: you can redistribute it and/or modify it under the terms of the {_long} as published by
+the Free Software Foundation, either version {_v} of the License, or (at your option) any later version. This program is distributed
+in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the {_long} for more details.""",
+        )
+        TEMPLATES.setdefault(f"{_id} notice", f"This work is licensed under the {_long}, version {_v}.")
+        TEMPLATES[f"{_id} notice (2)"] = f"Licensed under the {_long} v{_v}."
+        TEMPLATES[f"{_id} notice (3)"] = f"Licensed under the {_name}v{_v}."
+        TEMPLATES[f"{_id} notice (4)"] = f"Licensed under {_name} version {_v}."
+        TEMPLATES[f"{_id} notice (5)"] = f"Under the {_long}, version {_v}."
+for _id, *_forms in (
+    ("MIT", "Licensed under the MIT License.", "Licensed under MIT."),
+    ("ISC", "Licensed under the ISC License."),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "Licensed under the New BSD License.", "Licensed under the Modified BSD License."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-2.0", "Licensed under the Apache License 2.0.", "Licensed under Apache 2.0."),
+    ("MPL-1.1", "Licensed under the Mozilla Public License, Version 1.1.", "Licensed under the MPL 1.1."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0.", "Licensed under the Mozilla Public License 2.0.", "Licensed under the MPL 2.0."),
+    ("EPL-1.0", "Licensed under the Eclipse Public License, Version 1.0.", "Licensed under the Eclipse Public License v1.0."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0.", "Licensed under the Eclipse Public License v2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "Licensed under the zlib License."),
+    ("Unlicense", "Released under the Unlicense."),
+    ("WTFPL", "Licensed under the WTFPL."),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("OFL-1.1", "Licensed under the SIL Open Font License, Version 1.1."),
+    ("GFDL-1.3", "Licensed under the GNU Free Documentation License, Version 1.3."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal.", "Released under CC0 1.0."),
+    ("all rights reserved", "Copyright (c) All rights reserved."),
+):
+    for _form in _forms:
+        _k = 1
+        while (_key := f"{_id} notice" + (f" ({_k})" if _k > 1 else "")) in TEMPLATES:
+            _k += 1
+        TEMPLATES[_key] = _form
+for _v, _area in (("4.0", "International"), ("3.0", "Unported")):
+    for _by, _long in (
+        ("BY", "Attribution"),
+        ("BY-SA", "Attribution-ShareAlike"),
+        ("BY-ND", "Attribution-NoDerivatives" if _v == "4.0" else "Attribution-NoDerivs"),
+        ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives" if _v == "4.0" else "Attribution-NonCommercial-NoDerivs"),
+    ):
+        for _form in (
+            f"Licensed under CC {_by} {_v}.",
+            f"This work is licensed under a Creative Commons {_long} {_v} {_area} License.",
+            f"Licensed under the Creative Commons {_long} {_v} License.",
+        ):
+            if _form not in TEMPLATES.values():
+                _k = 1
+                while (_key := f"CC-{_by}-{_v} notice" + (f" ({_k})" if _k > 1 else "")) in TEMPLATES:
+                    _k += 1
+                TEMPLATES[_key] = _form
+#: Whole licences, a file each.
+for _file in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+    if _file.name.endswith(".txt"):
+        TEMPLATES[f"{_file.name[:-4]} text"] = _file.read_text(encoding="utf-8")
 THRESHOLD = 80
 #: Normalising: A-Z in lower case, every other byte that is no letter, digit or part of a longer UTF-8 character is a space.
 _NORMAL = np.full(256, 0x20, np.uint8)
@@ -222,18 +338,19 @@ def _grouped(rows: np.ndarray):
         lo = int(hi)
 
 
-def _untold(spans: list[tuple], rows: np.ndarray, names: np.ndarray, dices: np.ndarray, froms: np.ndarray, tos: np.ndarray) -> list[tuple]:
+def _untold(library: _Library, spans: list[tuple], rows: np.ndarray, names: np.ndarray, dices: np.ndarray, froms: np.ndarray, tos: np.ndarray) -> list[tuple]:
     """The spans that no unit they meet tells: one with the same licence, or with a coefficient as large."""
+    licence = [re.sub(r" (notice|text)( \(\d+\))?$", "", name) for name in library.names]
     units = {}
     for row, *unit in zip(rows.tolist(), names.tolist(), dices.tolist(), froms.tolist(), tos.tolist()):
         units.setdefault(row, []).append(unit)
-    tells = lambda u, k, dice, a, b: u[2] < b and a < u[3] and (u[0] == k or u[1] >= dice)
+    tells = lambda u, k, dice, a, b: u[2] < b and a < u[3] and (licence[u[0]] == licence[k] or u[1] >= dice)
     return [(row, *s) for row, *s in spans if not any(tells(u, *s) for u in units.get(row, []))]
 
 
-def _scan(templates: tuple[tuple[str, str], ...], threshold: int):
+def _scan(templates: tuple[tuple[str, str], ...] | None, threshold: int):
     def run(batches):
-        library = _library(templates)
+        library = _library(tuple(TEMPLATES.items()) if templates is None else templates)
         for batch in batches:
             for lo, hi, raw, offsets in text_slices(batch.column(1)):
                 data = _NORMAL[raw]
@@ -259,7 +376,7 @@ def _scan(templates: tuple[tuple[str, str], ...], threshold: int):
                 if not rows:
                     continue
                 rows, names, dices, froms, tos, whole = map(np.concatenate, (rows, names, dices, froms, tos, whole))
-                spans = _untold(_spans(library, spaced, offsets, threshold), rows, names, dices, froms, tos)
+                spans = _untold(library, _spans(library, spaced, offsets, threshold), rows, names, dices, froms, tos)
                 if spans:
                     more = [np.array(x) for x in zip(*spans)] + [np.zeros(len(spans), bool)]
                     rows, names, dices, froms, tos, whole = map(np.concatenate, zip((rows, names, dices, froms, tos, whole), more))
@@ -304,7 +421,7 @@ def scan_licenses(
     text, for units line breaks at the end included) and ``whole_text``. Null, empty and other texts without a licence give none. Ids may
     be null or repeat, other columns are not read, an empty table gives an empty one. Bigrams are compared by 64-bit hashes.
     """
-    chosen = tuple((TEMPLATES if templates is None else templates).items())
+    chosen = None if templates is None else tuple(templates.items())
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, license string, dice double, from_byte long, to_byte long, whole_text boolean"

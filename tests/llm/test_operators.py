@@ -492,6 +492,29 @@ def test_licenses_at_any_place(spark):
     assert judged[None] == "MIT notice" and len(judged) == 5
 
 
+def test_whole_licenses_and_other_notices(spark):
+    """Whole texts with other line breaks and a copyright line, and notices that are no template, get the right name."""
+    notices = {
+        "Licensed under the MIT License.": "MIT",
+        "Copyright 2020 Jane Doe. All rights reserved.": "all rights reserved",
+        "The photos are licensed under CC BY 4.0.": "CC-BY-4.0",
+        "It is under the GNU General Public License, version 2": "GPL-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+        "This book is licensed under the Creative Commons Attribution-ShareAlike 3.0 License, see there": "CC-BY-SA-3.0",
+        "You may use it as licensed under the GNU Lesser General Public License v2.1 or so": "LGPL-2.1",
+        "Distributed under the Mozilla Public License, Version 2.0.": "MPL-2.0",
+    }
+    whole = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+    short = ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "MIT", "MIT-0", "ISC", "0BSD", "Zlib"]
+    full = {n: licenses.TEMPLATES[n if n in short else f"{n} text"] for n in whole + short}
+    texts = {f"Copyright 2020 Jane Doe\r\n{' '.join(t.split())}\n\n{words(40, 8)}": n for n, t in full.items()} | notices
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(set)
+    for r in licenses.scan_licenses(rows).collect():
+        found[r["doc_id"]].add(re.sub(r" (notice|text).*", "", r["license"]))
+    assert [found[k] for k in range(len(texts))] == [{n} for n in texts.values()]
+
+
 # op 10
 
 

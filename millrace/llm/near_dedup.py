@@ -212,14 +212,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates of a document with a smaller id.
 
-    Of rows equal in id and text one stays. Rows that share an id (or have none) stay if one of them is kept.
+    Every row has a verdict of its own: of a group one row stays, that with the smallest id (of equal ids any), or any if none
+    has an id. Texts without words are linked with nothing; of those equal in id and text one stays.
     """
-    judged, place = fresh(docs, "judged", "place")
-    verdicts = near_duplicates(docs, id, text, percent).groupBy(F.col(id).alias(judged))
-    verdicts = verdicts.agg(F.max("kept").alias("any_kept"), F.count("*").alias("rows")).where("not any_kept or rows > 1")
-    verdicts = settle(verdicts, "verdicts")
-    same = docs[id].eqNullSafe(F.col(judged))
-    once = docs.join(sized(verdicts.select(judged)), same, "left_anti")
-    again = docs.join(sized(verdicts.where("any_kept").select(judged)), same, "left_semi")
-    first = Window.partitionBy(again[id], F.md5(again[text].cast("string"))).orderBy(F.lit(0))
-    return once.unionByName(again.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place))
+    row, judged = fresh(docs, "row", "judged")
+    # Written once, so that a row has the same number wherever it is read.
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(numbered[id].isNull().alias("none"), numbered[id].alias("id"), F.col(row).alias("row"))
+    keyed = numbered.select(key.alias("key"), numbered[text].cast("string").alias("text"))
+    verdicts = settle(near_duplicates(keyed, "key", "text", percent).select("key.row", "n_shingles", "kept"), "verdicts")
+    gone = verdicts.where("not kept").select("row")
+    # Wordless texts are told apart by their fingerprints; the first row of each stays.
+    bare = keyed.join(sized(verdicts.where("n_shingles = 0").select("row")), F.col("key.row") == F.col("row"), "left_semi")
+    alike = bare.groupBy(F.col("key.id").alias("id"), F.md5("text").alias("print")).agg(F.min("key.row").alias("row"))
+    bare = bare.select(F.col("key.row").alias("row")).join(settle(alike.select("row"), "wordless"), "row", "left_anti")
+    gone = settle(gone.union(bare).select(F.col("row").alias(judged)), "gone")
+    return numbered.join(sized(gone), F.col(row) == F.col(judged), "left_anti").select([numbered[c] for c in docs.columns])

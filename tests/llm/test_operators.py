@@ -259,6 +259,21 @@ def test_drop_near_duplicates(docs, nothing):
     assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in kept)
 
 
+def test_drop_near_duplicates_without_or_with_repeated_ids(spark):
+    """One row of each group stays, whether its rows have no id, share one or copy a row with an id."""
+
+    def near(seed):
+        base = words(120, seed).split()
+        return [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in (2, 60, 110)]
+
+    rows = [(None, t, 0) for t in near(50)] + [(5, near(51)[0], 1)] + [(None, t, 1) for t in near(51)[1:]]
+    rows += [(7, t, 2) for t in near(52)] + [(7, words(90, 53), 3), (None, words(90, 54), 4), (9, near(55)[0], 5), (8, near(55)[1], 5), (9, near(55)[2], 5)]
+    rows += [(None, None, 6), (None, None, 6), (1, "", 7), (1, "", 7), (1, " ", 8), (2, "", 9)]
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, family int").repartition(3), percent=80).collect()
+    assert sorted(r["family"] for r in left) == list(range(10))
+    assert {r["family"]: r["doc_id"] for r in left} == {0: None, 1: 5, 2: 7, 3: 7, 4: None, 5: 8, 6: None, 7: 1, 8: 1, 9: 2}
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]

@@ -34,20 +34,26 @@ _SYLLABLES_CYRILLIC = "ба бе бо ва ве во га го да де до з
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = {g: "|".join(sorted(words.split(), key=len, reverse=True)) for g, words in TITLES.items()}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_SECRET_LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
+#: A label may be a part of a longer identifier and stand in quotes.
+_SECRET_HINT = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\w.-]*+\\?[\"']?\s{0,2}[=:]"
+_SECRET_LABEL = _SECRET_HINT + r"[=:]?>?\s{0,2}\\?[\"']?"
+#: A quoted value runs to its closing quote, in which a backslash takes the next character along, any other to white space.
+_SECRET_VALUE = (
+    r"(?:(?<=[^\\]\")(?!\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+){0,200}+\"|(?<=[^\\]')(?!')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+){0,200}+'|[^\s\"']\S*+)"
+)
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": rf"(?<!\w){_SECRET_LABEL}[A-Za-z0-9_+/=.-]{{6,}}",
+    "secret": _SECRET_LABEL + _SECRET_VALUE,
     "cloud_key": r"(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w)",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_TITLE.values())})\.?[ ]{_WORD}(?:[ ]{_WORD}){{0,2}}",
-    "phone": r"(?<![\w+(.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[.-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)",
+    "phone": r"(?<![\w+(.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)",
     "national_id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 _ANY = "|".join(PATTERNS.values())
 #: A text that this doesn't match holds nothing that _ANY matches.
-_HINT = rf"[@0-9]|(?:{'|'.join(_TITLE.values())})\.?[ ]\p{{Lu}}|{_SECRET_LABEL}"
+_HINT = rf"[@0-9]|(?:{'|'.join(_TITLE.values())})\.?[ ]\p{{Lu}}|{_SECRET_HINT}"
 #: After so many surrogates that were taken, longer ones are tried: short values may have used up their format.
 SAME_LENGTH_TRIES = 6
 
@@ -77,7 +83,7 @@ def _components(mention: Column) -> Column:
     is_a = lambda kind: mention.rlike(rf"^(?:{PATTERNS[kind]})$")
     cut = lambda pattern, group: F.regexp_extract(mention, pattern, group)
     email = rf"^(.*)@(.*)(\.[A-Za-z]+)$"
-    secret = rf"^({_SECRET_LABEL})(.*)$"
+    secret = rf"(?s)^({_SECRET_LABEL})(.*)\z"
     title = r"^(\S+?\.?) (.*)$"
     gender = F.when(mention.rlike(rf"^(?:{_TITLE['m']})\b"), "m").when(mention.rlike(rf"^(?:{_TITLE['f']})\b"), "f").otherwise("n")
     script = F.when(mention.rlike(r"\p{IsCyrillic}{2}.*$"), "cyrillic").otherwise("latin")
@@ -108,7 +114,8 @@ def _canonical(kind: Column, part: Column) -> Column:
         .when(kind.isin("card", "national_id"), digits)
         .when(kind.isin("local", "domain"), F.lower(_only(part, "A-Za-z0-9_")))
         .when(kind.startswith("given") | kind.startswith("surname"), F.lower(part))
-        .when(kind.isin("secret", "key"), _only(part, "A-Za-z0-9_"))
+        .when(kind == "secret", _only(part, r"\p{L}\p{M}\p{N}_"))
+        .when(kind == "key", _only(part, "A-Za-z0-9_"))
         .otherwise(part)
     )
 
@@ -132,6 +139,7 @@ def _surrogate(key: str) -> Column:
             .when(c.rlike("[0-9]"), pick(digits, i))
             .when(c.rlike("[a-z]"), F.when(hexadecimal, pick(letters("abcdef"), i)).otherwise(pick(lower, i)))
             .when(c.rlike("[A-Z]"), pick(upper, i))
+            .when((kind == "secret") & c.rlike(r"[^\x00-\x7F]"), pick(lower, i))
             .otherwise(c)
         )
 
@@ -194,7 +202,7 @@ def _distinct_surrogates(components: DataFrame, key: str) -> DataFrame:
 
 def _in_format(kind: Column, part: Column, surrogate: Column) -> Column:
     """Put a surrogate into the case and punctuation of the component it replaces."""
-    slot = F.when(kind.isin("phone", "card", "national_id"), F.lit("[0-9]")).otherwise(F.lit("[A-Za-z0-9_]"))
+    slot = F.when(kind.isin("phone", "card", "national_id"), F.lit("[0-9]")).when(kind == "secret", F.lit(r"[\p{L}\p{M}\p{N}_]")).otherwise(F.lit("[A-Za-z0-9_]"))
     back = F.reverse(_chars(part))
     state = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
 
@@ -228,7 +236,8 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     """``docs`` with every detected entity in ``text`` replaced by its surrogate; other columns and rows stay as they are.
 
     Detected: e-mail addresses, telephone numbers, card numbers (with a right check digit), national ids (3-2-4 digits), IPv4
-    addresses, cloud access keys, values of passwords and tokens, and persons named after a form of address. A surrogate
+    addresses, cloud access keys, values of passwords and tokens (of any length, up to the closing quote or to white space; their
+    letters and digits), and persons named after a form of address. A surrogate
     depends on ``key`` and the entity alone, has the same type, length, letter case, punctuation and script, and for persons
     the gender of the form of address. No two entities share one and none is itself an entity of the input; both are checked
     against all entities, and those that clash are derived again.

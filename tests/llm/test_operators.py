@@ -437,6 +437,22 @@ def test_surrogates(spark):
     assert surrogates.replace_personal_data(docs, "other").where("doc_id = 6").first()["text"] != out[6]
 
 
+def test_surrogates_of_all_forms_of_secrets_and_phones(spark):
+    forms = {
+        "client_secret=q7w8e9r0 next": "q7w8e9r0", 'access_token: "zx81cv92"': "zx81cv92", "export GITHUB_TOKEN=ghp_A1b2C3 x": "ghp_A1b2C3",
+        "aws_secret_access_key = wJal/rXU+tn9": "wJal/rXU+tn9", '{"password": "hunter2222", "user": "bob"}': "hunter2222", "password=Secr3t!pass9 end": "Secr3t!pass9",
+        "password=abc12": "abc12", 'pwd: "two words here" kept': "two words here", '{"api_key":"k1","password":"","user":"bob"}': "k1", "passwd='a b\\'c9' kept": "a b\\'c9",
+        "Password: тайна77": "тайна77", 'say {\\"token\\": \\"esc4ped\\"}': "esc4ped", 'token="open9 kept': "open9", "call (555) 123 4567 now": "(555) 123 4567", "or 555 123 4567.": "555 123 4567",
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(forms)], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(rows, "k").collect()}
+    for k, (old, value) in enumerate(forms.items()):
+        before, after = old.split(value)
+        got = new[k][len(before) : len(new[k]) - len(after)]
+        assert new[k].startswith(before) and new[k].endswith(after) and got != value, (old, new[k])
+        assert not any(w in got for w in re.findall(r"\w{3,}", value)), (old, new[k])
+
+
 def test_surrogates_stay_distinct_in_a_small_space(spark):
     """All two-digit values but ten are taken, so surrogates clash until longer ones are tried."""
     rows = [(k, f"Mr. Name{chr(97 + k // 26)}{chr(97 + k % 26)} wrote a{k:02d}@x.example.com") for k in range(90)]

@@ -286,17 +286,23 @@ def _(df):
     return back.withColumns({c: F.col(c).cast(t) for c, t in (("ts", "timestamp_ntz"), ("value", "double"), ("small", "double"))})
 
 
+#: Keys of a JSON array or document, and about as many of a Parquet file.
+JSON_BLOCK, FILE_KEYS = 5_000, 100_000
+
+
 @check("json_mixed_layouts", "customer", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(df):
-    """A folder with JSON Lines, an array and a document."""
+    """A folder with JSON Lines, arrays and documents."""
     path = scratch_path(df.sparkSession, "json")
     rows = df.select("c_custkey", "c_name", "c_acctbal")
-    part = F.col("c_custkey") % 3
+    part, block = F.col("c_custkey") % 3, F.floor(F.col("c_custkey") / JSON_BLOCK).alias("block")
     rows.filter(part == 0).write.mode("append").json(path)
-    items = F.to_json(F.collect_list(F.struct("*")))
-    rows.filter(part == 1).agg(items.alias("value")).write.mode("append").text(path)
+    items = F.to_json(F.collect_list(F.struct(*rows.columns)))
     document = F.concat(F.lit('{\n"rows": '), items, F.lit("\n}"))
-    rows.filter(part == 2).agg(document.alias("value")).write.mode("append").text(path)
+    # A file for each block, as an array or a document is written and read as a whole.
+    for k, value in ((1, items), (2, document)):
+        texts = rows.filter(part == k).groupBy(block).agg(value.alias("value")).select("value")
+        texts.write.mode("append").option("maxRecordsPerFile", 1).text(path)
     return mr.load_json(df.sparkSession, path)
 
 
@@ -308,5 +314,6 @@ def _(df):
     edges = [0, last // 20, last // 4, last + 1]
     for k in range(3):
         some = df.filter(F.col("o_orderkey").between(edges[k] + (k > 0), edges[k + 1]))
-        some.select("o_orderkey", "o_totalprice").coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(f"{path}.parquet/part={k}")
+        ranges = some.select("o_orderkey", "o_totalprice").repartitionByRange(2 + (edges[k + 1] - edges[k]) // FILE_KEYS, "o_orderkey")
+        ranges.sortWithinPartitions("o_orderkey").write.parquet(f"{path}.parquet/part={k}")
     return mr.load(df.sparkSession, f"{path}.parquet", infer=False).drop("part")

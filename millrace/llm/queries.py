@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.shipping import ship_code
 from millrace.llm.bpe import encode
 from millrace.llm.graph_search import nearest_vectors
 from millrace.llm.licenses import scan_licenses
+from millrace.llm.manifest import digest, field, folded, manifest
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import quality_verdicts
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PII_KEY = "key of the checked query"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -162,3 +164,72 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     scores = toxicity_scores(documents, labels.where(~held_out))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scores.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+def _leaf(text: Column) -> Column:
+    return digest(*[field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)])
+
+
+@query(
+    "op12_merkle_manifest",
+    "documents",
+    r"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, lang, text, concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(CAST(source AS VARCHAR)) || ':' || source, '-'), coalesce(strlen(CAST(lang AS VARCHAR)) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head, coalesce(strlen(CAST(text AS VARCHAR)) || ':' || text, '-') AS own,
+    coalesce(strlen(CAST(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS VARCHAR)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lower,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || own) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || lower) ELSE sha256(head || own) END AS given
+  FROM d),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM l),
+node(lang, lvl, idx, n, h) AS (
+  SELECT lang, 0, place, n, leaf FROM r
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY lang, lvl, idx // 8, n),
+subroot AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM node WHERE n = 1),
+top(lvl, idx, n, h) AS (
+  SELECT 0, place, n, h FROM subroot
+  UNION ALL
+  SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 8, n),
+beside AS (
+  SELECT a.lang, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM node a JOIN node b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8
+  WHERE a.n > 1 GROUP BY a.lang, a.lvl, a.idx),
+above AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.idx // 8 = b.idx // 8
+  WHERE a.n > 1 GROUP BY a.lvl, a.idx),
+up(lang, place, lvl, idx, n, now, proof) AS (
+  SELECT lang, place, 0, place, n, given, '' FROM r
+  UNION ALL
+  SELECT u.lang, u.place, u.lvl + 1, u.idx // 8, (u.n + 7) // 8, sha256(before || now || after), proof || before || after
+  FROM up u JOIN beside b ON u.lang IS NOT DISTINCT FROM b.lang AND u.lvl = b.lvl AND u.idx = b.idx WHERE u.n > 1),
+on_top(lang, place, lvl, idx, n, now, proof) AS (
+  SELECT u.lang, u.place, 0, s.place, s.n, now, proof FROM up u JOIN subroot s ON u.lang IS NOT DISTINCT FROM s.lang WHERE u.n = 1
+  UNION ALL
+  SELECT u.lang, u.place, u.lvl + 1, u.idx // 8, (u.n + 7) // 8, sha256(before || now || after), proof || before || after
+  FROM on_top u JOIN above b ON u.lvl = b.lvl AND u.idx = b.idx WHERE u.n > 1)
+SELECT r.doc_id, r.leaf, s.h AS subroot, t.h AS root, sha256(o.proof) AS proof_sha256, o.now AS folded_root, o.now = t.h AS verified
+FROM r
+JOIN on_top o ON r.lang IS NOT DISTINCT FROM o.lang AND r.place = o.place AND o.n = 1
+JOIN subroot s ON r.lang IS NOT DISTINCT FROM s.lang
+JOIN top t ON t.n = 1
+""",
+)
+def merkle_manifest(documents: DataFrame) -> DataFrame:
+    """Every leaf's proof, folded once more from the leaf of a row that may have been tampered with since."""
+    altered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lower = F.translate("text", UPPER, UPPER.lower())
+    leaves = documents.select("doc_id", "lang", _leaf(F.col("text")).alias("own"), F.when(altered, _leaf(lower)).alias("tampered"))
+    proven = manifest(leaves, F.col("own"))
+    proof = F.sha2(F.array_join(F.transform("segments", lambda s: F.concat(s["before"], s["after"])), ""), 256)
+    again = folded(F.coalesce("tampered", "own"), F.col("segments"))
+    proven = proven.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), again.alias("folded_root"))
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))

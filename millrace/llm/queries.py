@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.shipping import ship_code
 from millrace.llm.bpe import encode
+from millrace.llm.divergence import divergence
 from millrace.llm.graph_search import nearest_vectors
 from millrace.llm.licenses import scan_licenses
 from millrace.llm.manifest import digest, field, folded, manifest
@@ -166,6 +167,42 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", predicted)
 
 
+@query(
+    "op11_source_divergence",
+    "documents",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT r, lang, source, unnest(string_split_regex(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w WHERE term <> '' GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n FROM k GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT c.* FROM c JOIN k USING (lang, term)) USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.total + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o
+QUALIFY part = 'pair' OR rank <= 200
+""",
+)
+def source_divergence(documents: DataFrame) -> DataFrame:
+    return divergence(documents)
+
+
 def _leaf(text: Column) -> Column:
     return digest(*[field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)])
 

@@ -21,11 +21,13 @@ from millrace.llm.repeats import remove_repeats
 from millrace.llm.surrogates import replace_personal_data
 from millrace.llm.toxicity import toxicity_scores
 from millrace.llm.url_filter import judge_urls
+from millrace.llm.word_bpe import encode_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+MANY_LANGUAGES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PII_KEY = "key of the checked query"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -270,3 +272,14 @@ def merkle_manifest(documents: DataFrame) -> DataFrame:
     again = folded(F.coalesce("tampered", "own"), F.col("segments"))
     proven = proven.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), again.alias("folded_root"))
     return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_word_bpe", "documents")
+def word_bpe(documents: DataFrame) -> DataFrame:
+    tokens = encode_words(documents, MANY_LANGUAGES, public_tokenizers.PATTERN, decoded=True)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

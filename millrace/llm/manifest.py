@@ -88,31 +88,34 @@ def _height(leaves: Column, most: int) -> Column:
 
 
 def descents(starts: DataFrame, forest: Forest, requests: DataFrame, name: str) -> DataFrame:
-    """``tree``, ``rank``, ``digest`` and ``path`` of requested leaves (``tree``, ``rank``), from ``starts`` at the trees' roots.
+    """Requested leaves (``tree``, ``rank``, ``left`` and more) with ``path``, from ``starts`` at the trees' roots.
 
     ``starts``: tree, digest, left and ``path``, the segments that led there. A path is as deep as its tree is high.
     """
     most = len(forest.records)
     waiting = starts.withColumn("height", _height(F.col("left"), most)).select("tree", F.lit(0).cast("long").alias("prefix"), "digest", "path", "height")
     front = waiting.where(F.col("height") == most).drop("height")
+    alone = requests.where("left = 1").join(waiting.where("height = 0").select("tree", "path"), "tree")
     for height in range(most, 0, -1):
-        # Requests that agree on all digits so far are one; each names the child it goes on to by its next digit.
-        wanted = requests.select("tree", F.shiftright("rank", _BITS * (height - 1)).alias("next")).distinct()
-        wanted = wanted.withColumn("prefix", F.shiftright("next", _BITS))
         nodes = front.join(forest.records[height - 1], "digest").select("tree", "prefix", "path", "children")
+        # Requests that agree on all digits so far are one; each names the child it goes on to by its next digit.
+        if height > 1:
+            wanted = requests.where("left > 1").select("tree", F.shiftright("rank", _BITS * (height - 1)).alias("next")).distinct()
+        else:
+            wanted = requests.where("left > 1").withColumn("next", F.col("rank"))
         digit = F.col("next").bitwiseAND(FANOUT - 1).cast("int")
         others = F.struct(
             F.array_join(F.slice("children", F.lit(1), digit), "").alias("before"),
             F.array_join(F.slice("children", digit + 2, F.size("children")), "").alias("after"),
         )
-        chosen = F.get("children", digit)
-        front = wanted.join(nodes, ["tree", "prefix"]).select(
-            "tree", F.col("next").alias("prefix"), chosen.alias("digest"), F.concat("path", F.array(others)).alias("path")
-        )
-        front = front.where("digest IS NOT NULL").unionByName(waiting.where(F.col("height") == height - 1).drop("height"))
-        if height > 1:
-            front = settle(front, f"{name}-front-{height - 1}")
-    return front.withColumnRenamed("prefix", "rank")
+        reached = wanted.withColumn("prefix", F.shiftright("next", _BITS)).join(nodes, ["tree", "prefix"])
+        reached = reached.withColumns({"chosen": F.get("children", digit), "path": F.concat("path", F.array(others))}).where("chosen IS NOT NULL")
+        if height == 1:
+            return reached.select(*requests.columns, "path").unionByName(alone)
+        front = reached.select("tree", F.col("next").alias("prefix"), F.col("chosen").alias("digest"), "path")
+        front = front.unionByName(waiting.where(F.col("height") == height - 1).drop("height"))
+        front = settle(front, f"{name}-front-{height - 1}")
+    return alone
 
 
 def folded(leaf: Column, segments: Column) -> Column:
@@ -138,12 +141,10 @@ def manifest(rows: DataFrame, leaf: Column, group: str = "lang", order: str = "d
     subroots = settle(ranked(subroots, ["name"]), "manifest-subroots")
     top = grown(subroots, "manifest-top")
     start = top.roots.withColumn("path", F.array().cast(f"array<{SEGMENT}>"))
-    reached = descents(start, top, subroots.select("tree", "rank"), "manifest-top")
     # A leaf of the upper tree is the root of a group's tree.
-    starts = subroots.select("tree", "rank", "name", "leaves").join(reached, ["tree", "rank"])
-    starts = settle(starts.select(F.col("name").alias("tree"), "digest", F.col("leaves").alias("left"), "path"), "manifest-starts")
-    paths = descents(starts, forest, leaves.select("tree", "rank"), "manifest").select("tree", "rank", F.reverse("path").alias("segments"))
+    starts = descents(start, top, subroots, "manifest-top").select(F.col("name").alias("tree"), "digest", F.col("leaves").alias("left"), "path")
+    starts = settle(starts, "manifest-starts")
     root = top.roots.select("digest").first()
-    found = leaves.join(starts.select("tree", F.col("digest").alias("subroot")), "tree").join(paths, ["tree", "rank"])
-    found = found.withColumn("root", F.lit(root[0] if root else None).cast("string"))
+    found = descents(starts, forest, leaves, "manifest").join(starts.select("tree", F.col("digest").alias("subroot")), "tree")
+    found = found.withColumns({"root": F.lit(root[0] if root else None).cast("string"), "segments": F.reverse("path")})
     return found.select("row.*", *[F.col(c).alias(n) for c, n in zip(("digest", "subroot", "root", "segments"), names)])

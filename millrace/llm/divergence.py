@@ -151,6 +151,8 @@ def _joint_tables(vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
     per_block = F.greatest(F.lit(FEW_TERMS), F.expr(f"shiftright({TERMS}, greatest(0, size - 8))"))
     blocks = by_size.groupBy("lang", "size").agg(F.ceil(F.count("*") / per_block).alias("blocks"))
     blocks = blocks.join(groups.groupBy("lang").agg(F.count("*").cast("int").alias("groups")), "lang")
+    # Few rows: as many as languages have sizes. A size may hold most of a language, so terms are not dealt by it.
+    blocks = sized(settle(blocks, "divergence-blocks"))
     placed = by_size.join(blocks, ["lang", "size"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
     last = F.expr(f"(groups - 1) div {GROUPS}").cast("int")
     sides = placed.withColumn("left", F.explode(F.sequence(F.lit(0), last))).withColumn("right", F.explode(F.sequence(F.col("left"), last)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.cells import col
-from millrace.llm.tables import settle
+from millrace.sources.scratch import scratch_path
 
 #: Bytes of text in a block, and in all blocks for each bucket of words; the number of buckets is kept within bounds.
 BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 1 << 23, 1 << 24, (1024, 8192)
@@ -228,6 +228,18 @@ def _placed(ranks: str, decoding: bool):
     return run
 
 
+def _written(blocks: DataFrame) -> DataFrame:
+    """``blocks`` as a table bucketed like a shuffle by ``block``: what comes back to a block is shuffled, the block is not.
+
+    Its files are below ``spark.checkpoint.dir``, its name is one of its own in the session's catalog.
+    """
+    spark = blocks.sparkSession
+    path = scratch_path(spark, "word-blocks")
+    name = path.rpartition("/")[2].replace("-", "_")
+    blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def encode_words(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """Token ids of every whole text: the id and ``ids`` (array of int); ``decoded`` adds the bytes that the ids stand for.
 
@@ -242,11 +254,11 @@ def encode_words(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id",
     buckets = min(BUCKETS[1], max(BUCKETS[0], total // BUCKET_BYTES))
     lists = "array<struct<bucket:int,sizes:binary,bytes:binary>>"
     schema = f"block long, docs array<{kind}>, counts array<long>, numbers binary, buckets binary, words {lists}"
-    blocks = settle(rows.mapInArrow(_blocks(pattern, buckets), schema), "word-blocks")
+    blocks = _written(rows.mapInArrow(_blocks(pattern, buckets), schema))
     words = blocks.select("block", F.inline("words")).repartition("bucket")
     encoded = words.mapInArrow(_encoding(ranks), "block long, bucket int, sizes binary, ids binary")
     back = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("lists"))
-    whole = blocks.select("block", "docs", "counts", "numbers", "buckets").join(back, "block", "left")
+    whole = blocks.select("block", "docs", "counts", "numbers", "buckets").join(back.hint("merge"), "block", "left")
     empty = F.array().cast("array<struct<bucket:int,sizes:binary,ids:binary>>")
     whole = whole.select("docs", "counts", "numbers", "buckets", F.coalesce("lists", empty).alias("lists"))
     out = whole.mapInArrow(_placed(ranks, decoded), f"id {kind}, ids array<int>" + ", decoded binary" * decoded)

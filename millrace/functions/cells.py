@@ -27,12 +27,13 @@ WHITESPACE_CLASS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 TRUE_WORDS = ("true", "yes", "y", "1")
 FALSE_WORDS = ("false", "no", "n", "0")
 
-_WS = f"[{WHITESPACE_CLASS}]*"
+# Possessive: what a loop has taken it never gives back, so a long cell that fails is read once.
+_WS = f"[{WHITESPACE_CLASS}]*+"
 _MISSING_PATTERN = (
     rf"(?iu)\A{_WS}(?:" + "|".join(t.replace("#", r"\#") for t in MISSING_TOKENS if t) + rf")?{_WS}\z"
 )
 _MISSING_STARTS = "".join(sorted({t[0] for t in MISSING_TOKENS if t} | {t[0].upper() for t in MISSING_TOKENS if t}))
-NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?{_WS}\z"
+NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?{_WS}\z"
 # The numbers among these that cannot overflow a double, which is nearly all of them.
 SHORT_NUMBER_PATTERN = rf"\A{_WS}[+-]?(?:\d{{1,99}}\.?\d{{0,99}}|\.\d{{1,99}})(?:[eE][+-]?\d\d?)?{_WS}\z"
 ISO_DATE_PATTERN = rf"\A{_WS}\d{{4}}-\d{{2}}-\d{{2}}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?{_WS}\z"

@@ -16,6 +16,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
 _MAP_LITERAL_LIMIT = 64  # looking a key up in a map is a linear scan, so longer mappings are joined
 _WIDE_SPACES = WHITESPACE_CLASS.removeprefix(r"\s")
+# Texts whose words cannot be told by their spaces alone: wide characters, the mark, and letters beyond ASCII before a word.
+_APART = r"[^\x00-\xff]|[\x01\xa0]|(?<!\S)[\x00-\x7F&&[^\w\s]]*+[^\x00-\x7F]"
 
 
 def _by_spaces(text: Column, build: Callable[[str], Column]) -> Column:
@@ -53,8 +55,9 @@ def _title(text: Column, unicode: bool) -> Column:
 
     if unicode:
         return _by_spaces(text, rebuilt)
-    # Words of ASCII letters apart by single spaces, as most texts have them, need no taking apart.
-    return F.when(text.rlike(r"\A\w[!-~]*(?: \w[!-~]*)*\z"), F.initcap(text)).otherwise(_by_spaces(text, rebuilt))
+    # Elsewhere a mark with a space behind it, where a word starts without one before it, makes every word one of initcap's.
+    marked = F.regexp_replace(text, r"(?<!\S)[^\w\s]++(?=\w)|[\s&&[^ ]](?=\w)", "$0\x01 ")
+    return F.when(text.rlike(_APART), _by_spaces(text, rebuilt)).otherwise(F.replace(F.initcap(marked), F.lit("\x01 "), F.lit("")))
 
 
 def _operation(op: str, unicode: bool):

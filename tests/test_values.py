@@ -1,9 +1,12 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import millrace as mr
+from millrace.functions.cells import MISSING_TOKENS, WHITESPACE_CHARS
 from millrace.functions.patterns import replacement_for_spark
 from tests.conftest import values
 
@@ -24,6 +27,21 @@ def test_text_operations(spark):
     assert text(spark, ["éclair_1! x"], "remove_special", unicode=True) == ["éclair_1 x"]
 
 
+def test_title_case_of_any_text(spark):
+    r, pieces = random.Random(5), [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "a", "B", "cd", "EF", "_", "9", "-", "'", "(", "\"", "\x01", "\x1f", "é", "Ü", "ß", "ÿ", "µ", "İ", "Σ", "ǆ", "漢", "😀", "\x85"]
+    texts = ["".join(r.choices(pieces, k=r.randrange(1, 14))) for _ in range(4000)]
+    spaces = re.escape(WHITESPACE_CHARS)
+    want = [re.sub(rf"[A-Za-z0-9_][^{spaces}]*", lambda m: m[0][0].upper() + m[0][1:].lower(), t) for t in texts]
+    missing = [t.strip(WHITESPACE_CHARS).lower() in MISSING_TOKENS for t in texts]
+    assert text(spark, texts, "titlecase") == [t if m else w for t, w, m in zip(texts, want, missing)]
+
+
+@pytest.mark.parametrize("op", ["trim", "lowercase", "uppercase", "titlecase", "remove_punctuation", "remove_special"])
+def test_text_operations_on_long_cells(spark, op):
+    long = ["a b" * 350_000, "word, " * 180_000, "x" * 1_000_000, " " * 1_000_000 + "x", "a\n" * 500_000, "é " * 400_000, "(" * 1_000_000, "\u3000a" * 300_000]
+    assert len(text(spark, long, op)) == len(text(spark, long, op, unicode=True)) == len(long)
+
+
 def test_wide_spaces(spark):
     assert text(spark, ["a\u2003 \u00a0b\ufeff", "a\nb", "a \t c"], "trim") == ["a b", "a b", "a c"]
     assert text(spark, ["aB\u00a0cD eF"], "titlecase") == ["Ab\u00a0Cd Ef"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.cells import col
 from millrace.llm.tables import fresh, settle
 
 #: Fixed lists: forms of address by gender, and given names to begin with.
@@ -34,15 +35,17 @@ _SYLLABLES_CYRILLIC = "ба бе бо ва ве во га го да де до з
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = {g: "|".join(sorted(words.split(), key=len, reverse=True)) for g, words in TITLES.items()}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: A label may be a part of a longer identifier and stand in quotes.
-_SECRET_HINT = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\w.-]*+\\?[\"']?\s{0,2}[=:]"
-_SECRET_LABEL = _SECRET_HINT + r"[=:]?>?\s{0,2}\\?[\"']?"
+#: Loops over groups are bounded or possessive: others recurse, and a long text would end the executor.
+_GAP = r"[ \t]*+\s{0,2}+[ \t]*+"
+#: A label may be a part of a longer identifier, which is searched once, from its start or from the end of the match before.
+_SECRET_HINT = r"(?:(?<![\w.-])|\G)(?>[\w.-]*?(?i:password|passwd|pwd|secret|token|api[_-]?key))[\w.-]*+\\?[\"']?" + _GAP + "[=:]"
+_SECRET_LABEL = _SECRET_HINT + r"[=:]?>?" + _GAP + r"\\?[\"']?"
 #: A quoted value runs to its closing quote, in which a backslash takes the next character along, any other to white space.
 _SECRET_VALUE = (
-    r"(?:(?<=[^\\]\")(?!\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+){0,200}+\"|(?<=[^\\]')(?!')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+){0,200}+'|[^\s\"']\S*+)"
+    r"(?:(?<=[^\\]\")(?!\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+\"|(?<=[^\\]')(?!')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'|[^\s\"']\S*+)"
 )
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@(?=[A-Za-z0-9-])[A-Za-z0-9.-]*(?<!\.)\.[A-Za-z]{2,}",
     "secret": _SECRET_LABEL + _SECRET_VALUE,
     "cloud_key": r"(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w)",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_TITLE.values())})\.?[ ]{_WORD}(?:[ ]{_WORD}){{0,2}}",
@@ -203,25 +206,24 @@ def _distinct_surrogates(components: DataFrame, key: str) -> DataFrame:
 def _in_format(kind: Column, part: Column, surrogate: Column) -> Column:
     """Put a surrogate into the case and punctuation of the component it replaces."""
     slot = F.when(kind.isin("phone", "card", "national_id"), F.lit("[0-9]")).when(kind == "secret", F.lit(r"[\p{L}\p{M}\p{N}_]")).otherwise(F.lit("[A-Za-z0-9_]"))
-    back = F.reverse(_chars(part))
-    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
+    taken, between, fresh_chars = F.regexp_extract_all(part, slot, F.lit(0)), F.split(part, slot, -1), _chars(surrogate)
+    # The last places take the surrogate; earlier ones stay, or what is left of it goes in front.
+    stay = F.size(taken) - F.length(surrogate)
 
-    def step(s, c):
-        left = F.substring(surrogate, F.length(surrogate) - s["used"], F.lit(1))
-        fits = F.regexp_like(c, slot) & (s["used"] < F.length(surrogate))
-        cased = F.when(kind.isin("local", "domain") & c.rlike("[A-Z]"), F.upper(left)).otherwise(left)
-        return F.struct(F.concat(F.when(fits, cased).otherwise(c), s["text"]).alias("text"), (s["used"] + fits.cast("int")).alias("used"))
+    def placed_at(c, i):
+        new = F.coalesce(F.get(fresh_chars, i - stay), c)
+        cased = F.when(kind.isin("local", "domain") & c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
+        return F.concat(F.when(i < stay, c).otherwise(cased), F.get(between, i + 1))
 
-    placed = F.aggregate(back, state, step, lambda s: F.concat(F.expr("''"), F.substring(surrogate, F.lit(1), F.greatest(F.length(surrogate) - s["used"], F.lit(0))), s["text"]))
+    ahead = F.substring(surrogate, F.lit(1), F.greatest(-stay, F.lit(0)))
+    placed = F.concat(ahead, F.get(between, F.lit(0)), F.array_join(F.transform(taken, placed_at), ""))
     named = F.when((part == F.upper(part)) & (F.length(part) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     is_name = kind.startswith("given") | kind.startswith("surname")
     return F.when(kind == "ip", surrogate).when(is_name, named).otherwise(placed)
 
 
-def surrogate_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Every different mention in ``docs`` and what replaces it: ``mention``, ``replacement``."""
-    texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(_HINT))
-    mentions = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_ANY), 0))).alias("mention")).distinct()
+def _replacements(mentions: DataFrame, key: str) -> DataFrame:
+    """``mention``, ``replacement`` of different mentions, without those that stay."""
     parts = mentions.select("mention", F.posexplode(_components(F.col("mention"))).alias("at", "piece")).select("mention", "at", "piece.kind", "piece.part")
     parts = settle(parts.withColumn("canon", _canonical(F.col("kind"), F.col("part"))), "mention-parts")
     replaced = parts.where("kind != '' and canon != ''")
@@ -232,6 +234,18 @@ def surrogate_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return joined.groupBy("mention").agg(F.array_join(F.transform(ordered, lambda x: x["new"]), "").alias("replacement")).where("mention != replacement")
 
 
+def _mentions(texts: DataFrame) -> DataFrame:
+    """``digest`` and ``mentions``, in order, of every different ``text`` that has some."""
+    found = texts.where(F.col("text").rlike(_HINT)).select(F.md5("text").alias("digest"), F.regexp_extract_all("text", F.lit(_ANY), 0).alias("mentions"))
+    return found.where(F.size("mentions") > 0).dropDuplicates(["digest"])
+
+
+def surrogate_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Every different mention in ``docs`` and what replaces it: ``mention``, ``replacement``."""
+    mentions = _mentions(docs.select(F.col(text).cast("string").alias("text")))
+    return _replacements(mentions.select(F.explode(F.array_distinct("mentions")).alias("mention")).distinct(), key)
+
+
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with every detected entity in ``text`` replaced by its surrogate; other columns and rows stay as they are.
 
@@ -242,19 +256,21 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     the gender of the form of address. No two entities share one and none is itself an entity of the input; both are checked
     against all entities, and those that clash are derived again.
 
-    Null and empty texts stay. Equal rows are replaced alike. Texts without a hint of an entity are not taken apart; of the
-    others, each different one is joined with its own replacements, so that a hot text or entity is no hot group.
+    Null and empty texts stay. Equal rows are replaced alike. Work grows with a text's length, whatever is in it. Mentions
+    are looked for once in each different text and joined with their replacements place by place; only texts that have some
+    are taken apart.
     """
-    table = settle(surrogate_table(docs, key, text), "replacements")
-    digest, pieces, found, new = fresh(docs, "digest", "pieces", "found", "new")
+    digest, new, has = fresh(docs, "digest", "new", "has")
     value = F.col(text).cast("string")
-    has = F.coalesce(value.rlike(_HINT), F.lit(False))
-    mentions = lambda: F.regexp_extract_all(value, F.lit(_ANY), 0)
-    hinted = docs.where(has).withColumn(digest, F.md5(value))
-    own = hinted.select(F.col(digest), F.explode(F.array_distinct(mentions())).alias("mention")).distinct()
-    maps = own.join(table, "mention").groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias(new))
-    parts = hinted.join(maps, digest, "left").withColumn(pieces, F.split(value, _ANY, -1)).withColumn(found, mentions())
-    swapped = F.transform(F.col(found), lambda m, i: F.concat(F.coalesce(F.col(new)[m], m), F.get(F.col(pieces), i + 1)))
-    whole = F.when(F.col(new).isNull(), value).otherwise(F.concat(F.get(F.col(pieces), F.lit(0)), F.array_join(swapped, "")))
-    columns = [F.col(f"`{c}`") if c.lower() != text.lower() else whole.cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
-    return docs.where(~has).union(parts.select(columns))
+    found = settle(_mentions(docs.select(value.alias("text"))), "mentions")
+    places = found.select("digest", F.posexplode("mentions").alias("at", "mention"))
+    table = settle(_replacements(places.select("mention").distinct(), key), "replacements")
+    put = places.join(table, "mention", "left").select("digest", F.struct("at", F.coalesce("replacement", "mention").alias("text")).alias("put"))
+    news = put.groupBy("digest").agg(F.array_sort(F.collect_list("put"))["text"].alias(new)).withColumnRenamed("digest", digest)
+    marked = docs.withColumn(has, F.coalesce(value.rlike(_HINT), F.lit(False)))
+    hinted = marked.where(F.col(has)).withColumn(digest, F.md5(value)).join(news, digest, "left")
+    between = F.split(value, _ANY, -1)
+    swapped = F.array_join(F.transform(F.arrays_zip(F.col(new).alias("new"), F.slice(between, F.lit(2), F.size(new)).alias("next")), lambda x: F.concat(x["new"], x["next"])), "")
+    whole = F.when(F.col(new).isNull(), value).otherwise(F.concat(F.get(between, F.lit(0)), swapped))
+    columns = [col(c) if c.lower() != text.lower() else whole.cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return marked.where(~F.col(has)).select(*[col(c) for c in docs.columns]).union(hinted.select(columns))

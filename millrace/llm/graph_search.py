@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.tables import settle
 
 #: Distinct vectors in a shard, and queries that meet a shard at once: what a task holds.
-SHARD_ROWS, BLOCK_QUERIES = 12_000, 1_024
+SHARD_ROWS, BLOCK_QUERIES = 4_000, 1_024
 DEGREE, SLACK = 40, 16
 BUILD_BEAM, SEARCH_BEAM = 96, 256
 RELAX = 1.2
@@ -136,13 +136,15 @@ def _built(reach: float):
         dim = table.column("dim")[0].as_py()
         vectors = np.array(table.column("vector").combine_chunks().flatten(), np.float32).reshape(-1, dim)
         ids = table.column("ids").combine_chunks()
+        copies = ids.flatten()
         graph = Graph(vectors, reach).build()
         blob = lambda x, kind: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
         return pa.table(
             {
                 "dim": table.column("dim").slice(0, 1),
                 "shard": table.column("shard").slice(0, 1),
-                "ids": blob(ids.flatten(), np.int64),
+                "ids": blob(copies.field("id"), np.int64),
+                "rows": blob(copies.field("row"), np.int64),
                 "counts": blob(ids.value_lengths(), np.int64),
                 "vectors": blob(vectors, np.float32),
                 "edges": blob(graph.edges, np.int32),
@@ -161,10 +163,10 @@ def _searched(k: int, reach: float, beam: int):
                 vectors = np.frombuffer(at("vectors").as_py(), np.float32).reshape(-1, dim)
                 edges = np.frombuffer(at("edges").as_py(), np.int32).reshape(len(vectors), -1)
                 graph = Graph(vectors, reach, edges)
-                ids, counts = (np.frombuffer(at(c).as_py(), np.int64) for c in ("ids", "counts"))
+                ids, rows, counts = (np.frombuffer(at(c).as_py(), np.int64) for c in ("ids", "rows", "counts"))
                 first = np.cumsum(counts) - counts
                 asked = at("queries").values
-                who = np.array(asked.field("id"), np.int64)
+                who, own = (np.array(asked.field(c), np.int64) for c in ("id", "row"))
                 queries = np.array(asked.field("vector").flatten(), np.float32).reshape(-1, dim)
                 for lo in range(0, len(who), _STEP_ROWS):
                     q = queries[lo : lo + _STEP_ROWS]
@@ -180,10 +182,12 @@ def _searched(k: int, reach: float, beam: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(who[lo : lo + _STEP_ROWS][row[back]]),
+                            pa.array(own[lo : lo + _STEP_ROWS][row[back]]),
                             pa.array(ids[first[hit[back]] + copy]),
+                            pa.array(rows[first[hit[back]] + copy]),
                             pa.array(score[row[back], column[back]]),
                         ],
-                        ["query_id", "vec_id", "score"],
+                        ["query_id", "query_row", "vec_id", "row", "score"],
                     )
 
     return run
@@ -207,20 +211,19 @@ def nearest_vectors(
 
     Returns ``query_id``, ``rank`` (from 1; ties go to the smaller id), ``vec_id`` and ``score``, the inner product in double
     precision of the vectors as given. Rows without an id, and vectors that are null, zero or hold a null or non-finite
-    component, take no part. A vector meets vectors of its own dimension only. Of several rows with one id the least vector
-    counts. Fewer than ``k`` others give fewer rows, an empty table none. Other columns serve ``queries`` only.
+    component, take no part. A vector meets vectors of its own dimension only. Rows that share an id are queries and candidates
+    of their own. Fewer than ``k`` others give fewer rows, an empty table none. Other columns serve ``queries`` only.
 
-    All rows are indexed: equal vectors once (with as many of their smallest ids as can matter), spread by hash over shards of
+    All rows are indexed: equal vectors once (with as many of their rows as can matter), spread by hash over shards of
     about ``shard_rows``, each with a graph of its own. Queries meet every shard in blocks, so a task holds one shard and one
     block whatever the size of the table.
     """
     rows = (
         table.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), queries.alias("asks"))
         .where(F.col("id").isNotNull() & _usable(F.col("vector")))
-        .groupBy("id")
-        .agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
-        .withColumn("dim", F.size("vector"))
+        .withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()})
     )
+    # Ids may repeat: from here on a row is named by its number.
     rows = settle(rows, "vectors")
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("reach"), F.sum(F.col("asks").cast("long")).alias("q")).collect()
@@ -228,31 +231,31 @@ def nearest_vectors(
     counts = rows.sparkSession.createDataFrame(
         [(r["dim"], -(-r["n"] // shard_rows), -(-(r["q"] or 0) // BLOCK_QUERIES)) for r in sizes], "dim int, shards long, blocks long"
     )
-    # Per distinct vector its k + 1 smallest ids: a copy beyond them is never among the k nearest.
-    smallest = Window.partitionBy("vector").orderBy("id")
+    # Per distinct vector its k + 1 rows of smallest ids: a copy beyond them is never among the k nearest.
+    smallest = Window.partitionBy("vector").orderBy("id", "row")
     distinct = (
         rows.withColumn("place", F.row_number().over(smallest))
         .where(F.col("place") <= k + 1)
         .groupBy("dim", "vector")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("ids"))
         .join(F.broadcast(counts), "dim")
         .select("dim", F.pmod(F.xxhash64("vector"), "shards").alias("shard"), "ids", "vector")
     )
     index = settle(
         distinct.groupBy("dim", "shard").applyInArrow(
-            _built(reach), "dim int, shard long, ids binary, counts binary, vectors binary, edges binary"
+            _built(reach), "dim int, shard long, ids binary, rows binary, counts binary, vectors binary, edges binary"
         ),
         "vector-graphs",
     )
     blocks = (
         rows.where("asks")
         .join(F.broadcast(counts), "dim")
-        .groupBy("dim", "shards", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
-        .agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+        .groupBy("dim", "shards", F.pmod(F.xxhash64("row"), "blocks").alias("block"))
+        .agg(F.collect_list(F.struct("id", "row", "vector")).alias("queries"))
         .select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "queries")
     )
-    pairs = index.join(blocks, ["dim", "shard"]).select("dim", "ids", "counts", "vectors", "edges", "queries")
+    pairs = index.join(blocks, ["dim", "shard"]).select("dim", "ids", "rows", "counts", "vectors", "edges", "queries")
     pairs = pairs.repartition(max(1, min(4096, sum(-(-r["n"] // shard_rows) * -(-(r["q"] or 0) // BLOCK_QUERIES) for r in sizes))))
-    found = pairs.mapInArrow(_searched(k, reach, beam), "query_id long, vec_id long, score double").where("query_id != vec_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(_searched(k, reach, beam), "query_id long, query_row long, vec_id long, row long, score double").where("query_row != row")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

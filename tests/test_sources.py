@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -112,3 +113,49 @@ def test_report(spark):
     for part in ("Original rows: 2", "- Rows: 1", "- Removed 1 duplicate row", "| SL | Name |\n|---:|---|\n| 101 | Ann |"):
         assert part in report
     assert "No cleaning steps applied" in mr.cleaning_report(df, df, [], "SL")
+
+
+def quoted_cells(seed, rows, end):
+    r, out = random.Random(seed), []
+    cells = ["", "a", "b c", '5" disk', '"x"', '"l1\nl2"', '"say ""hi""\n, ok"', '"a,b"', '" "', '"\n\n"', '"tail" x', "é", '""', '"""\n"""', '"q,""\n""",']
+    for k in range(rows):
+        out.append(",".join([str(k), *r.choices(cells, k=r.randrange(1, 4))]))
+        if r.random() < 0.1:
+            out.append("")
+    return "id,x,y,z\n".replace("\n", end) + end.join(out).replace("\n", end) + (end if seed % 2 else "")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_cells_over_lines_are_read_in_splits(spark, tmp_path, end):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(quoted_cells(k, 120, end).encode())
+    (tmp_path / "long.csv").write_bytes(('id,x,y,z\n1,"' + "line\n" * 1000 + '",e\n2,,f,g\n').replace("\n", end).encode())
+    (tmp_path / "plain.csv").write_bytes("id,x,y,z\n7,8,9,10\n".replace("\n", end).encode())
+    whole = mr.load_delimited(spark, str(tmp_path), ",", multiline=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64b", "1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            split = mr.load_delimited(spark, str(tmp_path / "1.csv"), ",") if size == "64b" else mr.load_delimited(spark, str(tmp_path), ",")
+            want = mr.load_delimited(spark, str(tmp_path / "1.csv"), ",", multiline=True) if size == "64b" else whole
+            assert split.columns == want.columns and sorted(map(repr, split.collect())) == sorted(map(repr, want.collect())), size
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        one = mr.load(spark, str(tmp_path / "1.csv"), infer=False).orderBy("_row_id").drop("_row_id").collect()
+        assert one == mr.load_delimited(spark, str(tmp_path / "1.csv"), ",", multiline=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    write(tmp_path / "a.csv", 'id,x\n1,"a\nb"\n')
+    write(tmp_path / "b.csv", 'id,y\n1,"a\nb"\n')
+    with pytest.raises(Exception, match="header|Header"):
+        mr.load_delimited(spark, str(tmp_path), ",").collect()
+
+
+def test_cells_over_bare_carriage_returns(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_bytes(b'id,x\r1,"a\rb"\r2,c\r')
+    assert values(mr.load_delimited(spark, str(path), ",")) == values(mr.load_delimited(spark, str(path), ",", multiline=True))

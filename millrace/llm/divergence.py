@@ -72,8 +72,7 @@ def _counted(batches):
 class _Indicators:
     """The indicator columns of a block of groups: of every column its ``group`` and ``level``; ``at`` is terms x groups."""
 
-    def __init__(self, block: int, groups: int, terms: int, row: np.ndarray, g: np.ndarray, n: np.ndarray):
-        first, width = block * GROUPS, min(GROUPS, groups - block * GROUPS)
+    def __init__(self, first: int, width: int, terms: int, row: np.ndarray, g: np.ndarray, n: np.ndarray):
         inside = (g >= first) & (g < first + width)
         counts = np.zeros((terms, width), np.int64)
         counts[row[inside], g[inside] - first] = n[inside]
@@ -85,39 +84,43 @@ class _Indicators:
         self.level = np.concatenate(levels)
         self.group = np.repeat(np.arange(first, first + width), [len(x) for x in levels])
 
-    def columns(self, lo: int) -> np.ndarray:
-        """Columns from ``lo`` on, as zeros and ones. Sums of up to 2**24 of them are exact in this type."""
-        out = np.zeros((len(self.at), min(COLUMNS, len(self.level) - lo)), np.float32)
+    def columns(self, lo: int, width: int) -> np.ndarray:
+        """``width`` columns from ``lo`` on, as zeros and ones. Sums of up to 2**24 of them are exact in this type."""
+        out = np.zeros((len(self.at), min(width, len(self.level) - lo)), np.float32)
         term, k = np.nonzero((self.at >= lo) & (self.at < lo + out.shape[1]))
         out[term, self.at[term, k] - lo] = 1
         return out
 
 
-def _multiplied(table: pa.Table) -> pa.Table:
-    """Joint tables of the groups of two blocks over one block of terms, without the terms that both groups lack."""
-    lang, left, right, groups = (table.column(c)[0].as_py() for c in ("lang", "left", "right", "groups"))
-    entries = table.column("entries").combine_chunks()
-    row = np.repeat(np.arange(len(entries)), entries.value_lengths().to_numpy(zero_copy_only=False))
-    flat = entries.flatten()
-    g, n = flat.field("g").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-    x = _Indicators(left, groups, len(entries), row, g, n)
-    y = x if left == right else _Indicators(right, groups, len(entries), row, g, n)
-    found = []
-    for lo in range(0, len(x.level), COLUMNS):
-        transposed = x.columns(lo).T
-        for at in range(lo if x is y else 0, len(y.level), COLUMNS):
-            product = transposed @ y.columns(at)
-            i, j = np.nonzero(product)
-            times = product[i, j].astype(np.int64)
-            i, j = i + lo, j + at
-            keep = (x.group[i] < y.group[j]) & ((x.level[i] > 0) | (y.level[j] > 0))
-            i, j = i[keep], j[keep]
-            found.append((x.group[i], y.group[j], x.level[i], y.level[j], times[keep]))
-    columns = [np.concatenate(c) for c in zip(*found)]
-    names = ["g", "h", "a", "b", "times"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    cells = {name: pa.array(c, t) for name, c, t in zip(names, columns, types)}
-    return pa.table({"lang": pa.array([lang] * len(columns[0]), pa.string())} | cells)
+def _multiplied(size: int, width: int):
+    """Joint tables of the groups of two blocks of ``size`` over one block of terms, without terms that both groups lack."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lang, left, right, groups = (table.column(c)[0].as_py() for c in ("lang", "left", "right", "groups"))
+        entries = table.column("entries").combine_chunks()
+        row = np.repeat(np.arange(len(entries)), entries.value_lengths().to_numpy(zero_copy_only=False))
+        flat = entries.flatten()
+        g, n = flat.field("g").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+        side = lambda block: _Indicators(block * size, min(size, groups - block * size), len(entries), row, g, n)
+        x = side(left)
+        y = x if left == right else side(right)
+        found = []
+        for lo in range(0, len(x.level), width):
+            transposed = x.columns(lo, width).T
+            for at in range(lo if x is y else 0, len(y.level), width):
+                product = transposed @ y.columns(at, width)
+                i, j = np.nonzero(product)
+                times = product[i, j].astype(np.int64)
+                i, j = i + lo, j + at
+                keep = (x.group[i] < y.group[j]) & ((x.level[i] > 0) | (y.level[j] > 0))
+                i, j = i[keep], j[keep]
+                found.append((x.group[i], y.group[j], x.level[i], y.level[j], times[keep]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        types = {"g": pa.int32(), "h": pa.int32(), "a": pa.int64(), "b": pa.int64(), "times": pa.int64()}
+        cells = {name: pa.array(c, types[name]) for name, c in zip(types, columns)}
+        return pa.table({"lang": pa.array([lang] * len(columns[0]), pa.string())} | cells)
+
+    return run
 
 
 def _share(count: str, total: str, terms: str) -> Column:
@@ -144,25 +147,33 @@ def _vocabulary(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return kept.select("lang", F.col("term").cast("string").alias("term"), "total", "entries")
 
 
-def _joint_tables(vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
+def _joint_tables(vocabulary: DataFrame, groups: DataFrame, size: int, width: int, most: int) -> DataFrame:
     """``lang``, ``g`` < ``h``, levels ``a`` and ``b``, not both 0, and at how many terms (``times``) they meet."""
     # Terms of like size share a block: its columns are few, and so are its cells.
     by_size = vocabulary.withColumn("size", F.length(F.bin("total")))
-    per_block = F.greatest(F.lit(FEW_TERMS), F.expr(f"shiftright({TERMS}, greatest(0, size - 8))"))
+    per_block = F.greatest(F.lit(min(most, FEW_TERMS)), F.expr(f"shiftright({most}, greatest(0, size - 8))"))
     blocks = by_size.groupBy("lang", "size").agg(F.ceil(F.count("*") / per_block).alias("blocks"))
     blocks = blocks.join(groups.groupBy("lang").agg(F.count("*").cast("int").alias("groups")), "lang")
     # Few rows: as many as languages have sizes. A size may hold most of a language, so terms are not dealt by it.
     blocks = sized(settle(blocks, "divergence-blocks"))
     placed = by_size.join(blocks, ["lang", "size"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
-    last = F.expr(f"(groups - 1) div {GROUPS}").cast("int")
+    last = F.expr(f"(groups - 1) div {size}").cast("int")
     sides = placed.withColumn("left", F.explode(F.sequence(F.lit(0), last))).withColumn("right", F.explode(F.sequence(F.col("left"), last)))
-    own = F.filter("entries", lambda e: F.floor(e["g"] / GROUPS).isin(F.col("left"), F.col("right")))
+    own = F.filter("entries", lambda e: F.floor(e["g"] / size).isin(F.col("left"), F.col("right")))
     sides = sides.select("lang", "size", "block", "left", "right", "groups", own.alias("entries")).where(F.size("entries") > 0)
-    cells = sides.groupBy("lang", "size", "block", "left", "right").applyInArrow(_multiplied, "lang string, g int, h int, a long, b long, times long")
+    cells = sides.groupBy("lang", "size", "block", "left", "right").applyInArrow(_multiplied(size, width), "lang string, g int, h int, a long, b long, times long")
     return cells.groupBy("lang", "g", "h", "a", "b").agg(F.sum("times").alias("times"))
 
 
-def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+def divergence(
+    docs: DataFrame,
+    lang: str = "lang",
+    source: str = "source",
+    text: str = "text",
+    group_block: int = GROUPS,
+    column_block: int = COLUMNS,
+    term_block: int = TERMS,
+) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value`` and ``rank``: how each source of a language differs.
 
     Terms are maximal runs of ASCII letters and of characters beyond ASCII, with A-Z in lower case; a language keeps those
@@ -173,7 +184,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     first, ties by the item's UTF-8 bytes. All numbers are whole and exact.
 
     Nulls are empty strings, rows with one id count one by one, texts may be of any length, further columns are not read, and
-    an empty table gives an empty one. Whatever share of the rows a group has, tasks add up first and share terms, not groups.
+    an empty table gives an empty one. The sizes of blocks change no result. Whatever share of the rows a group has, tasks add up first and share terms, not groups.
     """
     named = zip((lang, source, text), ("lang", "source", "text"))
     docs = docs.select(*[F.coalesce(col(c).cast("string"), F.lit("")).alias(n) for c, n in named])
@@ -187,7 +198,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     sums = groups.join(totals, ["lang", "g"], "left").join(terms, "lang", "left").na.fill(0, ["total", "terms", "lang_total"])
     sums = settle(sums, "divergence-totals")
 
-    cells = _joint_tables(vocabulary, groups)
+    cells = _joint_tables(vocabulary, groups, group_block, column_block, term_block)
     ways = F.array(F.struct("g", "h", "a", "b"), F.struct(F.col("h").alias("g"), F.col("g").alias("h"), F.col("b").alias("a"), F.col("a").alias("b")))
     cells = cells.select("lang", "times", F.inline(ways))
     mine = sums.select("lang", "g", "total", "terms")

@@ -134,8 +134,8 @@ def _parts(text: str, cut: regex.Pattern) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def _blocks(pattern: str, buckets: int):
-    """Texts to blocks of about ``BLOCK_BYTES``; a longer text is a block of its own."""
+def _blocks(pattern: str, buckets: int, size: int):
+    """Texts to blocks of about ``size`` bytes; a longer text is a block of its own."""
 
     def run(batches):
         words, cut = regex.compile(pattern).findall, regex.compile(r"(?<=\S) (?=\S)")
@@ -148,7 +148,7 @@ def _blocks(pattern: str, buckets: int):
                     block.numbers.extend(map(block.__getitem__, words(part)))
                 block.counts.append(len(block.numbers) - before)
                 block.size += len(text) + 8
-                if block.size >= BLOCK_BYTES:
+                if block.size >= size:
                     block.rows.append(ids.slice(lo, k + 1 - lo))
                     lo = k + 1
                     yield block.record(made, buckets)
@@ -240,12 +240,14 @@ def _written(blocks: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def encode_words(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+def encode_words(
+    docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text: str = "text", decoded: bool = False, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Token ids of every whole text: the id and ``ids`` (array of int); ``decoded`` adds the bytes that the ids stand for.
 
     ``ranks``: a file of base64 tokens and ranks, at a path every executor has; ``pattern`` cuts texts into words. A null or
     empty text has no ids. Ids may be null or repeat, as may texts, other columns are not read, an empty table gives an
-    empty one. A text may be of any length; one above ``BLOCK_BYTES`` is handled alone, so a task needs some ten times the
+    empty one. A text may be of any length; one above ``block_bytes`` is handled alone, so a task needs some ten times the
     bytes of the longest text.
     """
     rows = docs.select(col(id).alias("id"), col(text).cast("string").alias("text"))
@@ -254,7 +256,7 @@ def encode_words(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id",
     buckets = min(BUCKETS[1], max(BUCKETS[0], total // BUCKET_BYTES))
     lists = "array<struct<bucket:int,sizes:binary,bytes:binary>>"
     schema = f"block long, docs array<{kind}>, counts array<long>, numbers binary, buckets binary, words {lists}"
-    blocks = _written(rows.mapInArrow(_blocks(pattern, buckets), schema))
+    blocks = _written(rows.mapInArrow(_blocks(pattern, buckets, block_bytes), schema))
     words = blocks.select("block", F.inline("words")).repartition("bucket")
     encoded = words.mapInArrow(_encoding(ranks), "block long, bucket int, sizes binary, ids binary")
     back = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("lists"))

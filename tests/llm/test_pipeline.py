@@ -47,7 +47,7 @@ def test_repeats_stage(stages):
     before = {r["doc_id"]: r["text"] for r in stages["MinHash near-dedup"].collect()}
     after = {r["doc_id"]: r for r in stages["suffix-array dedup"].collect()}
     assert set(before) == set(after)
-    cut = {i for i, _, spans in plain_removal([(i, (t or "").encode()) for i, t in before.items()], 400) if spans}
+    cut = {i for i, _, spans in plain_removal([(i, (t or "").encode()) for i, t in before.items()], corpus_pipeline.PASSAGE_BYTES) if spans}
     for i, r in after.items():
         assert (r["text"] == before[i]) == (i not in cut) and r["n_chars"] == len(r["text"])
 

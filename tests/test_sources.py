@@ -159,3 +159,56 @@ def test_cells_over_bare_carriage_returns(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes(b'id,x\r1,"a\rb"\r2,c\r')
     assert values(mr.load_delimited(spark, str(path), ",")) == values(mr.load_delimited(spark, str(path), ",", multiline=True))
+
+
+def nested_records(seed, n):
+    r = random.Random(seed)
+    texts = ["", "}", "{", "]}, {", "[", '"', "\\", '\\"', "a\nb", "é漢", "{\"rows\": [", "x" * 300]
+    value = lambda d: r.choice([1, 2.5, None, True, r.choice(texts), [r.choice(texts)], {"k": r.choice(texts)}] + ([{"d": value(d - 1)}, [value(d - 1)]] if d else []))
+    return [{"id": k, "t": r.choice(texts)} | ({"v": json.dumps(value(2))} if k % 3 else {"n": {"s": r.choice(texts), "l": [r.choice(texts)]}}) for k in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_arrays_and_documents_are_read_in_splits(spark, tmp_path, indent):
+    records = {k: nested_records(k, 40) for k in range(4)}
+    for k in (0, 1):
+        write(tmp_path / f"{k}.json", json.dumps(records[k], indent=indent) + "\n" * k)
+    write(tmp_path / "2.json", "  " + json.dumps({"rows": records[2]}, indent=indent))
+    write(tmp_path / "3.json", json.dumps({"rows": records[3]}, indent=indent) + "\n")
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    for k in range(4):
+        write(lines / f"{k}.json", "".join(json.dumps(x) + "\n" for x in records[k]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            for k in range(4) if size == "1k" else [1]:
+                got, want = mr.load_json(spark, str(tmp_path / f"{k}.json")), mr.load_json(spark, str(lines / f"{k}.json"))
+                assert "json-lines" in got.inputFiles()[0] and got.columns == want.columns and got.orderBy("id").collect() == want.orderBy("id").collect(), (size, k)
+        both = mr.load_json(spark, str(tmp_path / "*.json"))
+        assert both.count() == 160
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", ['{"rows": [{"a": 1}]}\n{"rows": [{"a": 2}]}\n', '{"more": 1,\n"rows": [{"a": 1}]}'])
+def test_documents_with_more_than_rows(spark, tmp_path, text):
+    assert {r["a"] for r in mr.load_json(spark, write(tmp_path / "x.json", text)).collect()} <= {1, 2}
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2]', '[{"a": 1} {"a": 2}]', '[{"a": 1}}', '[{"a": "x\ny"}]', '[{"a": 1}, 7]', '[{"a": 1}'])
+def test_unsound_arrays(spark, tmp_path, text):
+    """Such a file is read whole, as before, and fails or gives what Spark's reader makes of it."""
+    path = write(tmp_path / "x.json", text)
+    try:
+        want = spark.read.json(path, multiLine=True, mode="FAILFAST").select("a").collect()
+    except Exception:  # noqa: BLE001
+        want = None
+    if want is None:
+        with pytest.raises(Exception):  # noqa: B017
+            mr.load_json(spark, path).collect()
+    else:
+        assert mr.load_json(spark, path).select("a").collect() == want

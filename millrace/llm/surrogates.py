@@ -131,33 +131,36 @@ def _canonical(kind: Column, part: Column) -> Column:
     )
 
 
-def _surrogate(key: str) -> Column:
-    """The canonical surrogate of ``kind`` and ``canon`` at attempt ``nonce``."""
-    kind, canon, nonce = F.col("kind"), F.col("canon"), F.col("nonce")
-    digest = F.sha2(F.concat_ws("\0", F.lit(key), kind, nonce.cast("string"), canon), 512)
+def _surrogate() -> tuple[Column, Column, Column]:
+    """The canonical surrogate of ``kind`` and ``canon`` at attempt ``nonce``, from its ``digest``.
+
+    Lambdas compute what they mention anew for every element, so whatever depends on all of a value is a column before.
+    """
+    kind, canon, nonce, digest = F.col("kind"), F.col("canon"), F.col("nonce"), F.col("digest")
     longer = F.greatest(nonce - SAME_LENGTH_TRIES, F.lit(0))
     byte = lambda i: (F.conv(F.substring(digest, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int") + (i / 64).cast("int") * 7)
     letters = lambda s: F.array(*[F.lit(c) for c in s])
     pick = lambda pool, i: F.element_at(pool, byte(i) % F.size(pool) + 1)
     digits, lower, upper = letters("0123456789"), letters("abcdefghijklmnopqrstuvwxyz"), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    hexadecimal = kind.isin("secret") & canon.rlike("^[0-9a-f]+$")
+    hexadecimal = (kind == "secret") & canon.rlike("^[0-9a-f]+$")
 
-    def same_class(c, i):
+    def same_class(c, i, low):
         leading = (kind.isin("phone") & i.isin(0, 3)) | (kind.isin("national_id") & (i == 0))
         return (
             F.when(kind.isin("card") & (i == 0), c)
             .when(leading, F.element_at(digits, byte(i) % 8 + 2 + F.when(kind == "phone", 1).otherwise(0)))
             .when(c.rlike("[0-9]"), pick(digits, i))
-            .when(c.rlike("[a-z]"), F.when(hexadecimal, pick(letters("abcdef"), i)).otherwise(pick(lower, i)))
+            .when(c.rlike("[a-z]"), pick(low, i))
             .when(c.rlike("[A-Z]"), pick(upper, i))
             .when((kind == "secret") & c.rlike(r"[^\x00-\x7F]"), pick(lower, i))
             .otherwise(c)
         )
 
     added = F.when(longer > 0, F.transform(F.sequence(F.lit(1), longer), lambda i: pick(digits, i + 31))).otherwise(F.array().cast("array<string>"))
-    mapped = F.array_join(F.concat(F.transform(_chars(canon), same_class), added), "")
+    of = lambda low: F.transform(_chars(canon), lambda c, i: same_class(c, i, low))
+    mapped = F.array_join(F.concat(F.when(hexadecimal, of(letters("abcdef"))).otherwise(of(lower)), added), "")
     body = F.expr("left(mapped, length(mapped) - 1)")
-    checked = F.filter(F.transform(digits, lambda d: F.concat(body, d)), lambda s: _luhn(s))[0]
+    checked = F.when(kind == "card", F.filter(F.transform(digits, lambda d: F.concat(body, d)), lambda s: _luhn(s))[0])
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (byte(i) % 254 + 1).cast("string")), ".")
 
     cyrillic, given = kind.endswith("cyrillic"), kind.startswith("given")
@@ -181,8 +184,10 @@ def _surrogate(key: str) -> Column:
 
 
 def _with_surrogates(state: DataFrame, key: str) -> DataFrame:
-    final, mapped, checked = _surrogate(key)
-    return state.withColumn("mapped", mapped).withColumn("checked", checked).withColumn("surrogate", final).drop("mapped", "checked")
+    final, mapped, checked = _surrogate()
+    digest = F.sha2(F.concat_ws("\0", F.lit(key), "kind", F.col("nonce").cast("string"), "canon"), 512)
+    state = state.withColumn("digest", digest).withColumn("mapped", mapped).withColumn("checked", checked).withColumn("surrogate", final)
+    return state.drop("mapped", "checked", "digest")
 
 
 def _family(kind: Column) -> Column:
@@ -216,15 +221,12 @@ def _in_format(kind: Column, part: Column, surrogate: Column) -> Column:
     slot = F.when(kind.isin("phone", "card", "national_id"), F.lit("[0-9]")).when(kind == "secret", F.lit(r"[\p{L}\p{M}\p{N}_]")).otherwise(F.lit("[A-Za-z0-9_]"))
     taken, between, fresh_chars = F.regexp_extract_all(part, slot, F.lit(0)), F.split(part, slot, -1), _chars(surrogate)
     # The last places take the surrogate; earlier ones stay, or what is left of it goes in front.
-    stay = F.size(taken) - F.length(surrogate)
-
-    def placed_at(c, i):
-        new = F.coalesce(F.get(fresh_chars, i - stay), c)
-        cased = F.when(kind.isin("local", "domain") & c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
-        return F.concat(F.when(i < stay, c).otherwise(cased), F.get(between, i + 1))
-
-    ahead = F.substring(surrogate, F.lit(1), F.greatest(-stay, F.lit(0)))
-    placed = F.concat(ahead, F.get(between, F.lit(0)), F.array_join(F.transform(taken, placed_at), ""))
+    stay, more = F.greatest(F.size(taken) - F.length(surrogate), F.lit(0)), F.greatest(F.length(surrogate) - F.size(taken), F.lit(0))
+    new = F.concat(F.slice(taken, F.lit(1), stay), F.slice(fresh_chars, more + 1, F.size(taken)))
+    places = F.arrays_zip(taken.alias("old"), new.alias("new"), F.slice(between, F.lit(2), F.size(taken)).alias("next"))
+    cased = lambda x: F.when(kind.isin("local", "domain") & x["old"].rlike("[A-Z]"), F.upper(x["new"])).otherwise(x["new"])
+    body = F.array_join(F.transform(places, lambda x: F.concat(cased(x), x["next"])), "")
+    placed = F.concat(F.substring(surrogate, F.lit(1), more), F.get(between, F.lit(0)), body)
     named = F.when((part == F.upper(part)) & (F.length(part) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     is_name = kind.startswith("given") | kind.startswith("surname")
     return F.when(kind == "ip", surrogate).when(is_name, named).otherwise(placed)

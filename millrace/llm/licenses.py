@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 from functools import lru_cache
 from importlib.resources import files
@@ -178,6 +178,11 @@ for _file in sorted(files(__package__).joinpath("license_texts").iterdir(), key=
     if _file.name.endswith(".txt"):
         TEMPLATES[f"{_file.name[:-4]} text"] = _file.read_text(encoding="utf-8")
 THRESHOLD = 80
+#: Whole licences with close siblings of which no text is here, the words by which these are told, and the name they get.
+SIBLINGS = {
+    "CC-BY-4.0 text": ((b"noncommercial", b"noderivatives", b"sharealike"), "CC, version unknown"),
+    "CC-BY-SA-4.0 text": ((b"noncommercial", b"noderivatives"), "CC, version unknown"),
+}
 #: Normalising: A-Z in lower case, every other byte that is no letter, digit or part of a longer UTF-8 character is a space.
 _NORMAL = np.full(256, 0x20, np.uint8)
 _NORMAL[0x0A] = 0x0A
@@ -206,13 +211,20 @@ def _bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass(frozen=True)
 class _Library:
-    """The templates' pairs, as an inverted list: ``pairs`` ascending and the template each is in; ``own`` by template."""
+    """The templates' pairs, as an inverted list: ``pairs`` ascending and the template each is in; ``own`` by template.
+
+    The list of a pair ascends by the templates' sizes: ``different`` has each pair once, ``sized`` for every entry the number
+    of its pair times ``largest + 1`` plus its template's size, so templates within bounds of size are one slice.
+    """
 
     names: list[str]
     sizes: np.ndarray
     pairs: np.ndarray
     template: np.ndarray
     own: list[np.ndarray]
+    different: np.ndarray
+    sized: np.ndarray
+    largest: int
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> _Library:
@@ -220,9 +232,13 @@ class _Library:
         data = _NORMAL[np.frombuffer(b"".join(raw), np.uint8)]
         data = np.where(data == 0x0A, np.uint8(0x20), data)
         template, pairs = _bigrams(data, np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
-        order = np.argsort(pairs, kind="stable")
         sizes = np.bincount(template, minlength=len(raw))
-        return cls(list(templates), sizes, pairs[order], template[order], np.split(pairs, np.cumsum(sizes)[:-1]))
+        order = np.lexsort((sizes[template], pairs))
+        different, number = np.unique(pairs[order], return_inverse=True)
+        largest = int(sizes.max(initial=0))
+        sized = number * (largest + 1) + sizes[template[order]]
+        own = np.split(pairs, np.cumsum(sizes)[:-1])
+        return cls(list(templates), sizes, pairs[order], template[order], own, different, sized, largest)
 
 
 @lru_cache(2)
@@ -233,19 +249,25 @@ def _library(templates: tuple[tuple[str, str], ...]) -> _Library:
 def _best(library: _Library, unit: np.ndarray, pair: np.ndarray, n: int, threshold: int):
     """For each unit the template with the largest coefficient of at least ``threshold`` hundredths (-1: none), and that.
 
-    2 |A and B| / (|A| + |B|) is at most 2 min(|A|, |B|) / (|A| + |B|), so sizes alone rule most templates out.
+    2 |A and B| / (|A| + |B|) is at most 2 min(|A|, |B|) / (|A| + |B|), so sizes alone rule most templates out: of a pair's list
+    only templates of a possible size are read, and pairs in common are counted for these alone.
     """
     size = np.bincount(unit, minlength=n)
-    place = np.searchsorted(library.pairs, pair, "left")
-    many = np.searchsorted(library.pairs, pair, "right") - place
+    number = np.searchsorted(library.different, pair)
+    hit = np.append(library.different, np.uint64(0))[number] == pair
+    hit &= number < len(library.different)
+    unit, number = unit[hit], number[hit]
+    least = -(-threshold * size // (200 - threshold))
+    most = np.minimum(size * (200 - threshold) // threshold, library.largest)
+    least = np.minimum(least, library.largest + 1)
+    place = np.searchsorted(library.sized, number * (library.largest + 1) + least[unit], "left")
+    many = np.searchsorted(library.sized, number * (library.largest + 1) + most[unit], "right") - place
     hit = many > 0
     unit, place, many = unit[hit], place[hit], many[hit]
     at = np.repeat(place - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
     key, common = np.unique(np.repeat(unit, many) * len(library.names) + library.template[at], return_counts=True)
     unit, template = key // len(library.names), key % len(library.names)
     both = size[unit] + library.sizes[template]
-    possible = 200 * np.minimum(size[unit], library.sizes[template]) >= threshold * both
-    unit, template, common, both = unit[possible], template[possible], common[possible], both[possible]
     enough = 200 * common >= threshold * both
     unit, template, dice = unit[enough], template[enough], 2 * common[enough] / both[enough]
     order = np.lexsort((template, -dice, unit))
@@ -338,19 +360,39 @@ def _grouped(rows: np.ndarray):
         lo = int(hi)
 
 
-def _untold(library: _Library, spans: list[tuple], rows: np.ndarray, names: np.ndarray, dices: np.ndarray, froms: np.ndarray, tos: np.ndarray) -> list[tuple]:
-    """The spans that no unit they meet tells: one with the same licence, or with a coefficient as large."""
+def _untold(library: _Library, spans: list[tuple], kinds: list[tuple]) -> list[tuple]:
+    """The spans that no unit they meet tells: one with the same licence, or with a coefficient as large.
+
+    Units of one kind are apart and ascend by row and place, so those that meet a span are neighbours, found by binary search.
+    """
     licence = [re.sub(r" (notice|text)( \(\d+\))?$", "", name) for name in library.names]
-    units = {}
-    for row, *unit in zip(rows.tolist(), names.tolist(), dices.tolist(), froms.tolist(), tos.tolist()):
-        units.setdefault(row, []).append(unit)
-    tells = lambda u, k, dice, a, b: u[2] < b and a < u[3] and (licence[u[0]] == licence[k] or u[1] >= dice)
-    return [(row, *s) for row, *s in spans if not any(tells(u, *s) for u in units.get(row, []))]
+    units = [(list(zip(rows.tolist(), tos.tolist())), froms.tolist(), names.tolist(), dices.tolist()) for rows, names, dices, froms, tos in kinds]
+
+    def told(row: int, k: int, dice: float, lo: int, hi: int) -> bool:
+        for ends, froms, names, dices in units:
+            n = bisect_right(ends, (row, lo))
+            while n < len(ends) and ends[n][0] == row and froms[n] < hi:
+                if licence[names[n]] == licence[k] or dices[n] >= dice:
+                    return True
+                n += 1
+        return False
+
+    return [s for s in spans if not told(*s)]
+
+
+def _named(name: str, siblings: dict, data: np.ndarray, start: int, end: int) -> str:
+    """The template's name, or that of its family if the text has a word that only a sibling has."""
+    if name not in siblings:
+        return name
+    words, family = siblings[name]
+    text = data[start:end].tobytes()
+    return family if any(w in text for w in words) else name
 
 
 def _scan(templates: tuple[tuple[str, str], ...] | None, threshold: int):
     def run(batches):
         library = _library(tuple(TEMPLATES.items()) if templates is None else templates)
+        siblings = SIBLINGS if templates is None else {}
         for batch in batches:
             for lo, hi, raw, offsets in text_slices(batch.column(1)):
                 data = _NORMAL[raw]
@@ -375,8 +417,9 @@ def _scan(templates: tuple[tuple[str, str], ...] | None, threshold: int):
                     whole.append(np.full(len(found), is_whole))
                 if not rows:
                     continue
+                kinds = list(zip(rows, names, dices, froms, tos))
+                spans = _untold(library, _spans(library, spaced, offsets, threshold), kinds)
                 rows, names, dices, froms, tos, whole = map(np.concatenate, (rows, names, dices, froms, tos, whole))
-                spans = _untold(library, _spans(library, spaced, offsets, threshold), rows, names, dices, froms, tos)
                 if spans:
                     more = [np.array(x) for x in zip(*spans)] + [np.zeros(len(spans), bool)]
                     rows, names, dices, froms, tos, whole = map(np.concatenate, zip((rows, names, dices, froms, tos, whole), more))
@@ -388,10 +431,14 @@ def _scan(templates: tuple[tuple[str, str], ...] | None, threshold: int):
                 new = np.ones(len(rows), bool)
                 new[1:] = (rows[1:] != rows[:-1]) | (froms[1:] != froms[:-1]) | (tos[1:] != tos[:-1])
                 keep = np.flatnonzero(new)
+                told = [
+                    _named(library.names[k], siblings, spaced, offsets[row] + a, offsets[row] + b)
+                    for row, k, a, b in zip(rows[keep], names[keep], froms[keep], tos[keep])
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(lo + rows[keep])),
-                        pa.array([library.names[k] for k in names[keep]], pa.string()),
+                        pa.array(told, pa.string()),
                         pa.array(dices[keep]),
                         pa.array(froms[keep].astype(np.int64)),
                         pa.array(tos[keep].astype(np.int64)),
@@ -411,11 +458,12 @@ def scan_licenses(
     Texts are normalised (A-Z in lower case; other than letters, digits and non-ASCII characters all is white space) and split
     into units: the whole text, its paragraphs (between empty lines, which may end in CR LF) and its lines. A unit is compared
     with a template by the Dice coefficient of their sets of word bigrams; templates whose size rules out ``threshold`` / 100
-    are not compared. Per unit the best template counts, of equal ones the first listed.
+    (from 1 to 100) are not compared. Per unit the best template counts, of equal ones the first listed.
 
     Spans of words anywhere in a text, over line and paragraph ends, are compared in the same way: for each place where a run of
     a template's bigrams begins, the best end. Of spans that meet one is told, and none that meets a unit found with the same
-    licence or with as large a coefficient. A template of one word is looked for in units only.
+    licence or with as large a coefficient. A template of one word is looked for in units only. Whole Creative Commons licences with
+    words of siblings that are no templates (``SIBLINGS``) are named by their family, not by the sibling's name.
 
     Returns a row for each unit or span found: the id, ``license``, ``dice``, ``from_byte`` and ``to_byte`` (its place in the UTF-8
     text, for units line breaks at the end included) and ``whole_text``. Null, empty and other texts without a licence give none. Ids may

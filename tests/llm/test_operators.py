@@ -546,6 +546,57 @@ def test_whole_licenses_and_other_notices(spark):
     assert [found[k] for k in range(len(texts))] == [{n} for n in texts.values()]
 
 
+def test_siblings_without_a_text_get_no_wrong_name(spark):
+    """A Creative Commons licence whose text is not here is told by its family, never as CC-BY or CC-BY-SA."""
+    by, sa = licenses.TEMPLATES["CC-BY-4.0 text"], licenses.TEMPLATES["CC-BY-SA-4.0 text"]
+    nc = by.replace("Attribution 4.0", "Attribution-NonCommercial 4.0").replace("reproduce and Share the Licensed Material", "reproduce and Share the Licensed Material for NonCommercial purposes only")
+    nd = by.replace("Attribution 4.0", "Attribution-NoDerivatives 4.0").replace("produce, reproduce, and Share Adapted Material", "produce and reproduce, but not Share, Adapted Material")
+    nc_sa = sa.replace("ShareAlike 4.0", "NonCommercial-ShareAlike 4.0")
+    texts = [by, sa, nc, nd, nc_sa, f"{words(30, 1)} {' '.join(nc.split())} {words(30, 2)}"]
+    assert len(set(texts)) == 6
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = defaultdict(set)
+    for r in licenses.scan_licenses(rows).where("dice > 0.8 and to_byte - from_byte > 5000").collect():
+        found[r["doc_id"]].add(r["license"])
+    family = {"CC, version unknown"}
+    assert [found[k] for k in range(6)] == [{"CC-BY-4.0 text"}, {"CC-BY-SA-4.0 text"}, family, family, family, family]
+    # Templates of one's own keep their names.
+    own = licenses.scan_licenses(rows.where("doc_id = 2"), templates={"CC-BY-4.0 text": by}).where("whole_text").collect()
+    assert [r["license"] for r in own] == ["CC-BY-4.0 text"]
+
+
+def test_license_sizes_rule_out_before_counting():
+    """Best templates with slices of possible sizes are those of a plain comparison, for sizes at and beside the bounds."""
+    r = random.Random(5)
+    texts = {f"t{k}": " ".join(f"w{r.randrange(12)}" for _ in range(r.choice((1, 2, 5, 8, 12, 40)))) for k in range(60)}
+    units = [*texts.values()][::2] + [" ".join(f"w{r.randrange(13)}" for _ in range(n)) for n in (0, 1, 2, 3, 6, 9, 14, 60) for _ in range(6)]
+    library = licenses._Library.of(texts)
+    raw = [u.encode() for u in units]
+    unit, pair = licenses._bigrams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for threshold in (1, 50, 80, 100):
+        name, best = licenses._best(library, unit, pair, len(units), threshold)
+        for u, k, d in zip(units, name.tolist(), best.tolist()):
+            want = max(((dice(u, t), -n) for n, t in enumerate(texts.values())), default=(0, 0))
+            assert (k, round(d, 9)) == ((-want[1], round(want[0], 9)) if u and 100 * want[0] >= threshold else (-1, 0))
+
+
+def test_spans_told_by_units_of_long_texts():
+    """Spans are held against the units they meet as one by one, in texts of many lines."""
+    r = random.Random(6)
+    library = licenses._library(tuple(licenses.TEMPLATES.items()))
+    kinds, n = [], len(library.names)
+    for width in (400, 90, 20):
+        places = [(row, a) for row in range(4) for a in range(0, 400, width) if r.random() < 0.6]
+        kinds.append(tuple(np.array(x) for x in zip(*[(row, r.randrange(n), r.uniform(0.8, 1), a, min(a + width, 400)) for row, a in places])))
+    spans = [(r.randrange(4), r.randrange(n), r.uniform(0.8, 1), a, a + r.randrange(1, 60)) for a in range(0, 340, 7)]
+    licence = [re.sub(r" (notice|text).*", "", x) for x in library.names]
+    units = [u for kind in kinds for u in zip(*(x.tolist() for x in kind))]
+    tells = lambda u, s: u[0] == s[0] and u[3] < s[4] and s[3] < u[4] and (licence[u[1]] == licence[s[1]] or u[2] >= s[2])
+    want = [s for s in spans if not any(tells(u, s) for u in units)]
+    assert want and licenses._untold(library, spans, kinds) == want
+
+
+
 # op 10
 
 

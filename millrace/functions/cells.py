@@ -45,6 +45,7 @@ ROW_ID = "_row_id"
 RESCUED = "_rescued"
 VIOLATIONS = "_violations"
 BOOKKEEPING = (ROW_ID, RESCUED, VIOLATIONS)
+TALLY = "_millrace_tally_"  # and a number: counts that a row carries
 
 
 def col(name: str) -> Column:
@@ -54,7 +55,7 @@ def col(name: str) -> Column:
 
 def data_columns(df: DataFrame) -> list[str]:
     """The table's own columns, without the bookkeeping ones the library adds."""
-    return [c for c in df.columns if c not in BOOKKEEPING]
+    return [c for c in df.columns if c not in BOOKKEEPING and not c.startswith(TALLY)]
 
 
 def field_type(df: DataFrame, name: str) -> T.DataType:

@@ -6,7 +6,7 @@ shuffled, so a key shared by a large part of the table reaches its reducer as on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,12 +50,22 @@ def drop_duplicates(
         raise ValueError("keep is 'first', 'last' or 'any'")
     if not order:
         raise ValueError("keep='first' and keep='last' need order_by: rows of a DataFrame have no order of their own")
-    keys = keys or [c for c in data_columns(df) if c not in order]
+    return first_of_each(df, keys or [c for c in data_columns(df) if c not in order], keep, order)
+
+
+def first_of_each(
+    df: DataFrame, keys: list[str], keep: str, order: list[str], apart: Column | None = None, summed: tuple[str, ...] = ()
+) -> DataFrame:
+    """The first or last row of each key. Rows with another value of ``apart`` are another key's; a column in ``summed`` becomes
+    its sum over the key's rows instead of the kept row's own value."""
     pick = F.min_by if keep == "first" else F.max_by
     place = position(df, as_keys(df, order))
-    carried = [c for c in df.columns if c not in keys]
+    carried = [c for c in df.columns if c not in keys and c not in summed]
     fixed = len(order) == 1 and all(_fixed_width(df.schema[c].dataType) for c in carried)
     source, aggregates = {}, []
+    for i, c in enumerate(summed):
+        aggregates.append(F.sum(c).alias(f"_sum{i}"))
+        source[c] = F.col(f"_sum{i}")
     for i, k in enumerate(keys):
         source[k] = F.col(f"_key{i}")
         if is_floating(df.schema[k].dataType):  # null and NaN share a group; the kept row says which one it had
@@ -68,7 +78,8 @@ def drop_duplicates(
     elif carried:
         aggregates.append(pick(F.struct(*[col(c) for c in carried]), place).alias("_row"))
         source |= {c: F.col("_row").getField(c) for c in carried}
-    grouped = df.groupBy(*[Cell(df, k).identity.alias(f"_key{i}") for i, k in enumerate(keys)])
+    groups = [Cell(df, k).identity.alias(f"_key{i}") for i, k in enumerate(keys)]
+    grouped = df.groupBy(*groups, *([] if apart is None else [apart.alias("_apart")]))
     chosen = grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)))
     return chosen.select(*[source[c].alias(c, metadata=df.schema[c].metadata) for c in df.columns])
 

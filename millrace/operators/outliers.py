@@ -59,7 +59,11 @@ def detect_outliers(df: DataFrame, column: str, method: str = "iqr", nulls_as_ze
     return Outliers(low, high, df.filter(flagged))
 
 
+def within_bounds(df: DataFrame, column: str, method: str = "iqr", nulls_as_zero: bool = False) -> Column:
+    *_, flagged = outlier_bounds(df, column, method, nulls_as_zero)
+    return ~flagged
+
+
 def remove_outliers(df: DataFrame, column: str, method: str = "iqr", nulls_as_zero: bool = False) -> DataFrame:
     """Drop exactly the rows ``detect_outliers`` flags."""
-    *_, flagged = outlier_bounds(df, column, method, nulls_as_zero)
-    return df.filter(~flagged)
+    return df.filter(within_bounds(df, column, method, nulls_as_zero))

@@ -7,10 +7,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import Cell
+from millrace.functions.cells import TALLY, Cell, col, fresh
 from millrace.operators import append as _append
 from millrace.operators import columns, dates, dedup, fill, joins, numbers, ordering, outliers, rows, text, types
 from millrace.sources.scratch import settled
@@ -24,6 +24,8 @@ class Operation:
     local: bool = True
     removes_rows: bool = False
     affected: Callable[..., Column] | None = None  # cells the step fills, maps or fails on, as a boolean over its input
+    keeps: Callable[..., Column] | None = None  # the rows that stay, as a boolean over its input
+    only_columns: bool = False  # the step looks at the whole table, but only to choose columns
 
 
 def _missing(df: DataFrame, column: str, **_) -> Column:
@@ -43,18 +45,18 @@ def _append_tables(df: DataFrame, tables: list[DataFrame]) -> DataFrame:
 
 
 OPERATIONS: dict[str, Operation] = {
-    "filter_rows": Operation(rows.filter_rows, removes_rows=True),
-    "remove_rows_matching": Operation(rows.remove_rows_matching, removes_rows=True),
-    "remove_empty_rows": Operation(rows.remove_empty_rows, removes_rows=True),
-    "remove_rows_with_missing": Operation(rows.remove_rows_with_missing, removes_rows=True),
+    "filter_rows": Operation(rows.filter_rows, removes_rows=True, keeps=rows.predicate),
+    "remove_rows_matching": Operation(rows.remove_rows_matching, removes_rows=True, keeps=rows.not_matching),
+    "remove_empty_rows": Operation(rows.remove_empty_rows, removes_rows=True, keeps=rows.not_empty),
+    "remove_rows_with_missing": Operation(rows.remove_rows_with_missing, removes_rows=True, keeps=rows.without_missing),
     "remove_rows_by_key": Operation(rows.remove_rows_by_key, local=False, removes_rows=True),
-    "search_rows": Operation(rows.search_rows, removes_rows=True),
+    "search_rows": Operation(rows.search_rows, removes_rows=True, keeps=rows.containing),
     "drop_duplicates": Operation(dedup.drop_duplicates, local=False, removes_rows=True),
     "remove_columns": Operation(columns.remove_columns),
-    "remove_empty_columns": Operation(columns.remove_empty_columns, local=False),
-    "remove_sparse_columns": Operation(columns.remove_sparse_columns, local=False),
-    "remove_constant_columns": Operation(columns.remove_constant_columns, local=False),
-    "remove_duplicate_columns": Operation(columns.remove_duplicate_columns, local=False),
+    "remove_empty_columns": Operation(columns.remove_empty_columns, local=False, only_columns=True),
+    "remove_sparse_columns": Operation(columns.remove_sparse_columns, local=False, only_columns=True),
+    "remove_constant_columns": Operation(columns.remove_constant_columns, local=False, only_columns=True),
+    "remove_duplicate_columns": Operation(columns.remove_duplicate_columns, local=False, only_columns=True),
     "rename_column": Operation(columns.rename_column),
     "normalize_column_names": Operation(columns.normalize_column_names),
     "reorder_columns": Operation(columns.reorder_columns),
@@ -69,7 +71,7 @@ OPERATIONS: dict[str, Operation] = {
     "extract_date_part": Operation(dates.extract_date_part),
     "convert_type": Operation(types.convert_type, affected=types.not_convertible),
     "sort_rows": Operation(ordering.sort_rows, local=False),
-    "remove_outliers": Operation(outliers.remove_outliers, local=False, removes_rows=True),
+    "remove_outliers": Operation(outliers.remove_outliers, local=False, removes_rows=True, keeps=outliers.within_bounds),
     "join_tables": Operation(_join, local=False),
     "append": Operation(_append_tables, local=False),
 }
@@ -169,63 +171,105 @@ class Recipe:
     def metrics(self, df: DataFrame, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """One row per active step: rows before and after, and the cells or rows it affected.
 
-        A recipe of row-wise steps is one narrow stage, so all its counts are observed during a single pass. With
-        shuffles in between, a re-run task could be observed twice; there the output of every step is written once to
-        the session's shared folder and counted from there, so the work grows with the number of steps.
+        All steps are counted in one pass: a row carries a tally of the tables it was in and of its affected cells, a step that
+        removes rows leaves them in as dead ones, and rows that fall together hand their tallies to the one that is kept. The
+        tallies are summed at the end, so a task that runs again counts once. Only a join, and duplicates of which any row may
+        stay, write their input to the session's shared folder, once each. Steps that need facts of their whole input (ranges of
+        an order, bounds of outliers, columns to drop) look at it in jobs of their own, as ``apply`` does.
         """
         if not self.active:
             return df.sparkSession.createDataFrame([], _METRICS)
-        frames = [df]
-        for step in self.active:
-            after = step.run(frames[-1], tables)
-            frames.append(after if self.is_row_local else settled(after, "metrics"))
-        counts = [self._counts(i, frames) for i in range(len(frames))]
-        if self.is_row_local:
-            totals = self._observe(df, tables)
-            facts = df.sparkSession.createDataFrame(totals, "step int, n bigint, affected bigint")
-        else:
-            facts = reduce(
-                lambda a, b: a.unionByName(b),
-                [f.agg(*c).select(F.lit(i).alias("step"), "*") for i, (f, c) in enumerate(zip(frames, counts))],
-            )
-        ops = [(i + 1, s.op, s.operation.removes_rows) for i, s in enumerate(self.active)]
-        listed = df.sparkSession.createDataFrame(ops, "number int, op string, removes boolean")
-        before, after = facts.alias("b"), facts.alias("a")
-        joined = listed.join(before, F.col("b.step") == F.col("number") - 1).join(after, F.col("a.step") == F.col("number"))
-        removed = F.col("b.n") - F.col("a.n")
-        return joined.select(
-            F.col("number").alias("step"),
-            "op",
-            F.col("b.n").alias("rows_before"),
-            F.col("a.n").alias("rows_after"),
-            F.when(F.col("removes"), removed).otherwise(F.col("b.affected")).alias("affected"),
-        )
-
-    def _counts(self, i: int, frames: list[DataFrame]) -> list[Column]:
-        """Aggregates over the table before step ``i``: its rows and the cells the step will affect."""
-        affected = F.lit(None).cast("bigint")
-        if i < len(self.active) and self.active[i].operation.affected:
-            step = self.active[i]
-            affected = F.count_if(step.operation.affected(frames[i], **step.params))
-            if step.op == "fill_missing" and step.params["strategy"] in ("previous", "next"):
-                still = frames[i + 1].agg(F.count_if(Cell(frames[i + 1], step.params["column"]).missing)).scalar()
-                affected = affected - still
-        return [F.count(F.lit(1)).alias("n"), affected.alias("affected")]
-
-    def _observe(self, df: DataFrame, tables) -> list[tuple]:
-        seen = []
-        for i in range(len(self.active) + 1):
-            observation = Observation(f"step{i}")
-            step = self.active[i] if i < len(self.active) else None
-            counts = [F.count(F.lit(1)).alias("n")]
-            if step and step.operation.affected:
-                counts.append(F.count_if(step.operation.affected(df, **step.params)).alias("affected"))
-            df = df.observe(observation, *counts)
-            seen.append(observation)
-            if step:
-                df = step.run(df, tables)
-        df.write.format("noop").mode("overwrite").save()
-        return [(i, o.get["n"], o.get.get("affected")) for i, o in enumerate(seen)]
+        facts = reduce(lambda a, b: a.unionByName(b), self._tallies(df, tables))
+        by_frame = F.map_from_entries(F.collect_list(F.struct("frame", F.struct("n", "affected"))))
+        lines = []
+        for i, step in enumerate(self.active):
+            before, after = F.element_at("facts", i), F.element_at("facts", i + 1)
+            n, m = before.getField("n"), after.getField("n")
+            affected = n - m if step.operation.removes_rows else before.getField("affected") if step.operation.affected else F.lit(None)
+            fields = {"step": F.lit(i + 1), "op": F.lit(step.op), "rows_before": n, "rows_after": m, "affected": affected.cast("bigint")}
+            lines.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
+        return facts.agg(by_frame.alias("facts")).select(F.inline(F.array(*lines)))
+
+    def _tallies(self, df: DataFrame, tables) -> list[DataFrame]:
+        """Tables ``frame, n, affected``: the rows before each step (and after the last), and the cells the step affects.
+
+        Columns of a row: ``n`` of frame k is the number of rows it stands for in the table before step k, ``hit`` those of them
+        with a cell that the step affects. A row is dead if its last ``n`` is 0.
+        """
+        parts, marked = [], df.withColumn(_n(0), F.lit(1).cast("bigint"))
+        for i, step in enumerate(self.active):
+            op, params, alive = step.operation, step.params, F.col(_n(i)) > 0
+            hit = F.coalesce(alive & op.affected(marked, **params), F.lit(False)) if op.affected else F.lit(False)
+            marked = marked.withColumn(_hit(i), hit.cast("bigint"))
+            living = _without_tallies(marked.filter(alive))
+            if step.op == "join_tables" or (step.op == "drop_duplicates" and params.get("keep") == "any"):
+                marked = settled(marked, "metrics")
+                parts.append(_summed(marked))
+                marked = step.run(_without_tallies(marked.filter(alive)), tables).withColumn(_n(i + 1), F.lit(1).cast("bigint"))
+                continue
+            stays = alive
+            if op.keeps:
+                stays = alive & F.coalesce(op.keeps(marked if step.local else living, **params), F.lit(False))
+            elif step.op == "remove_rows_by_key":
+                (listed,) = fresh(marked, "_listed")
+                marked = rows.mark_rows_by_key(marked, listed, **params)
+                marked = marked.withColumn(_n(i + 1), (alive & ~F.col(listed)).cast("bigint")).drop(listed)
+                continue
+            elif step.op == "drop_duplicates":
+                marked = _distinct(marked, alive, **params)
+            elif step.op == "fill_missing":
+                c = params["column"]
+                # Dead rows have no cell there, so they take no part in what is filled in.
+                dead = F.when(alive, col(c)).alias(c, metadata=marked.schema[c].metadata)
+                marked = step.run(marked.select(*[dead if x == c else col(x) for x in marked.columns]), tables)
+                if params["strategy"] in ("previous", "next"):
+                    marked = marked.withColumn(_hit(i), F.when(Cell(marked, c).missing, 0).otherwise(F.col(_hit(i))).cast("bigint"))
+            elif step.op == "append":
+                marked = step.run(marked, tables)
+                stays = F.coalesce(alive, F.lit(True))
+            elif op.only_columns:
+                marked = marked.select(*[col(c) for c in step.run(living, tables).columns], *_tallies_of(marked))
+            elif step.op == "reorder_columns":
+                marked = op.run(marked, [*params["order"], *_tallies_of(marked)])
+            elif step.op != "sort_rows":
+                marked = step.run(marked, tables)
+            marked = marked.withColumn(_n(i + 1), stays.cast("bigint"))
+        return [*parts, _summed(marked)]
+
+
+def _n(frame: int) -> str:
+    return f"{TALLY}n{frame}"
+
+
+def _hit(frame: int) -> str:
+    return f"{TALLY}hit{frame}"
+
+
+def _tallies_of(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(TALLY)]
+
+
+def _without_tallies(df: DataFrame) -> DataFrame:
+    return df.drop(*_tallies_of(df))
+
+
+def _summed(marked: DataFrame) -> DataFrame:
+    """The sums of the tallies, a row for each table that they know. Rows that came later have none of the earlier ones."""
+    names = _tallies_of(marked)
+    sums = marked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    frames = [int(c.removeprefix(_n(0)[:-1])) for c in names if c.startswith(_n(0)[:-1])]
+    none = F.lit(None).cast("bigint")
+    facts = [(F.lit(k), F.col(_n(k)), F.col(_hit(k)) if _hit(k) in names else none) for k in frames]
+    return sums.select(F.inline(F.array(*[F.struct(*[v.alias(c) for c, v in zip(("frame", "n", "affected"), f)]) for f in facts])))
+
+
+def _distinct(marked: DataFrame, alive: Column, keys=None, keep="first", order_by=None) -> DataFrame:
+    """``drop_duplicates`` of the living rows, with the sums of their tallies; the dead ones become one row."""
+    dedup.drop_duplicates(marked, keys, keep, order_by)  # refuses what it refuses
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    keys = keys or [c for c in columns.data_columns(marked) if c not in order]
+    of_dead = [F.when(alive, col(c)).alias(c, metadata=marked.schema[c].metadata) if c in keys else col(c) for c in marked.columns]
+    return dedup.first_of_each(marked.select(*of_dead), keys, keep, order, alive, tuple(_tallies_of(marked)))
 
 
 _METRICS = "step int, op string, rows_before bigint, rows_after bigint, affected bigint"

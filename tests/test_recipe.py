@@ -56,6 +56,90 @@ def test_metrics_of_carried_fills(people):
     assert values(step.metrics(people)) == [(1, "fill_missing", 4, 4, 2)]
 
 
+def counted_step_by_step(recipe, df, tables):
+    """Rows before and after, and affected cells, from the table before and after each step."""
+    out = []
+    for i, step in enumerate(recipe.active, 1):
+        after, op = step.run(df, tables), step.operation
+        after = df.sparkSession.createDataFrame(after.collect(), after.schema).coalesce(1)
+        n, m = df.count(), after.count()
+        affected = n - m if op.removes_rows else df.where(op.affected(df, **step.params)).count() if op.affected else None
+        if step.params.get("strategy") in ("previous", "next"):
+            affected -= after.where(op.affected(after, **step.params)).count()
+        out.append((i, step.op, n, m, affected))
+        df = after
+    return out
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    rows = [(i, f" c{i % 7}", None if i % 5 == 0 else float(i % 11) + (900 if i == 33 else 0), "x" if i % 3 else None, "k") for i in range(120)]
+    return spark.createDataFrame(rows, "at int, `City Name` string, v double, w string, same string").coalesce(2)
+
+
+@pytest.fixture(scope="module")
+def others(spark):
+    return {
+        "more": spark.createDataFrame([(500, " c1", None, None), (501, None, 3.0, "y")], "at int, city_name string, v double, w string").coalesce(1),
+        "cities": spark.createDataFrame([("c1", "A"), ("c1", "B"), ("c2", "C")], "city string, area string").coalesce(1),
+    }
+
+
+def test_metrics_of_removed_rows(gappy, others):
+    """Removed rows count nowhere later, nor do they fill, match or bound."""
+    recipe = (
+        mr.Recipe()
+        .add("normalize_column_names")
+        .add("filter_rows", rules=[("at", "neq", 7)])
+        .add("remove_rows_by_key", keys=[[1], [2], [7], [119]], key="at")
+        .add("fill_missing", column="w", strategy="next", order_by="at")
+        .add("remove_outliers", column="v", method="zscore", nulls_as_zero=True)
+        .add("search_rows", text="c")
+        .add("sort_rows", keys=["v"])
+        .add("fill_missing", column="v", strategy="mean")
+        .add("remove_rows_matching", rules=[("at", "gt", 100)])
+    )
+    want = counted_step_by_step(recipe, gappy, others)
+    assert all(w[4] for w in want if w[1] not in ("normalize_column_names", "sort_rows", "search_rows"))
+    assert values(recipe.metrics(gappy, others).orderBy("step")) == want
+
+
+def test_metrics_of_rows_that_fall_together(gappy, others):
+    """Duplicates, appended tables, dropped columns and joins in one recipe; also on tables without rows."""
+    recipe = (
+        mr.Recipe()
+        .add("normalize_column_names")
+        .add("standardize_categories", column="w", mapping={"x": "X"})
+        .add("remove_rows_matching", rules=[("at", "gt", 100)])
+        .add("drop_duplicates", keys=["city_name", "v"], keep="last", order_by="at")
+        .add("append", tables=["more"])
+        .add("fill_missing", column="v", strategy="zero")
+        .add("remove_constant_columns")
+        .add("drop_duplicates", keys=["city_name"], keep="first", order_by="at")
+        .add("remove_rows_with_missing", columns=["w"])
+        .add("reorder_columns", order=["city_name", "v", "at"])
+    )
+    want = counted_step_by_step(recipe, gappy, others)
+    assert all(w[4] for w in want if w[1] in ("standardize_categories", "drop_duplicates", "fill_missing", "remove_rows_with_missing"))
+    assert values(recipe.metrics(gappy, others).orderBy("step")) == want
+    joined = mr.Recipe(recipe.steps[:5], 5).add("join_tables", table="cities", keys=[["city_name", "city"]], how="left")
+    joined = joined.add("drop_duplicates", keys=["area"], keep="any").add("remove_empty_rows")
+    assert values(joined.metrics(gappy, others).orderBy("step")) == counted_step_by_step(joined, gappy, others)
+    none = recipe.metrics(gappy.where("false"), others | {"more": others["more"].where("false")})
+    assert [r[:4] for r in values(none.orderBy("step"))] == [(i, s.op, 0, 0) for i, s in enumerate(recipe.active, 1)]
+
+
+def test_metrics_write_nothing_but_before_joins(people, spark, monkeypatch):
+    from millrace.plans import recipe as module
+
+    written = []
+    monkeypatch.setattr(module, "settled", lambda df, name: written.append(name) or df)
+    steps = mr.Recipe().add("drop_duplicates", keys=["city"], keep="first", order_by="at").add("fill_missing", column="age", strategy="previous", order_by="at")
+    assert steps.metrics(people).count() == 2 and written == []
+    steps.add("join_tables", table="cities", keys=["city"], how="left").metrics(people, {"cities": people.select("city").distinct()}).count()
+    assert written == ["metrics"]
+
+
 def test_steps_with_other_tables(people, spark):
     cities = spark.createDataFrame([("lyon", "FR")], "city string, country string")
     recipe = mr.Recipe().add("join_tables", table="cities", keys=["city"], how="left").add("append", tables=["more"])

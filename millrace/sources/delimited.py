@@ -101,5 +101,5 @@ def load_delimited(spark: SparkSession, path: str, sep: str | None = None, multi
 
 def save_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
     """Write the data columns in order with a header row; null becomes an empty field."""
-    text = df.select(*[Cell(df, c).text.alias(c) for c in data_columns(df)])
+    text = df.select(*[Cell(df, c).written.alias(c) for c in data_columns(df)])
     text.write.mode(mode).options(**_FORMAT, nullValue="", emptyValue="").csv(path, sep=sep)

@@ -44,6 +44,12 @@ def test_delimited_round_trip(spark, tmp_path):
         assert sorted(values(mr.load_delimited(spark, out, sep))) == [("1", rows[0][1], "15"), ("2", None, None), ("3", rows[2][1], "0.5")]
 
 
+def test_delimited_keeps_the_sign_of_zero(spark, tmp_path):
+    df = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, None)], "id int, x double")
+    mr.save_delimited(df, str(tmp_path / "zero"))
+    assert sorted(values(mr.load_delimited(spark, str(tmp_path / "zero"), ","))) == [("1", "-0"), ("2", "0"), ("3", None)]
+
+
 RECORDS = [{"z": 1, "a": "x"}, {"a": None, "n": {"k": [1, 2]}}, {"z": 2.5, "b": True}]
 
 

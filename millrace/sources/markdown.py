@@ -21,7 +21,7 @@ def markdown_header(df: DataFrame) -> list[str]:
 
 def markdown_rows(df: DataFrame) -> DataFrame:
     """Each row as one ``| a | b |`` line in column ``line``; pipes inside cells are escaped, nulls are empty."""
-    cells = [F.replace(F.coalesce(Cell(df, c).text, F.lit("")), F.lit("|"), F.lit(r"\|")) for c in data_columns(df)]
+    cells = [F.replace(F.coalesce(Cell(df, c).written, F.lit("")), F.lit("|"), F.lit(r"\|")) for c in data_columns(df)]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 

@@ -128,5 +128,5 @@ def save_json(df: DataFrame, path: str, null_as_empty: bool = True, mode: str =
     """
     columns = data_columns(df)
     if null_as_empty:
-        df = df.select(*[F.coalesce(Cell(df, c).text, F.lit("")).alias(c) for c in columns])
+        df = df.select(*[F.coalesce(Cell(df, c).written, F.lit("")).alias(c) for c in columns])
     df.select(*[col(c) for c in columns]).write.mode(mode).json(path, ignoreNullFields=False)

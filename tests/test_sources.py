@@ -218,3 +218,10 @@ def test_unsound_arrays(spark, tmp_path, text):
             mr.load_json(spark, path).collect()
     else:
         assert mr.load_json(spark, path).select("a").collect() == want
+
+
+def test_json_and_markdown_keep_the_sign_of_zero(spark, tmp_path):
+    df = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, None)], "id int, x double")
+    mr.save_json(df, str(tmp_path / "zero"))
+    assert sorted(values(mr.load_json(spark, str(tmp_path / "zero")), "id", "x")) == [("1", "-0"), ("2", "0"), ("3", "")]
+    assert sorted(r["line"] for r in mr.markdown_rows(df).collect()) == ["| 1 | -0 |", "| 2 | 0 |", "| 3 |  |"]

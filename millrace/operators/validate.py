@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.cells import VIOLATIONS, Cell, col, fresh
 from millrace.functions.patterns import is_valid_pattern
+from millrace.plans.buckets import as_keys, position
 
 # The rule types and the shape of an e-mail address.
 RULE_TYPES = ("range", "non_negative", "unique", "email", "not_future_date", "not_null", "regex")
@@ -20,7 +21,11 @@ EMAIL = r"\A[^\s@]+@[^\s@]+\.[^\s@]+\z"
 
 @dataclass(frozen=True)
 class ValidationRule:
-    """One check on one column. ``as_of`` (default: now, when the rule is made) is what ``not_future_date`` compares to."""
+    """One check on one column. ``as_of`` (default: now, when the rule is made) is what ``not_future_date`` compares to.
+
+    ``unique`` is broken by every row whose value occurs more than once. With ``first_by``, a column that tells such rows
+    apart, the first of them along it passes and only the later ones break the rule.
+    """
 
     column: str
     type: str
@@ -29,12 +34,15 @@ class ValidationRule:
     pattern: str | None = None
     as_of: dt.datetime | str | None = None
     label: str = ""
+    first_by: str | None = None
 
     def __post_init__(self):
         if self.type not in RULE_TYPES:
             raise ValueError(f"rule type is one of {RULE_TYPES}")
         if not self.label:
             object.__setattr__(self, "label", f"{self.column} {self.type}")
+        if self.first_by is not None and self.type != "unique":
+            raise ValueError("first_by belongs to unique rules")
         if self.type == "not_future_date" and self.as_of is None:
             object.__setattr__(self, "as_of", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
@@ -84,18 +92,20 @@ def _violated(df: DataFrame, rule: ValidationRule) -> Column:
 
 
 def _with_repeats(df: DataFrame, rule: ValidationRule, flag: str) -> DataFrame:
-    """Mark every row whose present value occurs more than once.
+    """Mark every row whose present value occurs more than once, or with ``first_by`` all but the first of these.
 
     Values are counted with partial aggregation and only the repeated ones come back, once each, through a left join:
     a value shared by a large part of the table is split on the table's side by adaptive execution.
     """
     cell = Cell(df, rule.column)
-    lookup, value, n = fresh(df.withColumn(flag, F.lit(None)), "_lookup", "_value", "_n")
-    repeated = df.filter(cell.present).groupBy(cell.text.alias(value)).agg(F.count(F.lit(1)).alias(n))
-    repeated = repeated.filter(F.col(n) > 1).select(value, F.lit(True).alias(flag))
+    lookup, value, n, first = fresh(df.withColumn(flag, F.lit(None)), "_lookup", "_value", "_n", "_first")
+    place = position(df, as_keys(df, rule.first_by)) if rule.first_by else F.lit(0)
+    repeated = df.filter(cell.present).groupBy(cell.text.alias(value)).agg(F.count(F.lit(1)).alias(n), F.min(place).alias(first))
+    repeated = repeated.filter(F.col(n) > 1).select(value, first)
     keyed = df.withColumn(lookup, F.when(cell.present, cell.text))
-    joined = keyed.join(repeated, keyed[lookup] == repeated[value], "left").drop(lookup, value)
-    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    joined = keyed.join(repeated, keyed[lookup] == repeated[value], "left")
+    broken = F.col(value).isNotNull() & (place > F.col(first)) if rule.first_by else F.col(value).isNotNull()
+    return joined.withColumn(flag, broken).drop(lookup, value, first)
 
 
 def _flag(df: DataFrame, rules: list[ValidationRule]) -> tuple[DataFrame, list[str]]:

@@ -119,3 +119,24 @@ def test_unique_counts_a_value_held_by_most_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).cast("string").alias("v"))
     row = mr.validate(df, [{"column": "v", "type": "unique"}]).rules.head()
     assert (row["valid_count"], row["invalid_count"]) == (1000, 2000)
+
+
+def test_unique_may_pass_the_first_of_equal_values(spark):
+    rows = [(3, "a"), (1, "a"), (None, "b"), (2, "b"), (5, "a"), (4, "c"), (6, None), (7, "n/a")]
+    df = spark.createDataFrame(rows, "at int, v string")
+    report = mr.validate(df, [{"column": "v", "type": "unique"}, {"column": "v", "type": "unique", "first_by": "at"}])
+    assert [(r["rule"], r["valid_count"], r["invalid_count"]) for r in report.rules.collect()] == [("v unique", 3, 5), ("v unique 2", 5, 3)]
+    assert sorted(r["at"] for r in report.invalid_rows.filter("array_contains(_violations, 'v unique 2')").collect()) == [2, 3, 5]
+    with pytest.raises(ValueError):
+        mr.validate(df, [{"column": "v", "type": "not_null", "first_by": "at"}])
+
+
+def test_the_unique_query_counts_as_its_sql_where_times_repeat(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    path = str(tmp_path / "events.parquet")
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (i // 3) AS ts FROM range(20) t(i)) TO '{path}'""")
+    want = duckdb.sql(entry.oracle_sql()["validate_unique_ts"].replace("FROM events", f"FROM '{path}'")).fetchall()
+    assert [tuple(r) for r in entry.queries()["validate_unique_ts"](spark, str(tmp_path)).collect()] == want

@@ -7,17 +7,24 @@ preserved side. Before an outer join, one sketch pass over the key columns of th
 large share of its rows. If there is one, the join is built from parts that all split: the inner join, plus the
 unmatched rows found by anti joins against the *distinct* keys. Both plans give the same rows; the shuffles of the two
 inputs are shared between the parts.
+
+Pairs. Adaptive execution sees bytes, not pairs: a few thousand short rows of one key on either side stay in one task,
+whose pairs grow with the square of the input. A sketch of both sides finds keys that may make more than ``BLOCK_PAIRS``
+pairs, these are counted exactly, and their rows are joined apart in blocks of about that many pairs, each block once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from millrace.functions.cells import Cell, col, name_folder, to_str
 from millrace.operators.types import logical_type
+from millrace.sources.scratch import settled
 
 # The join types and the suffix of clashing right-hand columns.
 JOIN_TYPES = ("inner", "left", "right", "full", "cross")
@@ -27,7 +34,10 @@ MISSING_KEY = "\x01"
 HOT_ROWS = 1_000_000  # rows of one key that one task joins without trouble
 HOT_SHARE = 0.05
 SKETCH_ITEMS = 10_000
-MISSING_PAIRS = 100_000_000  # rows that missing keys alone may make
+MISSING_PAIRS = 100_000_000  # rows that missing keys alone may make unless they are asked for
+BLOCK_PAIRS = 4_000_000  # pairs of one key that a task makes
+HEAVY_KEYS = 100  # most frequent keys of a side that are looked at; pairs of more keys spread over tasks anyway
+MAX_TASKS = 32_768
 CROSS_RIGHT_ROWS = 10_000  # an explicit cross product needs a right side no larger than this,
 CROSS_RIGHT_BYTES = 64 << 20  # in rows and in bytes of text
 
@@ -57,6 +67,56 @@ def _hot(df: DataFrame, keys: list[Column]) -> bool:
     return most > min(HOT_SHARE * found["n"], HOT_ROWS) or found["n"] / SKETCH_ITEMS > HOT_ROWS
 
 
+def _joined(names: list[str]) -> Column:
+    return F.concat_ws("\x02", *[F.coalesce(F.col(n), F.lit("\x03")) for n in names])
+
+
+def _heavy(left: DataFrame, right: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
+    """Keys of more than ``BLOCK_PAIRS`` pairs, and into how many parts to cut their left and their right rows.
+
+    ``left`` and ``right`` hold the key columns ``names`` alone. Which keys are found changes the plan only.
+    """
+    sides = [df.dropna(subset=names).select(_joined(names).alias("key")) for df in (left, right)]
+    top = F.call_function("approx_top_k", F.col("key"), F.lit(HEAVY_KEYS), F.lit(SKETCH_ITEMS)).alias("top")
+    found = [{t["item"]: t["count"] for t in r["top"] or []} for r in sides[0].agg(top).union(sides[1].agg(top)).collect()]
+    if len(found) < 2 or not all(found):
+        return {}
+    # A key that is not among a side's most frequent ones is at most as frequent as the last of these.
+    rest = [min(f.values()) if len(f) == HEAVY_KEYS else 0 for f in found]
+    likely = [k for k in {**found[0], **found[1]} if found[0].get(k, rest[0]) * found[1].get(k, rest[1]) > BLOCK_PAIRS]
+    if not likely:
+        return {}
+    counted = [df.where(F.col("key").isin(likely)).groupBy("key").agg(F.count(F.lit(1)).alias(n)) for df, n in zip(sides, ("nl", "nr"))]
+    out, edge = {}, int(BLOCK_PAIRS**0.5)
+    for key, nl, nr in counted[0].join(counted[1], "key").collect():
+        if nl * nr > BLOCK_PAIRS:
+            across = ceil(nr / edge)
+            out[key] = ceil(nl * ceil(nr / across) / BLOCK_PAIRS), across
+    return out
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, names: list[str], heavy: dict[str, tuple[int, int]]) -> DataFrame:
+    """The pairs of heavy keys. Each part of a key's left rows meets each part of its right rows in a block of its own."""
+    tasks = min(MAX_TASKS, sum(a * b for a, b in heavy.values()))
+
+    def parts(at: int) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for key, n in heavy.items() for x in (key, n[at])]), F.col("_joined"))
+
+    def dealt(df: DataFrame, own: list[str], side: int, name: str) -> DataFrame:
+        void = [c.name for c in df.schema if isinstance(c.dataType, NullType)]
+        chosen = df.drop(*void).withColumns({"_joined": _joined(own), "_n": F.monotonically_increasing_id()})
+        # Written once, so that a row is in the same part wherever it is read.
+        kept = settled(chosen.where(F.col("_joined").isin(list(heavy))), name).withColumns({c: F.lit(None) for c in void})
+        mine, others = F.pmod("_n", parts(side)).cast("int"), F.explode(F.sequence(F.lit(0), parts(1 - side) - 1))
+        placed = kept.withColumns({f"_mine{side}": mine, f"_other{side}": others}).drop("_joined", "_n")
+        return placed.repartition(tasks, *own, *[f"_{w}{side}" for w in (("mine", "other") if side == 0 else ("other", "mine"))])
+
+    rights = [f"_r{n}" for n in names]
+    ls, rs = dealt(left, names, 0, "heavy-left"), dealt(right, rights, 1, "heavy-right")
+    same = [ls[n] == rs[r] for n, r in zip(names, rights)]
+    return ls.join(rs.hint("merge"), [*same, F.col("_mine0") == F.col("_other1"), F.col("_other0") == F.col("_mine1")])
+
+
 def _check_missing(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> None:
     """Refuse a join in which missing keys, which match each other, would multiply beyond ``MISSING_PAIRS`` rows."""
     counts = []
@@ -65,7 +125,7 @@ def _check_missing(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str
         counts.append(df.agg(F.count_if(gone).alias("n")))
     a, b = (r["n"] for r in counts[0].union(counts[1]).collect())
     if a * b > MISSING_PAIRS:
-        raise ValueError(f"{a} x {b} rows have no key at all and would all be paired: use missing_match=False")
+        raise ValueError(f"{a} x {b} rows have no key at all and would all be paired: use missing_match=False, or True if all these pairs are wanted")
 
 
 def _output(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -80,14 +140,15 @@ def _output(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) ->
 
 
 def join_tables(
-    left: DataFrame, right: DataFrame, keys=(), how: str = "inner", missing_match: bool = True, skew: str = "auto"
+    left: DataFrame, right: DataFrame, keys=(), how: str = "inner", missing_match: bool | None = None, skew: str = "auto"
 ) -> DataFrame:
     """Equi-join with all left columns and the right non-key columns (clashes get ``_right``).
 
     ``keys`` holds column names or ``(left, right)`` pairs. Rows only on the right take their key from the right side.
-    Missing keys match each other, up to ``MISSING_PAIRS`` such pairs; beyond that the join is refused (see
-    ``missing_match``). ``how='cross'`` takes no keys and needs a small right side. ``skew`` is ``auto`` (look for a hot key before an
-    outer join), ``split`` or ``plain``.
+    Missing keys match each other unless ``missing_match`` is off. More than ``MISSING_PAIRS`` such pairs are an error unless
+    ``missing_match=True`` asks for them all. ``how='cross'`` takes no keys and needs a small right side. ``skew`` is ``auto``
+    (look for a hot key before an outer join), ``split`` or ``plain``; keys with very many pairs are joined in blocks unless it
+    is ``plain``, for which their rows are written below ``spark.checkpoint.dir``.
     """
     pairs = _pairs(keys)
     if how not in JOIN_TYPES:
@@ -97,8 +158,9 @@ def join_tables(
     if not pairs:
         raise ValueError("a join needs at least one key pair; ask for how='cross' to combine every row")
     rights = _output(left, right, pairs)
-    if missing_match:
+    if missing_match is None:
         _check_missing(left, right, pairs)
+        missing_match = True
     lk = _key_columns(left, [a for a, _ in pairs], missing_match)
     rk = _key_columns(right, [b for _, b in pairs], missing_match)
     names = [f"_k{i}" for i in range(len(pairs))]
@@ -108,6 +170,11 @@ def join_tables(
         *[k.alias(f"_r{n}") for n, k in zip(names, rk)], *[col(c).alias(f"_r{i}") for i, (c, _) in enumerate(rights)],
         *[col(b).alias(f"_rkey{i}") for i, (_, b) in enumerate(pairs)],
     )
+    heavy = _heavy(left.select(*lk), right.select(*rk), names) if skew != "plain" else {}
+    pieces = _in_blocks(left_in, right_in, names, heavy) if heavy else None
+    if heavy:
+        left_in = left_in.where(~_joined(names).isin(list(heavy)))
+        right_in = right_in.where(~_joined([f"_r{n}" for n in names]).isin(list(heavy)))
     match = [left_in[n] == right_in[f"_r{n}"] for n in names]
     if skew == "auto":
         check_right, check_left = how in ("left", "full"), how in ("right", "full")
@@ -139,10 +206,14 @@ def join_tables(
         ]
         return df.select(*ls, *rs)
 
+    def whole(out: DataFrame) -> DataFrame:
+        """With the pairs of heavy keys, which occur on both sides and so leave no row alone."""
+        return out if pieces is None else out.unionByName(project(pieces, False))
+
     if not split:
         flagged = left_in.withColumn("_in_left", F.lit(True)) if how in ("right", "full") else left_in
         joined = flagged.join(right_in, [flagged[n] == right_in[f"_r{n}"] for n in names], how)
-        return project(joined, F.col("_in_left").isNull() if how in ("right", "full") else False)
+        return whole(project(joined, F.col("_in_left").isNull() if how in ("right", "full") else False))
     # Matched keys are equal, so this never holds. It keeps the right key among the columns the inner join reads, as the
     # anti join below does, and the two can share one shuffle of the right side.
     keys_differ = F.col(names[0]) != F.col(f"_r{names[0]}") if how in ("right", "full") else False
@@ -155,7 +226,7 @@ def join_tables(
         known = left_in.select(*names).distinct()
         alone = right_in.join(known, [right_in[f"_r{n}"] == known[n] for n in names], "left_anti")
         out = out.unionByName(project(alone, True))
-    return out
+    return whole(out)
 
 
 def _cross(left: DataFrame, right: DataFrame, pairs: list) -> DataFrame:

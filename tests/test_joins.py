@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import millrace as mr
 from tests.conftest import values
@@ -135,3 +136,27 @@ def test_products_of_missing_keys_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError, match="missing_match"):
         mr.join_tables(df, df, "k")
     assert mr.join_tables(df, df, "k", missing_match=False).count() == 1
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("skew", ["auto", "split"])
+def test_keys_of_many_pairs_are_joined_in_blocks(spark, monkeypatch, how, skew):
+    import millrace.operators.joins as joins
+
+    left = spark.createDataFrame([(None if i % 3 == 0 else str(i % 40), i % 7) for i in range(300)], "k string, v int").repartition(5)
+    right = spark.createDataFrame([("n/a" if i % 2 else i % 50 + 20, {"a": i % 5}) for i in range(200)], "k string, w map<string,int>")
+    right = right.withColumn("gone", F.lit(None))
+    plain = sorted(values(mr.join_tables(left, right, "k", how, skew="plain")), key=str)
+    monkeypatch.setattr(joins, "BLOCK_PAIRS", 50)
+    blocks = mr.join_tables(left, right, "k", how, skew=skew)
+    sizes = blocks.filter("k IS NULL OR k = 'n/a'").groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(values(blocks), key=str) == plain
+    assert max(r["count"] for r in sizes) < 100 * 100 / 10  # one task made them all
+
+
+def test_all_pairs_of_missing_keys_can_be_asked_for(spark, monkeypatch):
+    import millrace.operators.joins as joins
+
+    df = spark.createDataFrame([(None, 1), ("N/A", 2), ("a", 3)], "k string, v int")
+    monkeypatch.setattr(joins, "MISSING_PAIRS", 3)
+    assert mr.join_tables(df, df, "k", missing_match=True).count() == 5

@@ -80,13 +80,12 @@ def _power_of_two(n: int) -> int:
 def range_bucket(df: DataFrame, keys: list[SortKey], buckets: int | None = None) -> Column:
     """An expression giving each row the number of its range; ranges ascend in the keys' order.
 
+    ``buckets`` is the least number of ranges: there are more if these would hold over ``ROWS_PER_BUCKET`` rows each.
     Two small jobs run here: a row count (only to size the sample) and the sample itself, whose size is bounded by
     the number of ranges and not by the table.
     """
     rows = df.count()
-    if buckets is None:
-        buckets = -(-rows // ROWS_PER_BUCKET)
-    buckets = min(MAX_BUCKETS, _power_of_two(max(1, buckets)))
+    buckets = min(MAX_BUCKETS, _power_of_two(max(1, buckets or 1, -(-rows // ROWS_PER_BUCKET))))
     if buckets == 1 or rows == 0:
         return F.lit(0)
     fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)

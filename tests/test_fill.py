@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import millrace as mr
+from millrace.plans.buckets import SortKey, range_bucket
 from tests.conftest import values
 
 
@@ -77,3 +79,15 @@ def test_carry_over_many_ranges_equals_a_plain_loop(spark, direction, grouped):
 def test_fill_needs_an_order(gaps):
     with pytest.raises(ValueError):
         mr.fill_missing(gaps, "v", "previous")
+
+
+def test_one_range_asked_for_is_cut_where_it_would_hold_too_many_rows(spark, monkeypatch):
+    rows = [(i if i else None, i if i % 5 == 0 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "place int, v int").repartition(7)
+    key = [SortKey(F.col("place"))]
+    assert df.select(range_bucket(df, key, 1).alias("b")).distinct().count() == 1
+    monkeypatch.setattr("millrace.plans.buckets.ROWS_PER_BUCKET", 100)
+    sizes = df.groupBy(range_bucket(df, key, 1)).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 300
+    out = mr.fill_missing(df, "v", "previous", order_by="place", buckets=1).collect()
+    assert {r["place"] or 0: r["v"] for r in out} == {i: i // 5 * 5 for i in range(1000)}

@@ -15,8 +15,8 @@ from checks.fixtures import VIEWS, date_sql, double_text_sql, missing_sql, table
 from checks.registry import ORACLES, QUERIES, check
 from checks.shipping import ship_code
 from millrace.sources.delimited import sniff_delimiter
-from millrace.sources.scratch import scratch_path
-from millrace.sources.workbooks import workbook_rows
+from millrace.sources.scratch import scratch_path, settled
+from millrace.sources.workbooks import ROWS_PER_BATCH, workbook_rows
 from millrace.streaming.replay import replay_stream
 
 # --- round trips through files (in the session's shared folder) ---------------------------------------------------
@@ -125,7 +125,10 @@ def _books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _(df):
     ship_code(df.sparkSession)
     source = df.select("c_custkey", "name", "segment", "balance_text", "email")
-    return workbook_rows(source.mapInPandas(_books, "path string, content binary")).drop("source_file")
+    # A small file is one task's, however many rows it holds: they are dealt out, and each workbook is made once.
+    dealt = source.repartition(max(1, -(-source.count() // ROWS_PER_BATCH)))
+    books = settled(dealt.mapInPandas(_books, "path string, content binary"), "workbooks")
+    return workbook_rows(books).drop("source_file")
 
 
 @check(

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import millrace as mr
 from checks.files_and_recipes import _xlsx
@@ -225,3 +226,13 @@ def test_json_and_markdown_keep_the_sign_of_zero(spark, tmp_path):
     mr.save_json(df, str(tmp_path / "zero"))
     assert sorted(values(mr.load_json(spark, str(tmp_path / "zero")), "id", "x")) == [("1", "-0"), ("2", "0"), ("3", "")]
     assert sorted(r["line"] for r in mr.markdown_rows(df).collect()) == ["| 1 | -0 |", "| 2 | 0 |", "| 3 |  |"]
+
+
+def test_the_workbook_query_deals_one_file_out_to_tasks(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    row = "id AS c_custkey, 'n' AS c_name, 1 AS c_nationkey, 2.5D AS c_acctbal, 'BUILDING' AS c_mktsegment"
+    spark.range(0, 35_000, 1, 1).selectExpr(*row.split(", ")).write.parquet(str(tmp_path / "customer.parquet"))
+    df = entry.queries()["io_xlsx_load"](spark, str(tmp_path))
+    at = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(at) >= 4 and max(r["count"] for r in at) <= 10_000 and sum(r["count"] for r in at) == 35_000

@@ -131,9 +131,18 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return settle(met.where(F.col("overlap") * 100 >= total * percent).select("a", "b"), "links")
 
 
-def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after more settled links. What is known is linked to its roots already, so that this takes few rounds or none."""
+    if roots is None:
+        return components(links)
+    if links.isEmpty():
+        return roots
+    return components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists, with ``root``, whose members are not all in one component yet."""
-    placed = lists.join(settle(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     return placed.join(several.select("value"), "value")
 
@@ -146,8 +155,8 @@ def _spokes(lists: DataFrame, percent: int) -> DataFrame:
     return settle(pairs.where(_sizes_fit(percent)).select("a", "b").distinct(), "pairs")
 
 
-def _links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between different sets, enough of them for the components.
+def _roots(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``(node, root)`` of the components of links between different sets, from enough of these.
 
     First, each list of sketch values compares its members with one of them, its hub: most groups of copies are one component
     after that, and pairs in one component need no further link. The members of lists that still hold several components
@@ -160,21 +169,23 @@ def _links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     keys = nodes.select("node", "n", "id", "k1", "k2")
     likely = _likely(_spokes(lists, percent), nodes, percent)
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    links = _exact(likely, _sets_of(settle(ends.join(keys, "node"), "pair-ends"), docs), percent)
+    roots = _grown(None, _exact(likely, _sets_of(settle(ends.join(keys, "node"), "pair-ends"), docs), percent))
 
-    open_nodes = settle(_mixed(lists, links).select("node").distinct().join(keys, "node"), "open-nodes")
+    open_nodes = settle(_mixed(lists, roots).select("node").distinct().join(keys, "node"), "open-nodes")
+    if open_nodes.isEmpty():
+        return roots
     sets = _sets_of(open_nodes, docs)
     full = settle(_listed(sets.select("node", "n", F.explode("shingles").alias("value")), F.ceil(F.col("n") * percent / 100)), "full-lists")
-    near_hubs = _likely(_spokes(_mixed(full, links).drop("root"), percent), nodes, percent)
-    links = settle(links.union(_exact(near_hubs, sets, percent)), "links")
-    rows = settle(_mixed(full, links).select("value", "node", "n", "place", "root"), "open-lists")
+    near_hubs = _likely(_spokes(settle(_mixed(full, roots).drop("root"), "mixed-lists"), percent), nodes, percent)
+    roots = _grown(roots, _exact(near_hubs, sets, percent))
+    rows = settle(_mixed(full, roots).select("value", "node", "n", "place", "root"), "open-lists")
     side = lambda k: rows.select("value", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "place", "root")])
     # Sets linked at p share p / (1 + p) of their sizes' sum; what stands before the first shared value is lost to both.
     shared = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     possible = (F.col("n_a") - F.col("place_a") + 1 >= shared) & (F.col("n_b") - F.col("place_b") + 1 >= shared)
     across = side("a").join(side("b"), "value").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & possible)
     rest = settle(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-    return links.union(_exact(_likely(rest, nodes, percent), sets, percent))
+    return roots if rest.isEmpty() else _grown(roots, _exact(_likely(rest, nodes, percent), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -195,7 +206,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     sketches = settle(rows.mapInArrow(_sketches, f"id {kind}, n long, k1 long, k2 long, sketch array<long>"), "sketches")
     nodes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = settle(components(_links(nodes, rows, percent)), "roots")
+    roots = _roots(nodes, rows, percent)
     placed = nodes.select("k1", "k2", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = placed.join(smallest, "root").select("k1", "k2", "component_id")

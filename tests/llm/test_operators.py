@@ -626,3 +626,20 @@ def test_toxicity(spark):
     assert score[9001] < 0.5 and score[9002] == score[9003] < 0.5 and score[None] > 0.5
     assert toxicity.toxicity_scores(docs.where("false"), known).count() == 0
     assert all(x["score"] < 0.1 for x in toxicity.toxicity_scores(docs, known.where("false")).collect())
+
+
+def test_few_links_are_contracted_by_one_task_and_known_roots_are_kept(spark):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+        roots = components.components(links)
+        assert len(roots.inputFiles()) == 1  # a file for every shuffle partition before
+        assert near_dedup._grown(roots, links.where("false")) is roots
+        more = near_dedup._grown(roots, spark.createDataFrame([(150, 400), (400, 401), (700, 701)], "a long, b long"))
+        assert {tuple(x) for x in more.collect()} == {(k, 0) for k in range(1, 201)} | {(400, 0), (401, 0), (701, 700)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

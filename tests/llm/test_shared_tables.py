@@ -277,3 +277,10 @@ def test_recall_on_a_shard_much_larger_than_the_beam():
     found, _ = graph.search(np.column_stack([q, np.zeros(len(q), np.float32)]), graph_search.SEARCH_BEAM, 8)
     exact = np.argsort(-(q @ x.T), 1)[:, :21]
     assert np.mean([len({*a[:21]} & {*b}) / 21 for a, b in zip(found.tolist(), exact.tolist())]) > 0.95
+
+
+def test_intermediate_tables_are_written_small(spark):
+    from millrace.sources.scratch import settled
+
+    files = settled(spark.range(100).selectExpr("id", "repeat('text ', 50) AS text"), "small").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)

@@ -376,6 +376,26 @@ def test_repeats(docs, nothing, monkeypatch, length, group_bytes):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 0])
+def test_a_passage_in_very_many_places(spark, monkeypatch, group_bytes):
+    """Its keys are one task's work in a plain join; dealt out they are not, and the result is the same."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(repeats, "HOT_ROWS", 5)
+    line = words(80, 50)
+    rows = [(i, words(30, 100 + i) + line * (1 + i % 3) + words(90, 200 + i % 25)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    cut = repeats.remove_repeats(df).select("doc_id", F.sha2("kept", 256), F.size("removed"))
+    assert by_row(cut.collect()) == by_row(plain_removal([(i, t.encode()) for i, t in rows], 400))
+
+    places = spark.range(0, 1000, numPartitions=8).selectExpr("if(id % 10 = 0, id, -1) AS hash", "id AS lo")
+    keys = repeats.settle(places.groupBy("hash").agg(F.count("*").alias("times")), "test-keys")
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    for how in "inner", "left_semi":
+        dealt = repeats._dealt(places, keys, ["hash"], "times", how)
+        assert by_row(dealt.select("hash", "lo").collect()) == by_row(places.collect())
+        assert most(places.join(keys.hint("merge"), "hash", how)) >= 900 and most(dealt) < 300
+
+
 def test_boundaries_equal_common_prefixes():
     r = np.random.default_rng(6)
     for trial in range(30):
